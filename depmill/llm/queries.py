@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, pii, url_reputation, warc_zip
+from . import decontamination, jaccard, packing, pii, url_reputation, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op5_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_jaccard_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,28 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.url_filter(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Words as the contracts have them; {text} is the text.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = f"translate(text, '{url_reputation.UPPER}', '{url_reputation.LOWER}')"
+#: From links (a, b) to the least node that each can reach.
+_REACH = """
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, other) AS (SELECT a, a FROM ways UNION SELECT r.node, b.b FROM reach r JOIN ways b ON b.a = r.other),
+least AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
+"""
+
+SQL7 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+{_REACH}
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least ON node = d.doc_id
+"""
+
 SQL9 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
@@ -87,6 +113,6 @@ SELECT page_id, host, path, rule, CASE rule {_VERDICT_CASE} ELSE own END AS verd
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii_surrogates, op5_benchmark_tiling, op8_best_fit_packing, op9_warc_zip, op10_url_reputation)
+    f.__name__: f for f in (op2_pii_surrogates, op5_benchmark_tiling, op7_jaccard_pivots, op8_best_fit_packing, op9_warc_zip, op10_url_reputation)
 }
-SQL = {"op9_warc_zip": SQL9, "op10_url_reputation": SQL10}
+SQL = {"op7_jaccard_pivots": SQL7, "op9_warc_zip": SQL9, "op10_url_reputation": SQL10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, packing, pii, url_reputation, warc_zip
+from . import decontamination, jaccard, packing, pii, repeats, url_reputation, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op5_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_repeat_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,17 @@ reach(node, other) AS (SELECT a, a FROM ways UNION SELECT r.node, b.b FROM reach
 least AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
 """
 
+SQL6 = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text="text")} AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM w WHERE len(w) >= 50)),
+first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY 1),
+cut AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM win JOIN first USING (k) WHERE m < doc_id),
+place AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM place ANTI JOIN cut USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 SQL7 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
@@ -113,6 +128,6 @@ SELECT page_id, host, path, rule, CASE rule {_VERDICT_CASE} ELSE own END AS verd
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii_surrogates, op5_benchmark_tiling, op7_jaccard_pivots, op8_best_fit_packing, op9_warc_zip, op10_url_reputation)
+    f.__name__: f for f in (op2_pii_surrogates, op5_benchmark_tiling, op6_repeat_automata, op7_jaccard_pivots, op8_best_fit_packing, op9_warc_zip, op10_url_reputation)
 }
-SQL = {"op7_jaccard_pivots": SQL7, "op9_warc_zip": SQL9, "op10_url_reputation": SQL10}
+SQL = {"op6_repeat_automata": SQL6, "op7_jaccard_pivots": SQL7, "op9_warc_zip": SQL9, "op10_url_reputation": SQL10}

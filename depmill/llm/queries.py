@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, packing, pii, repeats, url_reputation, warc_zip
+from . import decontamination, jaccard, language_model, packing, pii, repeats, url_reputation, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -128,6 +132,6 @@ SELECT page_id, host, path, rule, CASE rule {_VERDICT_CASE} ELSE own END AS verd
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii_surrogates, op5_benchmark_tiling, op6_repeat_automata, op7_jaccard_pivots, op8_best_fit_packing, op9_warc_zip, op10_url_reputation)
+    f.__name__: f for f in (op2_pii_surrogates, op3_recurrent_lm, op5_benchmark_tiling, op6_repeat_automata, op7_jaccard_pivots, op8_best_fit_packing, op9_warc_zip, op10_url_reputation)
 }
 SQL = {"op6_repeat_automata": SQL6, "op7_jaccard_pivots": SQL7, "op9_warc_zip": SQL9, "op10_url_reputation": SQL10}

@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +33,10 @@ CAPACITY = 4096
 GROUP = 16_384
 #: Fillings looked at for one sequence before the incumbent is taken.
 NODES = 400
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, from task to task.
 MEMORY = 200_000
+#: Bytes of text whose distinct words are encoded together.
+ENCODE_BYTES = 16_000_000
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -47,6 +50,7 @@ class Encoder:
     """Ids of many words. The tokenizer drops white space and never looks across it, so words are encoded apart."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; its threads would only hold memory
         from tokenizers import Tokenizer
 
         self.model, self.known = Tokenizer.from_file(path), {}
@@ -69,11 +73,21 @@ class Encoder:
         return np.fromiter(itertools.chain.from_iterable(out), np.uint32, counts.sum()), counts
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder: workers are used for many tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=ENCODE_BYTES):
                 words = split(part.column("text"))
                 ids, counts = encode(words.vocab.to_pylist())
                 first = np.concatenate([[0], np.cumsum(counts)])

@@ -6,8 +6,9 @@ import numpy as np
 
 
 class Adam:
-    def __init__(self, params: dict[str, np.ndarray], rate: float = 3e-3) -> None:
-        self.params, self.rate, self.t = params, rate, 0
+    def __init__(self, params: dict[str, np.ndarray], rate: float = 3e-3, shares: dict[str, float] | None = None) -> None:
+        """shares: what part of the rate holds for some parameters."""
+        self.params, self.rate, self.shares, self.t = params, rate, shares or {}, 0
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
 
@@ -22,7 +23,7 @@ class Adam:
             g = g * scale
             m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * g
             v = self.v[k][at] = 0.999 * self.v[k][at] + 0.001 * g * g
-            self.params[k][at] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+            self.params[k][at] -= (rate * self.shares.get(k, 1.0) * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

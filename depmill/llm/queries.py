@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language_model, packing, pii, repeats, url_reputation, warc_zip
+from . import decontamination, jaccard, language_model, packing, pii, repeats, toxicity, url_reputation, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -132,6 +137,6 @@ SELECT page_id, host, path, rule, CASE rule {_VERDICT_CASE} ELSE own END AS verd
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii_surrogates, op3_recurrent_lm, op5_benchmark_tiling, op6_repeat_automata, op7_jaccard_pivots, op8_best_fit_packing, op9_warc_zip, op10_url_reputation)
+    f.__name__: f for f in (op1_toxicity_bigru, op2_pii_surrogates, op3_recurrent_lm, op5_benchmark_tiling, op6_repeat_automata, op7_jaccard_pivots, op8_best_fit_packing, op9_warc_zip, op10_url_reputation)
 }
 SQL = {"op6_repeat_automata": SQL6, "op7_jaccard_pivots": SQL7, "op9_warc_zip": SQL9, "op10_url_reputation": SQL10}

@@ -18,7 +18,8 @@ the symmetric difference is at least the sum of the differences of the counts. A
 bounds only save work. Sets in one region are never gathered in one task, but for regions of at most ``LEAF`` members.
 
 Defined results: words are in lower case (A-Z); a text of 1 to 3 words is one shingle; null, empty and blank texts have
-no shingles and link with nothing; rows of one doc_id count as one document, each with its own n_shingles; an empty
+no shingles and link with nothing; rows of one doc_id count as one document, each with its own n_shingles; rows
+without a doc_id are left out; an empty
 table gives an empty result; columns besides doc_id and text are left out.
 """
 
@@ -175,7 +176,7 @@ class Join:
     """One join: its tables and the rounds over them."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int) -> None:
-        self.docs, self.k, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent
+        self.docs, self.k, self.percent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent
         self.spark = docs.sparkSession
         facts = written(self.docs.mapInArrow(_facts(k), FACTS), "facts")
         self.facts = facts.where("doc_id is not null")

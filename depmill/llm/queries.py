@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language_model, packing, pii, repeats, toxicity, url_reputation, warc_zip
+from . import cap_filters, decontamination, jaccard, language_model, packing, pii, repeats, toxicity, url_reputation, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(table(spark, sf_dir, "documents"))
 
 
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op5_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,12 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.url_filter(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: Words as the contracts have them; {text} is the text.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = f"translate(text, '{url_reputation.UPPER}', '{url_reputation.LOWER}')"
@@ -63,6 +73,16 @@ reach(node, other) AS (SELECT a, a FROM ways UNION SELECT r.node, b.b FROM reach
 least AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
 """
 
+SQL4 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0),
+ok AS (SELECT vec_id, e FROM v WHERE list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+{_REACH},
+n AS (SELECT a AS vec_id, count(*) AS n FROM ways GROUP BY 1)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component, e.vec_id) AS component_id, e.vec_id = coalesce(component, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN least ON node = e.vec_id
+"""
+
 SQL6 = f"""
 WITH w AS (SELECT doc_id, {_WORDS.format(text="text")} AS w FROM documents),
 win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM w WHERE len(w) >= 50)),
@@ -137,6 +157,6 @@ SELECT page_id, host, path, rule, CASE rule {_VERDICT_CASE} ELSE own END AS verd
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity_bigru, op2_pii_surrogates, op3_recurrent_lm, op5_benchmark_tiling, op6_repeat_automata, op7_jaccard_pivots, op8_best_fit_packing, op9_warc_zip, op10_url_reputation)
+    f.__name__: f for f in (op1_toxicity_bigru, op2_pii_surrogates, op3_recurrent_lm, op4_cap_filters, op5_benchmark_tiling, op6_repeat_automata, op7_jaccard_pivots, op8_best_fit_packing, op9_warc_zip, op10_url_reputation, pipeline)
 }
-SQL = {"op6_repeat_automata": SQL6, "op7_jaccard_pivots": SQL7, "op9_warc_zip": SQL9, "op10_url_reputation": SQL10}
+SQL = {"op4_cap_filters": SQL4, "op6_repeat_automata": SQL6, "op7_jaccard_pivots": SQL7, "op9_warc_zip": SQL9, "op10_url_reputation": SQL10}

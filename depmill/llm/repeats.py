@@ -16,7 +16,7 @@ smaller id goes. Three steps:
 Keys pair two 64-bit hashes. No step gathers the holders of a passage: counts and first holders are sums and minima.
 
 Defined results: words are runs of anything but space and U+0009..U+000D, unchanged; null, empty and short texts keep all
-words; rows of one doc_id are judged each by itself and never make each other repeats; an empty table gives an empty
+words; rows of one doc_id are judged each by itself and never make each other repeats; rows without a doc_id are left out; an empty table gives an empty
 result; columns besides doc_id and text are left out.
 """
 
@@ -227,7 +227,7 @@ def passages(docs: DataFrame, facts: DataFrame, size: int = SIZE, anchor: int =
 
 def without_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = written(docs.mapInArrow(_facts, FACTS), "facts")
     cuts = passages(docs, facts, size, anchor).groupBy("doc_id").agg(F.collect_list(F.struct("s1", "lo", "hi", "owner")).alias("cuts"))  # bounded by the text
     kept = docs.join(cuts, "doc_id").mapInArrow(_streamed(size), KEPT)

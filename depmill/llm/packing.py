@@ -34,9 +34,9 @@ GROUP = 16_384
 #: Fillings looked at for one sequence before the incumbent is taken.
 NODES = 400
 #: Words whose ids a worker remembers, from task to task.
-MEMORY = 200_000
+MEMORY = 300_000
 #: Bytes of text whose distinct words are encoded together.
-ENCODE_BYTES = 16_000_000
+ENCODE_BYTES = 32_000_000
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 

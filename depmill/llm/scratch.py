@@ -1,44 +1,5 @@
-"""Written tables in the shared folder that the session names in spark.checkpoint.dir.
+"""Written tables in the shared folder that the session names in spark.checkpoint.dir."""
 
-They cut lineage, survive lost executors and are read by any of them.
-"""
+from ..plans.scratch import shared_dir, table_path, written
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_roots: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This session's folder below spark.checkpoint.dir; where that is unset, as in tests, a local one."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="depmill-")
-        _roots[app] = f"{base.rstrip('/')}/depmill-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _roots[app])
-    return _roots[app]
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None and spark.sparkContext._jsc is not None:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, computed once."""
-    path = table_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "table_path", "written"]

@@ -1,4 +1,296 @@
-"""The registered queries and the SQL that they are checked against."""
+"""The registered queries over the bound graph, and the SQL that they are compared with."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import dead_code, health, lookup, rollup, simulate, temporal, traverse
+from ..sources.binding import PRELUDE, bound_graph
+from .graph import CodeGraph
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "a2_most_connected"
+
+DIR = "CASE WHEN contains({0}, '/') THEN regexp_extract({0}, '^(.*)/[^/]*$', 1) ELSE '.' END"
+TOP = "CASE WHEN contains({0}, '/') THEN string_split({0}, '/')[1] ELSE '.' END"
+LANG = "CASE regexp_extract({0}, '\\.([^./]+)$', 1) WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' ELSE 'other' END"
+#: Relations that several queries use.
+SUMMARY = """
+ic AS (SELECT target_file AS file_path, count(*) AS incoming FROM FP GROUP BY 1), oc AS (SELECT source_file AS file_path, count(*) AS outgoing FROM FP GROUP BY 1),
+FS AS (SELECT f.file_path, f.symbols, coalesce(incoming, 0) AS incoming, coalesce(outgoing, 0) AS outgoing FROM (SELECT file_path, count(*) AS symbols FROM N GROUP BY 1) f LEFT JOIN ic USING (file_path) LEFT JOIN oc USING (file_path)),
+dg AS (SELECT file_path, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(i) AS BIGINT) AS incoming, CAST(sum(o + i) AS BIGINT) AS connections FROM (SELECT source_file AS file_path, 1 AS o, 0 AS i FROM XF UNION ALL SELECT target_file, 0, 1 FROM XF) GROUP BY 1),
+di AS (SELECT target AS id, count(*) AS dependents FROM E GROUP BY 1)
+"""
+#: Edges kept for traversals, whose results are trivial on all of them.
+SPARSE, SPARSER, TREE = "seq % 13 = 0", "seq % 97 = 0", "seq % 97 = 0 AND kind <> 'references'"
+
+
+def query(name: str, run: Callable[[CodeGraph], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(bound_graph(spark, sf_dir))
+    if sql:
+        more = "," if re.match(r"\s*\w+(\([^)]*\))? AS \(", sql) else ""  # further relations before the SELECT
+        SQL[name] = f"WITH RECURSIVE {PRELUDE}, {SUMMARY}{more} {sql}"
+
+
+def table_query(name: str, run: Query, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = sql
+
+
+def sparse(g: CodeGraph, condition: str) -> CodeGraph:
+    return g.where_edges(F.expr(condition))
+
+
+# --- lookups -----------------------------------------------------------------------------------------------------------
+#: Symbols that exist at every scale of the tables.
+PART, SUPP, CUST = "part_2", "Supplier1", "Customer5Service"
+ID = "(SELECT id FROM N WHERE name = '{}')"
+
+
+def symbol_id(g: CodeGraph, name: str) -> str:
+    row = g.nodes.where(F.col("name") == name).select("id").first()
+    return row[0] if row else name
+
+
+plain = ["id", "name", "kind", "file_path", "dependents"]
+query("q1_find_symbols", lambda g: lookup.find_symbols(g, PART.upper()).select(*plain), f"SELECT id, name, kind, file_path, coalesce(dependents, 0) AS dependents FROM N LEFT JOIN di USING (id) WHERE lower(name) = '{PART}'")
+query("q2_search_symbols", lambda g: lookup.search_symbols(g, "customer1").select(*plain), "SELECT id, name, kind, file_path, coalesce(dependents, 0) AS dependents FROM N LEFT JOIN di USING (id) WHERE contains(lower(name), 'customer1')")
+query(
+    "q3_ranked_search", lambda g: lookup.ranked_search(g, "Part_2").select("id", "match", "total"),
+    "SELECT id, CASE WHEN lower(name) = 'part_2' THEN 0 WHEN starts_with(lower(name), 'part_2') THEN 1 ELSE 2 END AS match, count(*) OVER () AS total FROM N WHERE contains(lower(name), 'part_2') ORDER BY match, lower(name), seq LIMIT 20",
+)
+query("q4_symbol_info", lambda g: lookup.symbol_info(g, "supplier1")[0].select(*plain), "SELECT id, name, kind, file_path, coalesce(dependents, 0) AS dependents FROM N LEFT JOIN di USING (id) WHERE lower(name) = 'supplier1'")
+query("q5_disambiguation", lambda g: lookup.disambiguation(g, PART).select("id", "hint"), f"SELECT id, row_number() OVER (ORDER BY coalesce(dependents, 0) DESC, seq) = 1 AND coalesce(dependents, 0) > 0 AS hint FROM N LEFT JOIN di USING (id) WHERE lower(name) = '{PART}'")
+query("q6_dependencies", lambda g: lookup.dependencies(g, symbol_id(g, PART)).select("id", "relation", "line"), f"SELECT target AS id, kind AS relation, line FROM E WHERE source = {ID.format(PART)}")
+query("q7_dependents", lambda g: lookup.dependents(g, symbol_id(g, PART)).select("id", "relation", "line"), f"SELECT source AS id, kind AS relation, line FROM E WHERE target = {ID.format(PART)}")
+query(
+    "q8_by_relation", lambda g: lookup.by_relation(lookup.dependents(g, symbol_id(g, CUST))).select("relation", "total", F.array_join(F.array_sort(F.transform("symbols", lambda s: s["id"])), ",").alias("ids")),
+    f"SELECT kind AS relation, count(*) AS total, string_agg(source, ',' ORDER BY source) AS ids FROM E WHERE target = {ID.format(CUST)} GROUP BY 1",
+)
+FILE = "lib/supp/n{}.go"
+query("q9_file_imports", lambda g: lookup.file_imports(g, _a_file(g)).select("file_path", F.array_join("names", ",").alias("names")), "SELECT target_file AS file_path, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM XF JOIN N ON id = target WHERE source_file = (SELECT min(file_path) FROM N) GROUP BY 1")
+query("q9_file_imported_by", lambda g: lookup.file_imported_by(g, _a_file(g)).select("file_path", F.array_join("names", ",").alias("names")), "SELECT source_file AS file_path, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM XF JOIN N ON id = target WHERE target_file = (SELECT min(file_path) FROM N) GROUP BY 1")
+query("q9_file_symbols", lambda g: lookup.file_symbols(g, _a_file(g)).select("id", "kind", "start_line"), "SELECT id, kind, start_line FROM N WHERE file_path = (SELECT min(file_path) FROM N)")
+query("q10_list_files", lambda g: rollup.list_files(g, "src/cust/"), "SELECT * FROM FS WHERE starts_with(file_path, 'src/cust/')")
+query("q11_cross_file_edges", lambda g: g.xf.select("source", "target", "kind", "source_file", "target_file"), "SELECT source, target, kind, source_file, target_file FROM XF")
+query("q12_by_file", lambda g: lookup.by_file(g.nodes, "/n1.go").select("id"), "SELECT id FROM N WHERE file_path = '/n1.go' OR ends_with(file_path, '/n1.go')")
+query(
+    "q13_many_impacts", lambda g: _many_impacts(sparse(g, SPARSER), "supplier1"),
+    f"""SE AS (SELECT * FROM E WHERE {SPARSER}), q AS (SELECT id FROM N WHERE contains(lower(name), 'supplier1')),
+    r(root, id) AS (SELECT id, id FROM q UNION SELECT r.root, e.source FROM r JOIN SE e ON e.target = r.id) SELECT root, count(*) AS reached FROM r WHERE root <> id GROUP BY 1""",
+)
+query("q14_same_file", lambda g: g.nodes.where(lookup.same_file("file_path", "./supp/n3.go")).select("id"), "SELECT id FROM N WHERE file_path = 'supp/n3.go' OR ends_with(file_path, '/supp/n3.go')")
+
+
+def _a_file(g: CodeGraph) -> str:
+    return g.nodes.agg(F.min("file_path")).first()[0]
+
+
+def _many_impacts(g: CodeGraph, name: str) -> DataFrame:
+    starts = lookup.search_symbols(g, name).select(F.col("id").alias("root"), "id")
+    return traverse.closure(g.edges, starts).where("root <> id").groupBy("root").agg(F.count(F.lit(1)).alias("reached"))
+
+
+# --- graph construction and joins ---------------------------------------------------------------------------------------
+query("b1_build_nodes", lambda g: g.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")), "SELECT kind, count(*) AS n, min(seq) AS first FROM N GROUP BY 1")
+query("b1_build_edges", lambda g: g.edges.select("source", "target", "kind", "line", "seq"), "SELECT source, target, kind, line, seq FROM E")
+query("b3_remove_file", lambda g: _counts(_removed(g)), "k AS (SELECT min(file_path) AS f FROM N) SELECT (SELECT count(*) FROM N, k WHERE file_path <> f) AS nodes, (SELECT count(*) FROM EF, k WHERE source_file <> f AND target_file <> f) AS edges")
+query("j1_edges_with_files", lambda g: g.ef.groupBy("source_file", "target_file", "kind").agg(F.count(F.lit(1)).alias("n")), "SELECT source_file, target_file, kind, count(*) AS n FROM EF GROUP BY 1, 2, 3")
+query("file_graph", lambda g: g.fp.select("source_file", "target_file", "seq", "edges"), "SELECT source_file, target_file, seq, edges FROM FP")
+
+
+def _removed(g: CodeGraph) -> CodeGraph:
+    from .graph import remove_files
+
+    return remove_files(g, [_a_file(g)])
+
+
+def _counts(g: CodeGraph) -> DataFrame:
+    return g.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("edges")))
+
+
+# --- roll-ups -----------------------------------------------------------------------------------------------------------
+query("a1_file_summary", rollup.file_summary, "SELECT * FROM FS")
+query("a2_architecture_counts", rollup.architecture_counts, "SELECT (SELECT count(*) FROM FS) AS files, (SELECT count(*) FROM N) AS symbols, (SELECT count(*) FROM FS WHERE incoming = 0 AND outgoing = 0) AS orphans, (SELECT count(*) FROM EF) AS edges, (SELECT count(*) FROM XF) AS cross_file_edges")
+query("a2_most_connected", rollup.most_connected, "SELECT *, incoming + outgoing AS connections FROM FS ORDER BY connections DESC, file_path LIMIT 5")
+query("a3_top_directories", rollup.top_directories, f"SELECT {DIR.format('file_path')} AS dir, count(*) AS symbols FROM N GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+query("a4_edge_degree", lambda g: g.edge_degree, "SELECT * FROM dg")
+query("a5_in_degree", lambda g: g.in_degree, "SELECT * FROM di")
+query(
+    "a6_file_stats", rollup.file_stats,
+    f"SELECT f.file_path, {LANG.format('f.file_path')} AS language, symbols, exports, max_line, coalesce(incoming, 0) AS incoming, coalesce(outgoing, 0) AS outgoing, coalesce(connections, 0) AS connections FROM (SELECT file_path, count(*) AS symbols, count(*) FILTER (exported) AS exports, max(end_line) AS max_line FROM N GROUP BY 1) f LEFT JOIN dg USING (file_path)",
+)
+query("a7_top_dir_breakdown", rollup.top_dir_breakdown, f"SELECT {TOP.format('FS.file_path')} AS top_dir, count(*) AS files, CAST(sum(symbols) AS BIGINT) AS symbols, arg_min(FS.file_path, (-coalesce(connections, 0), FS.file_path)) AS most_connected FROM FS LEFT JOIN dg USING (file_path) GROUP BY 1")
+query("a8_largest_files", rollup.largest_files, "SELECT file_path, symbols FROM FS ORDER BY symbols DESC, file_path LIMIT 10")
+query("a8_smallest_files", lambda g: rollup.largest_files(g, smallest=True), "SELECT file_path, symbols FROM FS ORDER BY symbols, file_path LIMIT 10")
+query("a8_mean_size", rollup.mean_file_size, "SELECT count(*) AS files, CAST(floor(avg(symbols) + 0.5) AS BIGINT) AS mean_symbols FROM FS")
+query("a9_orphan_files", rollup.orphan_files, "SELECT file_path FROM FS ANTI JOIN dg USING (file_path)")
+query("a9_hub_files", rollup.hub_files_by_degree, "SELECT * FROM dg ORDER BY connections DESC, file_path LIMIT 10")
+query(
+    "a10_directory_stats", rollup.directory_stats,
+    f"""b AS (SELECT {DIR.format('file_path')} AS dir, count(*) AS symbols, count(DISTINCT file_path) AS files, count(*) FILTER (kind IN ('interface', 'type_alias')) AS types, count(*) FILTER (kind IN ('function', 'method')) AS functions FROM N GROUP BY 1),
+    p AS (SELECT {DIR.format('source_file')} AS s, {DIR.format('target_file')} AS t FROM XF), x AS (SELECT dir, CAST(sum(o) AS BIGINT) AS o, CAST(sum(i) AS BIGINT) AS i FROM (SELECT s AS dir, 1 AS o, 0 AS i FROM p WHERE s <> t UNION ALL SELECT t, 0, 1 FROM p WHERE s <> t) GROUP BY 1),
+    y AS (SELECT b.*, coalesce(o, 0) AS outgoing, coalesce(i, 0) AS incoming FROM b LEFT JOIN x USING (dir) WHERE dir <> '.')
+    SELECT *, CASE WHEN types / symbols > 0.7 THEN 'types' WHEN outgoing / greatest(outgoing + incoming, 1) > 0.7 THEN 'orchestration' WHEN incoming / greatest(outgoing + incoming, 1) > 0.7 THEN 'foundation' ELSE 'core' END AS role FROM y""",
+)
+query("a11_entry_points", rollup.entry_points, "SELECT *, CASE WHEN incoming = 0 THEN CAST('inf' AS DOUBLE) ELSE outgoing / (incoming + 1) END AS ratio FROM FS WHERE outgoing > 0 ORDER BY ratio DESC, outgoing DESC, file_path LIMIT 5")
+query("a12_hubs", rollup.hub_files, "SELECT target_file AS file_path, count(*) AS dependents FROM FP GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+query("a13_layers", rollup.layers, "SELECT file_path, CASE WHEN incoming > 2 * outgoing THEN 'foundation' WHEN outgoing > 2 * incoming THEN 'orchestration' ELSE 'core' END AS layer FROM FS")
+query("a14_languages", rollup.language_histogram, f"SELECT {LANG.format('file_path')} AS language, count(*) AS files, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM FS GROUP BY 1")
+MODULE = "CASE WHEN len(string_split({0}, '/')) < 2 THEN NULL WHEN starts_with({0}, 'src/') THEN CASE WHEN len(string_split({0}, '/')) >= 3 THEN array_to_string(string_split({0}, '/')[1:2], '/') END ELSE array_to_string(string_split({0}, '/')[1:2], '/') END"
+query(
+    "a15_module_matrix", rollup.module_matrix,
+    f"""m AS (SELECT {MODULE.format('source_file')} AS source_dir, {MODULE.format('target_file')} AS target_dir FROM XF), c AS (SELECT source_dir, target_dir, count(*) AS edges FROM m WHERE source_dir <> target_dir GROUP BY 1, 2),
+    t AS (SELECT source_dir, sum(edges) AS total FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15) SELECT c.* FROM c SEMI JOIN t USING (source_dir)""",
+)
+query("a16_high_impact", rollup.high_impact_symbols, "SELECT id, name, kind, file_path, dependents, CASE WHEN dependents > 20 THEN 'high' WHEN dependents > 10 THEN 'medium' ELSE 'low' END AS impact FROM N JOIN di USING (id) ORDER BY dependents DESC, id LIMIT 15")
+query("a17_isolated_files", lambda g: rollup.isolated_files(sparse(g, SPARSER)), f"SELECT file_path, symbols FROM FS ANTI JOIN (SELECT target_file AS file_path FROM XF WHERE {SPARSER}) x USING (file_path) ORDER BY file_path LIMIT 20")
+query("a18_connected_pairs", rollup.connected_pairs, "SELECT least(source_file, target_file) AS file_a, greatest(source_file, target_file) AS file_b, count(*) AS edges FROM XF GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10")
+EXPORTS = "ex AS (SELECT N.*, coalesce(dependents, 0) AS dependents FROM N LEFT JOIN di USING (id) WHERE exported)"
+query("a19_exports_by_file", rollup.exports_by_file, f"{EXPORTS} SELECT file_path, count(*) AS exports, CAST(sum(dependents) AS BIGINT) AS dependents FROM ex GROUP BY 1")
+query("a19_exports_by_kind", rollup.exports_by_kind, f"{EXPORTS} SELECT * FROM (SELECT kind, id, dependents, row_number() OVER (PARTITION BY kind ORDER BY dependents DESC, id) AS rank FROM ex) WHERE rank <= 20")
+query("a20_most_used_exports", rollup.most_used_exports, f"{EXPORTS} SELECT id, name, kind, file_path, dependents FROM ex WHERE dependents > 0 ORDER BY dependents DESC, id LIMIT 20")
+query("a20_unused_exports", rollup.unused_exports, f"{EXPORTS} SELECT file_path, count(*) AS unused, string_agg(name, ',' ORDER BY name) AS names FROM ex WHERE dependents = 0 GROUP BY 1")
+query(
+    "a21_barrel_files", rollup.barrel_files,
+    f"{EXPORTS}, o AS (SELECT source AS id, target_file FROM XF WHERE kind = 'imports'), p AS (SELECT file_path, count(DISTINCT id) AS exports, count(DISTINCT id) FILTER (target_file IS NOT NULL) AS re_exports, count(DISTINCT target_file) AS source_files FROM ex LEFT JOIN o USING (id) GROUP BY 1) SELECT * FROM p WHERE re_exports * 2 >= exports AND re_exports > 0",
+)
+query("a22_file_lengths", rollup.file_lengths, "p AS (SELECT file_path, max(end_line) AS lines FROM N GROUP BY 1) SELECT count(*) AS files, CAST(floor(avg(lines) + 0.5) AS BIGINT) AS mean_lines, CAST(floor(quantile_cont(lines, 0.5) + 0.5) AS BIGINT) AS median_lines, count(*) FILTER (regexp_matches(file_path, '(^|/)index\\.[^/]*$')) AS barrels, count(*) FILTER (contains(file_path, '/test/')) AS tests FROM p")
+_CAMEL, _PASCAL, _SNAKE = "(regexp_matches({0}, '^[a-z][a-zA-Z0-9]*$') AND regexp_matches({0}, '[A-Z]'))", "regexp_matches({0}, '^[A-Z][a-zA-Z0-9]*$')", "regexp_matches({0}, '^[a-z][a-z0-9]*(_[a-z0-9]+)*$')"
+query(
+    "a23_naming", rollup.naming,
+    f"""s AS (SELECT CASE kind WHEN 'function' THEN 'functions' WHEN 'class' THEN 'classes' ELSE 'interfaces' END AS category, CASE
+      WHEN kind = 'function' THEN CASE WHEN {_CAMEL.format('name')} THEN 'camelCase' WHEN {_PASCAL.format('name')} THEN 'PascalCase' WHEN {_SNAKE.format('name')} THEN 'snake_case' ELSE 'other' END
+      WHEN kind = 'class' THEN CASE WHEN {_PASCAL.format('name')} THEN 'PascalCase' ELSE 'other' END
+      ELSE CASE WHEN starts_with(name, 'I') AND {_PASCAL.format('substr(name, 2)')} THEN 'IPrefixed' WHEN {_PASCAL.format('name')} THEN 'PascalCase' ELSE 'other' END END AS style FROM N
+     UNION ALL SELECT 'files', CASE WHEN {_CAMEL.format('b')} THEN 'camelCase' WHEN {_PASCAL.format('b')} THEN 'PascalCase' WHEN regexp_matches(b, '^[a-z][a-z0-9]*(-[a-z0-9]+)*$') THEN 'kebab-case' WHEN {_SNAKE.format('b')} THEN 'snake_case' ELSE 'other' END FROM (SELECT regexp_extract(file_path, '([^/]*)\\.[^./]*$', 1) AS b FROM FS))
+    SELECT category, style, count(*) AS n FROM s GROUP BY 1, 2""",
+)
+query("a24_import_style", rollup.import_style, "SELECT count(*) AS imports, count(*) FILTER (regexp_matches(target_file, '(^|/)index\\.[^/]*$')) AS barrel, count(*) FILTER (source_file = target_file) AS local FROM EF WHERE kind = 'imports'")
+query("a25_export_patterns", rollup.export_patterns, "SELECT count(*) FILTER (name <> 'default') AS named, count(*) FILTER (name = 'default') AS default_exports, count(*) FILTER (kind = 'export') AS re_exports FROM N WHERE exported")
+query("a26_kinds", rollup.kind_distribution, "SELECT kind, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM N GROUP BY 1")
+query(
+    "a27_design_patterns", rollup.design_patterns,
+    """SELECT 'service' AS pattern, count(*) FILTER (kind = 'class' AND ends_with(name, 'Service')) AS n FROM N UNION ALL SELECT 'factory', count(*) FILTER (kind = 'function' AND starts_with(name, 'create')) FROM N
+    UNION ALL SELECT 'hook', count(*) FILTER (kind = 'function' AND starts_with(name, 'use') AND length(name) > 3) FROM N UNION ALL SELECT 'middleware', count(*) FILTER (contains(lower(file_path), 'middleware')) FROM N
+    UNION ALL SELECT 'controller', count(*) FILTER (kind IN ('class', 'function') AND ends_with(name, 'Controller')) FROM N UNION ALL SELECT 'repository', count(*) FILTER (kind IN ('class', 'function') AND ends_with(name, 'Repository')) FROM N
+    UNION ALL SELECT 'handler', count(*) FILTER (kind IN ('class', 'function') AND ends_with(name, 'Handler')) FROM N""",
+)
+_ANY = " OR ".join(f"contains(lower(name), '{w}')" for w in rollup.ERROR_WORDS)
+_HAS = lambda *w: "(" + " OR ".join(f"contains(lower(name), '{x}')" for x in w) + ")"
+ERRORS = f"er AS (SELECT *, CASE WHEN {_HAS('retry', 'timeout')} THEN 'retry_timeout' WHEN {_HAS('invalid', 'validate')} THEN 'validation' WHEN {_HAS('unauthorized', 'forbidden')} THEN 'auth_error' WHEN {_HAS('notfound', 'not_found')} THEN 'not_found' ELSE 'error_handling' END AS category FROM N WHERE {_ANY})"
+query("a28_error_symbols", lambda g: rollup.error_symbols(g).select("id", "category"), f"{ERRORS} SELECT id, category FROM er")
+query("a28_error_symbols_top", rollup.error_symbols_top, f"{ERRORS} SELECT * FROM (SELECT category, id, kind, start_line, row_number() OVER (PARTITION BY category ORDER BY seq) AS rank FROM er) WHERE rank <= 10")
+query("a29_error_classes", rollup.error_classes, f"SELECT id, file_path, coalesce(dependents, 0) AS dependents, coalesce(dependents, 0) = 0 AS unused FROM N LEFT JOIN di USING (id) WHERE kind = 'class' AND {_HAS('error', 'exception')}")
+query("a30_error_prone_files", rollup.error_prone_files, f"{ERRORS}, c AS (SELECT file_path, count(*) AS errors FROM er GROUP BY 1) SELECT file_path, connections, coalesce(errors, 0) AS errors, CAST(connections * (1 + 0.5 * coalesce(errors, 0)) AS DOUBLE) AS risk FROM dg LEFT JOIN c USING (file_path) WHERE connections > 5 ORDER BY risk DESC, file_path LIMIT 15")
+query(
+    "a31_error_patterns", rollup.error_patterns,
+    f"""SELECT 'custom_errors' AS pattern, count(*) FILTER (kind = 'class' AND {_HAS('error', 'exception')}) AS n FROM N UNION ALL SELECT 'retry', count(*) FILTER ({_HAS('retry', 'attempt')}) FROM N UNION ALL SELECT 'timeout', count(*) FILTER ({_HAS('timeout')}) FROM N
+    UNION ALL SELECT 'validation', count(*) FILTER ({_HAS('validate', 'validator', 'check')}) FROM N UNION ALL SELECT 'guard', count(*) FILTER ({_HAS('guard')} OR starts_with(lower(name), 'is') OR starts_with(lower(name), 'has')) FROM N""",
+)
+query("a31_unguarded_files", rollup.unguarded_files, f"{ERRORS} SELECT file_path, connections FROM dg ANTI JOIN er USING (file_path) WHERE connections > 10")
+query("a32_untested_files", rollup.untested_files, "SELECT file_path, coalesce(connections, 0) AS connections, CASE WHEN coalesce(connections, 0) > 10 THEN 'high' WHEN coalesce(connections, 0) > 5 THEN 'medium' ELSE 'low' END AS priority FROM FS LEFT JOIN dg USING (file_path) ORDER BY 2 DESC, 1 LIMIT 20")
+query("a32_test_stats", rollup.test_stats, f"SELECT {TOP.format('file_path')} AS top_dir, count(*) FILTER (contains(file_path, '/test/')) AS tests, count(*) FILTER (NOT contains(file_path, '/test/')) AS sources FROM FS GROUP BY 1")
+query("a42_reading_order", rollup.reading_order, """z AS (SELECT *, incoming + outgoing AS total FROM FS), a AS (SELECT file_path FROM z WHERE incoming > outgoing ORDER BY incoming DESC, file_path LIMIT 3),
+    b AS (SELECT file_path FROM z ANTI JOIN a USING (file_path) WHERE total > 0 ORDER BY total DESC, file_path LIMIT 5), c AS (SELECT file_path FROM z ANTI JOIN a USING (file_path) ANTI JOIN b USING (file_path) WHERE outgoing > incoming ORDER BY outgoing DESC, file_path LIMIT 3)
+    SELECT file_path, 'foundation' AS step FROM a UNION ALL SELECT file_path, 'core' FROM b UNION ALL SELECT file_path, 'orchestration' FROM c""")
+query("a44_heavily_used_files", rollup.heavily_used_files, "SELECT file_path, incoming FROM dg WHERE incoming >= 5 ORDER BY 2 DESC, 1 LIMIT 5")
+query("a45_file_index", lambda g: rollup.file_index(sparse(g, SPARSE)), f"""X AS (SELECT DISTINCT source_file, target_file FROM XF WHERE {SPARSE}), u AS (SELECT source_file AS file_path, string_agg(target_file, ',' ORDER BY target_file) AS uses FROM X GROUP BY 1), v AS (SELECT target_file AS file_path, string_agg(source_file, ',' ORDER BY source_file) AS used_by FROM X GROUP BY 1)
+    SELECT file_path, symbols, coalesce(uses, '') AS uses, coalesce(used_by, '') AS used_by FROM FS LEFT JOIN u USING (file_path) LEFT JOIN v USING (file_path)""")
+query("a45_symbol_index", rollup.symbol_index, "SELECT * FROM (SELECT kind, name, file_path, start_line, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS rank FROM N) WHERE rank <= 100")
+query("a45_connection_matrix", rollup.connection_matrix, f"""d AS (SELECT DISTINCT {TOP.format('source_file')} AS s, {TOP.format('target_file')} AS t FROM FP), e AS (SELECT * FROM d WHERE s <> t), b AS (SELECT s, t FROM e UNION SELECT t, s FROM e)
+    SELECT b.s AS dir_a, b.t AS dir_b, CASE WHEN x.s IS NOT NULL AND y.s IS NOT NULL THEN 'both' WHEN x.s IS NOT NULL THEN 'out' ELSE 'in' END AS arrow FROM b LEFT JOIN e x ON x.s = b.s AND x.t = b.t LEFT JOIN e y ON y.s = b.t AND y.t = b.s""")
+query("a46_viz_arcs", rollup.viz_arcs, "SELECT source_file, target_file, count(*) AS edges, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM XF GROUP BY 1, 2")
+query("a47_pair_weights", rollup.pair_weights, "SELECT least(source_file, target_file) AS file_a, greatest(source_file, target_file) AS file_b, count(*) AS weight FROM XF GROUP BY 1, 2")
+query("v1_viz_files", rollup.viz_files, f"f AS (SELECT *, {DIR.format('file_path')} AS dir, greatest(4, symbols) AS width FROM FS) SELECT *, CAST(coalesce(sum(width) OVER (ORDER BY dir, file_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x FROM f")
+query("v2_viz_limited", rollup.viz_limited, "t AS (SELECT file_path FROM FS ORDER BY incoming + outgoing DESC, file_path LIMIT 20) SELECT source_file, target_file, count(*) AS edges, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM XF WHERE source_file IN (FROM t) AND target_file IN (FROM t) GROUP BY 1, 2")
+
+# --- health -------------------------------------------------------------------------------------------------------------
+GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade"
+
+
+def health_sql(name: str, relation: str, score: str, value: str) -> str:
+    return f"{relation}, z AS (SELECT CAST({score} AS INTEGER) AS score, round(CAST({value} AS DOUBLE), 6) AS value FROM h) SELECT '{name}' AS dimension, score, CAST({health.WEIGHTS[name]} AS DOUBLE) AS weight, {GRADE}, value FROM z"
+
+
+query(
+    "h1_coupling", health.coupling,
+    health_sql("coupling", f"h AS (SELECT (SELECT count(*) FROM XF) AS e, (SELECT count(*) FROM FS) AS f, (SELECT max(connections) FROM dg) AS top, (SELECT count(*) FROM XF WHERE {TOP.format('source_file')} <> {TOP.format('target_file')}) AS a)",
+        "greatest(0, CASE WHEN e / f <= 3 THEN 100 WHEN e / f <= 6 THEN 80 WHEN e / f <= 10 THEN 60 WHEN e / f <= 15 THEN 40 ELSE 20 END - CASE WHEN top > 3 * e / f THEN 10 ELSE 0 END - CASE WHEN a / e > 0.7 THEN 10 ELSE 0 END)", "e / f"),
+)
+query("h2_cohesion", health.cohesion, health_sql("cohesion", f"q AS (SELECT {DIR.format('source_file')} AS d, count(*) AS n, count(*) FILTER ({DIR.format('source_file')} = {DIR.format('target_file')}) AS o FROM XF GROUP BY 1), h AS (SELECT sum(o / n) / count(*) AS m FROM q)", "CASE WHEN m >= 0.7 THEN 100 WHEN m >= 0.5 THEN 80 WHEN m >= 0.3 THEN 60 WHEN m >= 0.1 THEN 40 ELSE 20 END", "m"))
+query("h4_god_files", health.god_files, health_sql("god_files", "h AS (SELECT count(*) AS n FROM dg WHERE connections > 3 * (SELECT avg(connections) FROM dg))", "CASE WHEN n = 0 THEN 100 WHEN n <= 1 THEN 80 WHEN n <= 3 THEN 60 WHEN n <= 5 THEN 40 ELSE 20 END", "n"))
+query("h5_orphans", health.orphans, health_sql("orphans", "h AS (SELECT (100 * (SELECT count(*) FROM FS ANTI JOIN dg USING (file_path)) / (SELECT count(*) FROM FS) + 100 * (SELECT count(*) FROM N ANTI JOIN di USING (id)) / (SELECT count(*) FROM N)) / 2 AS s)", "CASE WHEN s = 0 THEN 100 WHEN s <= 5 THEN 80 WHEN s <= 10 THEN 60 WHEN s <= 20 THEN 40 ELSE 20 END", "s"))
+query("h3_cycles", lambda g: health.circular(sparse(g, SPARSER)))
+query("h6_depth", lambda g: health.depth(sparse(g, TREE)), f"t AS (SELECT DISTINCT source_file AS a, target_file AS b FROM XF WHERE {TREE}), r(a, b, n) AS (SELECT a, b, 1 FROM t UNION SELECT r.a, t.b, n + 1 FROM r JOIN t ON t.a = r.b WHERE n < 50), {health_sql('depth', 'h AS (SELECT max(n) AS n FROM r)', 'CASE WHEN n <= 4 THEN 100 WHEN n <= 6 THEN 80 WHEN n <= 8 THEN 60 WHEN n <= 12 THEN 40 ELSE 20 END', 'n')}")
+query("h7_overall", lambda g: health.overall(health.dimensions(sparse(g, TREE))))
+
+# --- traversal ----------------------------------------------------------------------------------------------------------
+REACH = f"SE AS (SELECT * FROM E WHERE {{}}), r(id) AS (SELECT {ID.format(SUPP)} UNION SELECT e.source FROM r JOIN SE e ON e.target = r.id)"
+query("t1_impact", lambda g: _impact(g).select("id", "file_path", "relation"), f"{REACH.format(SPARSE)} SELECT r.id, file_path, SE.kind AS relation FROM r JOIN N USING (id) LEFT JOIN SE ON SE.source = r.id AND SE.target = {ID.format(SUPP)} WHERE r.id <> {ID.format(SUPP)}")
+query("t2_affected_files", lambda g: traverse.affected_files(_impact(g)).select("file_path", "symbols"), f"{REACH.format(SPARSE)} SELECT file_path, count(*) AS symbols FROM r JOIN N USING (id) WHERE r.id <> {ID.format(SUPP)} GROUP BY 1")
+query(
+    "t4_strong_components", lambda g: traverse.strong_components(sparse(g, SPARSER).fp),
+    f"t AS (SELECT DISTINCT source_file AS a, target_file AS b FROM XF WHERE {SPARSER}), r(a, b) AS (SELECT a, b FROM t UNION SELECT r.a, t.b FROM r JOIN t ON t.a = r.b) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1",
+)
+query("t4_cycles", lambda g: traverse.cycles(sparse(g, SPARSER).fp).select(F.array_join(F.array_sort("members"), ",").alias("members")))
+query("t6_chains", lambda g: traverse.chains(sparse(g, TREE).fp))
+query("t7_without_auth", lambda g: traverse.without_auth(g, g.files), "SELECT DISTINCT file_path FROM N WHERE file_path NOT IN (SELECT source_file FROM EF JOIN N t ON t.id = target WHERE regexp_matches(t.name, '(?i)auth|login|session|token|guard') OR regexp_matches(t.file_path, '(?i)auth|guard|session'))")
+
+
+def _impact(g: CodeGraph) -> DataFrame:
+    return traverse.impact(sparse(g, SPARSE), symbol_id(g, SUPP)).where(F.col("name") != SUPP)
+
+
+# --- what-if ------------------------------------------------------------------------------------------------------------
+A_FILE = "(SELECT min(file_path) FROM N)"
+query("w2_move_edges", lambda g: _sim(g, "move", "moved/x.go").added_edges.select("source", "target", "kind"), f"SELECT CASE WHEN source_file = {A_FILE} THEN 'moved/x.go::' || string_split(source, '::')[2] ELSE source END AS source, CASE WHEN target_file = {A_FILE} THEN 'moved/x.go::' || string_split(target, '::')[2] ELSE target END AS target, kind FROM EF WHERE source_file = {A_FILE} OR target_file = {A_FILE}")
+query("w3_delete_edges", lambda g: _sim(g, "delete").removed_edges.select("source", "target", "kind"), f"SELECT source, target, kind FROM EF WHERE source_file = {A_FILE} OR target_file = {A_FILE}")
+query("w7_broken_imports", lambda g: _sim(g, "delete").broken_imports.select("importer", "source", "target"), f"SELECT source_file AS importer, source, target FROM XF WHERE target_file = {A_FILE}")
+query("w8_affected_nodes", lambda g: _sim(g, "delete").affected_nodes(), f"SELECT DISTINCT unnest([source, target]) AS id FROM EF WHERE source_file = {A_FILE} OR target_file = {A_FILE}")
+
+
+def _sim(g: CodeGraph, kind: str, to: str | None = None) -> simulate.Outcome:
+    return simulate.simulate(g, simulate.Action(kind, _a_file(g), to))
+
+
+# --- dead code ----------------------------------------------------------------------------------------------------------
+DEAD = f"dead AS (SELECT N.* FROM N ANTI JOIN (SELECT target AS id FROM E WHERE {SPARSE}) x USING (id))"
+query("d1_candidates", lambda g: dead_code.candidates(sparse(g, SPARSE)).select("id", "kind"), f"{DEAD} SELECT id, kind FROM dead")
+query("d2_exclusions", lambda g: dead_code.exclusion_counts(sparse(g, SPARSE)), f"{DEAD} SELECT 'framework' AS excluded, count(*) AS n FROM dead WHERE starts_with(name, 'operator') HAVING count(*) > 0")
+query("d4_confidence", lambda g: dead_code.dead_symbols(sparse(g, SPARSE)).select("id", "confidence", "reason"), f"{DEAD} SELECT id, 'high' AS confidence, CASE WHEN exported THEN 'exported, no dependents' ELSE 'not exported, no references' END AS reason FROM dead")
+query("d5_report", lambda g: dead_code.report(sparse(g, SPARSE)), f"{DEAD} SELECT count(*) AS high, CAST(0 AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low, count(*) AS dead, (SELECT count(*) FROM N) AS symbols, round(100.0 * count(*) / (SELECT count(*) FROM N), 4) AS percent FROM dead")
+
+# --- history: commits are the events table --------------------------------------------------------------------------------
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("event_id").cast("string").alias("hash"), F.col("ts").cast("timestamp").alias("date"), F.col("event_type").alias("message"), F.col("user_id").cast("string").alias("author"), F.col("event_id").alias("seq"))
+
+
+C = "WITH c AS (SELECT CAST(event_id AS VARCHAR) AS hash, ts AS date, event_type AS message, CAST(user_id AS VARCHAR) AS author, event_id AS seq FROM events)"
+table_query("y1_sample_evenly", lambda s, d: temporal.sample_evenly(commits(s, d), 20).select("hash"), f"{C}, n AS (SELECT count(*) AS n FROM c), k AS (SELECT CAST(floor(i * (n - 1) / 19 + 0.5) AS BIGINT) AS i FROM n, range(20) t(i)) SELECT hash FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM c) SEMI JOIN k USING (i)")
+table_query("y2_week_buckets", lambda s, d: commits(s, d).groupBy(temporal.week_key(F.col("date")).alias("week")).agg(F.max("seq").alias("kept"), F.count(F.lit(1)).alias("n")), f"{C} SELECT concat(year(date), '-W', weekofyear(date)) AS week, max(seq) AS kept, count(*) AS n FROM c GROUP BY 1")
+table_query("y2_month_buckets", lambda s, d: commits(s, d).groupBy(temporal.month_key(F.col("date")).alias("month")).agg(F.max("seq").alias("kept"), F.count(F.lit(1)).alias("n")), f"{C} SELECT strftime(date, '%Y-%m') AS month, max(seq) AS kept, count(*) AS n FROM c GROUP BY 1")
+table_query("y2_sample_monthly", lambda s, d: temporal.sample_buckets(commits(s, d), 4, temporal.month_key(F.col("date"))).select("hash"))
+table_query("a36_timeline", lambda s, d: temporal.timeline(commits(s, d)), f"{C}, t AS (SELECT min(date) AS a, max(date) AS b, count(*) AS n FROM c), u AS (SELECT *, CAST(floor((epoch_us(b) // 1000000 - epoch_us(a) // 1000000) / 86400) AS BIGINT) AS days FROM t) SELECT strftime(a, '%Y-%m-%d') AS first, strftime(b, '%Y-%m-%d') AS last, n AS commits, days, days // 30 AS months, round(CASE WHEN days // 30 > 0 THEN n / (days // 30) ELSE n END, 1) AS per_month FROM u")
+table_query("a38_commit_types", lambda s, d: temporal.commit_types(commits(s, d)), f"{C}, t AS (SELECT CASE WHEN regexp_matches(lower(message), 'feat|add|new|implement|create') THEN 'features' WHEN regexp_matches(lower(message), 'fix|bug|patch|resolve') THEN 'fixes' WHEN regexp_matches(lower(message), 'refactor|cleanup|restructure|improve') THEN 'refactors' ELSE 'other' END AS type FROM c) SELECT type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM t GROUP BY 1")
+table_query("a40_contributors", lambda s, d: temporal.contributors(commits(s, d)), f"{C} SELECT author, count(*) AS commits, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(hash, file_path, date): each order changes a file named by its day."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("hash"), F.concat(F.lit("src/p"), (F.col("o_custkey") % 50).cast("string"), F.lit(".ts")).alias("file_path"), F.col("o_orderdate").alias("date"))
+
+
+CH = "WITH h AS (SELECT CAST(o_orderkey AS VARCHAR) AS hash, concat('src/p', CAST(o_custkey % 50 AS VARCHAR), '.ts') AS file_path, o_orderdate AS date FROM orders)"
+table_query("a37_churn", lambda s, d: temporal.churn(changes(s, d)), f"{CH} SELECT file_path, count(*) AS changes, CAST(0 AS BIGINT) AS connections, CASE WHEN count(*) > 10 THEN 'medium' ELSE 'low' END AS risk FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+table_query("a39_file_ages", lambda s, d: temporal.file_ages(changes(s, d)).select("file_path", F.date_format("added", "yyyy-MM-dd").alias("added"), "end"), f"{CH}, f AS (SELECT file_path, min(date) AS added FROM h GROUP BY 1) SELECT file_path, strftime(added, '%Y-%m-%d') AS added, 'oldest' AS \"end\" FROM (FROM f ORDER BY added, file_path LIMIT 5) UNION ALL SELECT file_path, strftime(added, '%Y-%m-%d'), 'newest' FROM (FROM f ORDER BY added DESC, file_path LIMIT 5)")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .words import chunks, grams, split, within
+from .words import chunks, grams, split, whole, within
 
 #: Tokens of a seed, which is also the least match.
 LEAST = 5
@@ -32,8 +32,7 @@ FOUND = "doc_id long, item_id long, coverage double, tiles int, covered int, ite
 
 
 def plain(texts: pa.Array) -> pa.Array:
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    return pc.replace_substring_regex(texts, r"[^\pL\pN]+", " ")
+    return pc.replace_substring_regex(pc.utf8_lower(whole(texts)), r"[^\pL\pN]+", " ")
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -36,8 +36,14 @@ class Words:
         return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.vocab.to_pylist()), np.uint64, len(self.vocab))
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
+def whole(texts: pa.Array) -> pa.Array:
+    """The texts, nulls as '', in buffers of their own: some string kernels misread the offsets of a slice."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    return texts.take(pa.array(np.arange(len(texts))))
+
+
+def split(texts: pa.Array, lower: bool = False) -> Words:
+    texts = whole(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     offsets = np.asarray(lists.offsets).astype(np.int64)
     values = lists.values.slice(offsets[0], offsets[-1] - offsets[0])

@@ -45,8 +45,9 @@ def affected_files(impacted: DataFrame) -> DataFrame:
     return impacted.groupBy("file_path").agg(F.count(F.lit(1)).alias("symbols"), F.min("depth").alias("depth"))
 
 
-#: Patterns of entry points by class, the first that fits counts.
-ENTRIES = {"mcp": r"(?i)mcp|tool", "http": r"(?i)route|controller|handler|server|api", "cli": r"(?i)cli|command|main|bin"}
+#: Patterns of entry points by class, the first that fits counts; and of what authenticates.
+ENTRIES = {"mcp": r"(?i)(?:mcp/|mcp-|\.mcp\.)", "http": r"(?i)(?:routes?/|api/|handler|controller|endpoint|server)", "cli": r"(?i)(?:commands?/|cli/|bin/)"}
+AUTH = r"(?i)(?:auth|session|token|jwt|oauth|login|passport|middleware)"
 
 
 def entry_class(path):
@@ -66,7 +67,7 @@ def reachable_entries(g: CodeGraph, files: DataFrame) -> DataFrame:
 
 def without_auth(g: CodeGraph, files: DataFrame) -> DataFrame:
     """Files none of whose symbols refers to a symbol or path that speaks of authentication."""
-    auth = g.nodes.where(F.col("name").rlike("(?i)auth|login|session|token|guard") | F.col("file_path").rlike("(?i)auth|guard|session")).select(F.col("id").alias("target"))
+    auth = g.nodes.where(F.col("name").rlike(AUTH) | F.col("file_path").rlike(AUTH)).select(F.col("id").alias("target"))
     guarded = g.ef.join(auth, "target", "left_semi").select(F.col("source_file").alias("file_path"))
     return files.select("file_path").distinct().join(guarded, "file_path", "left_anti")
 

@@ -205,8 +205,8 @@ query("a44_heavily_used_files", rollup.heavily_used_files, "SELECT file_path, in
 query("a45_file_index", lambda g: rollup.file_index(sparse(g, SPARSE)), f"""X AS (SELECT DISTINCT source_file, target_file FROM XF WHERE {SPARSE}), u AS (SELECT source_file AS file_path, string_agg(target_file, ',' ORDER BY target_file) AS uses FROM X GROUP BY 1), v AS (SELECT target_file AS file_path, string_agg(source_file, ',' ORDER BY source_file) AS used_by FROM X GROUP BY 1)
     SELECT file_path, symbols, coalesce(uses, '') AS uses, coalesce(used_by, '') AS used_by FROM FS LEFT JOIN u USING (file_path) LEFT JOIN v USING (file_path)""")
 query("a45_symbol_index", rollup.symbol_index, "SELECT * FROM (SELECT kind, name, file_path, start_line, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS rank FROM N) WHERE rank <= 100")
-query("a45_connection_matrix", rollup.connection_matrix, f"""d AS (SELECT DISTINCT {TOP.format('source_file')} AS s, {TOP.format('target_file')} AS t FROM FP), e AS (SELECT * FROM d WHERE s <> t), b AS (SELECT s, t FROM e UNION SELECT t, s FROM e)
-    SELECT b.s AS dir_a, b.t AS dir_b, CASE WHEN x.s IS NOT NULL AND y.s IS NOT NULL THEN 'both' WHEN x.s IS NOT NULL THEN 'out' ELSE 'in' END AS arrow FROM b LEFT JOIN e x ON x.s = b.s AND x.t = b.t LEFT JOIN e y ON y.s = b.t AND y.t = b.s""")
+query("a45_connection_matrix", rollup.connection_matrix, f"""d AS (SELECT DISTINCT {TOP.format('source_file')} AS s, {TOP.format('target_file')} AS t FROM FP), e1 AS (SELECT * FROM d WHERE s <> t), b AS (SELECT s, t FROM e1 UNION SELECT t, s FROM e1)
+    SELECT b.s AS dir_a, b.t AS dir_b, CASE WHEN x.s IS NOT NULL AND y.s IS NOT NULL THEN 'both' WHEN x.s IS NOT NULL THEN 'out' ELSE 'in' END AS arrow FROM b LEFT JOIN e1 x ON x.s = b.s AND x.t = b.t LEFT JOIN e1 y ON y.s = b.t AND y.t = b.s""")
 query("a46_viz_arcs", rollup.viz_arcs, "SELECT source_file, target_file, count(*) AS edges, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM XF GROUP BY 1, 2")
 query("a47_pair_weights", rollup.pair_weights, "SELECT least(source_file, target_file) AS file_a, greatest(source_file, target_file) AS file_b, count(*) AS weight FROM XF GROUP BY 1, 2")
 query("v1_viz_files", rollup.viz_files, f"f AS (SELECT *, {DIR.format('file_path')} AS dir, greatest(4, symbols) AS width FROM FS) SELECT *, CAST(coalesce(sum(width) OVER (ORDER BY dir, file_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x FROM f")
@@ -242,7 +242,7 @@ query(
 )
 query("t4_cycles", lambda g: traverse.cycles(sparse(g, SPARSER).fp).select(F.array_join(F.array_sort("members"), ",").alias("members")))
 query("t6_chains", lambda g: traverse.chains(sparse(g, TREE).fp))
-query("t7_without_auth", lambda g: traverse.without_auth(g, g.files), "SELECT DISTINCT file_path FROM N WHERE file_path NOT IN (SELECT source_file FROM EF JOIN N t ON t.id = target WHERE regexp_matches(t.name, '(?i)auth|login|session|token|guard') OR regexp_matches(t.file_path, '(?i)auth|guard|session'))")
+query("t7_without_auth", lambda g: traverse.without_auth(g, g.files), "SELECT DISTINCT file_path FROM N WHERE file_path NOT IN (SELECT source_file FROM EF JOIN N t ON t.id = target WHERE regexp_matches(t.name, '(?i)(?:auth|session|token|jwt|oauth|login|passport|middleware)') OR regexp_matches(t.file_path, '(?i)(?:auth|session|token|jwt|oauth|login|passport|middleware)'))")
 
 
 def _impact(g: CodeGraph) -> DataFrame:

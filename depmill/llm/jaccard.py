@@ -43,7 +43,8 @@ PERCENT = 85
 HOT = 1 << 18
 #: Documents of a chunk that share a shingle before the chunk reports it.
 HOT_IN_CHUNK = 4
-LEAF = 48
+#: Members of a region that one task joins outright, and pivots that a larger one takes in each later round.
+LEAF, PIVOTS = 256, 16
 #: Document ids that are broadcast as a filter, at most (8 bytes each).
 BROADCAST_IDS = 2_000_000
 FACTS = "doc_id long, n long, s1 long, s2 long, sketch binary"
@@ -261,27 +262,32 @@ class Join:
     def links(self) -> DataFrame:
         """(a, b) pairs of representatives that connect all that the links of all pairs connect."""
         t = 1 - self.percent / 100 + 1e-9
-        key = ["e", "c"]
-        now, edges = written(self.regions(), "regions"), None
+        key, place = ["e", "c"], ["e", "c", "node"]
+        now, edges, pivots_each = written(self.regions(), "regions"), None, 1
         while True:
-            pivots = now.where("far").groupBy(*key).agg(F.min(F.struct("node", "n")).alias("pivot"))
-            members = now.join(pivots.select(*key, F.col("pivot.node").alias("p"), F.col("pivot.n").alias("p_n")), key).where("node <> p")
+            bucket = F.pmod(F.xxhash64("node"), F.lit(pivots_each))
+            pivots = now.where("far").groupBy(*key, bucket.alias("bucket")).agg(F.min(F.struct("node", "n")).alias("pivot")).select(*key, F.col("pivot.node").alias("p"), F.col("pivot.n").alias("p_n"))
+            members = now.join(pivots, key).where("node <> p")
             members = written(members.withColumn("fits", self.fits(F.col("n"), F.col("p_n"))), "members")
             found = self.distances(members.where("fits").select("p", "node").distinct())
             new = found.where("linked").select(F.col("p").alias("a"), F.col("node").alias("b"))
             edges = new if edges is None else edges.unionByName(new)
-            told = members.join(found, ["p", "node"], "left").select(
-                *key, "node", "n", F.coalesce("d", 1 - F.least("n", "p_n") / F.greatest("n", "p_n")).alias("d"), (F.col("far") & ~F.coalesce("linked", F.lit(False))).alias("far")
-            )
-            told = written(told, "told")
-            edge = told.groupBy(*key).agg(F.min(F.when(F.col("far"), F.col("d"))).alias("least"), F.sum(F.lit(1)).alias("members")).where("least is not null and members > 1")
-            left = written(told.join(edge, key).where(F.col("far") | (F.col("d") >= F.col("least") - t)), "left")
+            told = written(members.join(found, ["p", "node"], "left").select(*place, "n", "p", "far", F.coalesce("d", 1 - F.least("n", "p_n") / F.greatest("n", "p_n")).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked")), "told")
+            # a pivot has met all members of its region and is done
+            state = told.groupBy(*place).agg(F.first("n").alias("n"), F.first("far").alias("far"), F.max("linked").alias("linked"))
+            state = state.join(pivots.select(*key, F.col("p").alias("node")), place, "left_anti").select(*place, "n", (F.col("far") & ~F.col("linked")).alias("far"))
+            state = written(state, "state")
+            # a member linked to a pivot is done if the triangle inequality parts it from all that are far from every pivot
+            least = told.join(state.where("far").select(*place), place, "left_semi").groupBy(*key, "p").agg(F.min("d").alias("least"))
+            apart = told.where("linked").join(least, [*key, "p"]).where(F.col("d") < F.col("least") - t).select(*place).distinct()
+            left = state.join(state.where("far").select(*key).distinct(), key, "left_semi").join(apart, place, "left_anti")
+            left = written(left, "left")
             sizes = left.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-            sized = written(left.select(*key, "node", "n", "far").join(sizes, key), "sized")
+            sized = written(left.join(sizes, key), "sized")
             if not sized.take(1):
                 return edges
             edges = edges.unionByName(self.leaf(sized.where(F.col("size") <= LEAF).drop("size")))
-            now = sized.where(F.col("size") > LEAF).drop("size")
+            now, pivots_each = sized.where(F.col("size") > LEAF).drop("size"), PIVOTS
             if not now.take(1):
                 return edges
 

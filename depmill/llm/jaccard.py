@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import written
+from .scratch import forget, written
 from .words import chunks, grams, mixed, signed, split
 
 WORDS = 4
@@ -192,8 +192,9 @@ class Join:
         held = self.spark.sparkContext.broadcast((keys[order], self.hot["n"].to_numpy().astype(np.int64)[order]))
         first = self._only(self.points.select(F.col("node").alias("doc_id")))
         rows = written(first.mapInArrow(_rows(self.k, self.percent, held), ROWS), "rows")
-        shared = rows.groupBy("e").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("e")
-        live = rows.join(shared, "e")
+        shared = rows.groupBy("e").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("e")
+        live = written(rows.join(shared, "e"), "live")
+        forget(rows)
         step = float(np.log(100 / self.percent))
         c = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9)
         classed = live.select("e", "node", "n", F.explode(F.array(c, c + 1)).alias("c"))
@@ -220,7 +221,9 @@ class Join:
         exact = joined.mapInArrow(_measured, "p long, node long, shared long, total long").select("p", "node", (1 - F.col("shared") / F.col("total")).alias("d"), (F.col("shared") * 100 >= F.col("total") * self.percent).alias("linked"))
         # rows of one doc_id may have several sets: the closest counts
         exact = exact.groupBy("p", "node").agg(F.min("d").alias("d"), F.max("linked").alias("linked"))
-        return written(exact.unionByName(bounds.where(F.col("d") > edge).withColumn("linked", F.lit(False))), "distances")
+        done = written(exact.unionByName(bounds.where(F.col("d") > edge).withColumn("linked", F.lit(False))), "distances")
+        forget(sets, bounds)
+        return done
 
     def leaf(self, regions: DataFrame) -> DataFrame:
         """Links of regions of at most LEAF members, of which one at least is far."""
@@ -284,6 +287,7 @@ class Join:
             left = written(left, "left")
             sizes = left.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
             sized = written(left.join(sizes, key), "sized")
+            forget(members, told, state, left)
             if not sized.take(1):
                 return edges
             edges = edges.unionByName(self.leaf(sized.where(F.col("size") <= LEAF).drop("size")))

@@ -95,12 +95,13 @@ class Network:
         return self._join(number, buckets, edges), number, buckets, edges
 
     def _join(self, number, buckets, edges) -> np.ndarray:
-        n = np.diff(edges)
-        if not len(n):
-            return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
-        total = np.concatenate([np.zeros((1, CHAR_DIM)), np.cumsum(self.p["c"][buckets], 0, dtype=np.float64)])
-        chars = (total[edges[1:]] - total[edges[:-1]]) / np.maximum(n, 1)[:, None]
-        return np.concatenate([self.p["e"][number], chars.astype(np.float32)], 1)
+        out = np.empty((len(number), WORD_DIM + CHAR_DIM), np.float32)
+        out[:, :WORD_DIM] = self.p["e"][number]
+        for i in range(0, len(number), 50_000):  # every word has a gram, as its ends are marked
+            part = edges[i : i + 50_001]
+            sums = np.add.reduceat(self.p["c"][buckets[part[0] : part[-1]]], part[:-1] - part[0])
+            out[i : i + 50_000, WORD_DIM:] = sums / np.diff(part)[:, None]
+        return out
 
     def forward(self, x: np.ndarray, at: np.ndarray, keep: bool = False):
         """Logits of windows; at: (windows, WINDOW) rows of x, -1 behind a text's end."""
@@ -225,11 +226,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, updates: int = UPDATES, seed: int =
     often = often[(one + nil)[often] >= LEAST_TEXTS]
     buckets, edges = grams_of(words.vocab)
     sizes = np.diff(edges)
-    # a text counts once for each bucket, however many of its words have it
-    place = np.repeat(edges[:-1][pairs[0]], sizes[pairs[0]]) + _places(sizes[pairs[0]])
-    held = np.unique(buckets[place] * len(toxic) + np.repeat(pairs[1], sizes[pairs[0]]))
-    gram_bad = toxic[held % max(1, len(toxic))] == 1
-    by_gram = [np.bincount(held[g] // len(toxic), minlength=BUCKETS) for g in (gram_bad, ~gram_bad)]
+    by_gram = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
+    for i, (a, b) in enumerate(zip(words.offsets, words.offsets[1:], strict=False)):
+        own = np.unique(words.codes[a:b])  # a text counts once for each bucket, however many of its words have it
+        held = buckets[np.repeat(edges[own], sizes[own]) + _places(sizes[own])]
+        by_gram[1 - toxic[i]] += np.bincount(held, minlength=BUCKETS) > 0
     network = Network({vocab[i]: k + 1 for k, i in enumerate(often)}, odds(one, nil)[often], odds(*by_gram), float(np.log(n1 / n0)))
     if not toxic.any() or toxic.all():
         return network

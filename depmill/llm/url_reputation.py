@@ -69,7 +69,7 @@ def with_rule(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     # a rule's host is one of the page's host's ends: an equi-join on distinct (host, path) pairs
     places = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.substring_index(F.col("host"), ".", -i))
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hits = places.withColumn("rule_host", F.explode(ends)).join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
     best = hits.groupBy("host", "path").agg(F.min_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("rule_verdict")), "rank").alias("hit"))
     return pages.join(best, ["host", "path"], "left").select("*", "hit.rule", "hit.rule_verdict").drop("hit")

@@ -1,0 +1,376 @@
+"""The operators against plain versions, on inputs with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from depmill.llm import cap_filters, decontamination, jaccard, language_model, packing, pii, repeats, toxicity, url_reputation, warc_zip  # noqa: E402
+from depmill.llm import words as W  # noqa: E402
+
+DOC = "doc_id long, text string, n long, node string, uid string, copy int, e string, h string"
+
+
+def prose(r, n, vocabulary=400):
+    return " ".join(f"w{int(r.paretovariate(0.7)) % vocabulary}{r.choice(['', '', ',', '.'])}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(1)
+    base = [prose(r, r.randint(60, 220)) for _ in range(8)]
+    passage = prose(r, 70)
+    docs = list(base)
+    for b in base[:4]:
+        for _ in range(4):
+            w = b.split()
+            for _ in range(r.randint(1, 3)):
+                w[r.randrange(len(w))] = f"x{r.random():.6f}"
+            docs.append(" ".join(w))
+    docs += [base[0], base[0].upper(), f"{prose(r, 20)} {passage} {prose(r, 30)}", f"{passage}\n{prose(r, 5)}", passage, None, "", " \t\n", "one", "One", "a b c", "a b c d", "ñandú Éa 漢字 ", prose(r, 6000)]
+    return list(enumerate(docs))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, 1, "x", "y", 2, "z", "q") for i, t in texts], DOC).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_words_of_slices_and_blanks():
+    texts = pa.array(["A b", None, "  c\td ", "é É A"] * 3)
+    for part in (texts, texts.slice(1, 7), texts.slice(5)):
+        w = W.split(part, lower=True)
+        got = [[w.vocab[c].as_py() for c in w.codes[a:b]] for a, b in zip(w.offsets, w.offsets[1:], strict=False)]
+        assert got == [brute.words(brute.lower(t)) for t in part.to_pylist()]
+
+
+def test_window_hashes_tell_windows_apart():
+    h = np.array([1, 2, 3, 1, 2, 3, 4], np.uint64)
+    w = W.windows(h, 3)
+    assert w[0] == w[3] and len(set(w.tolist())) == 4
+
+
+# --- joins and repeats
+
+
+def test_jaccard(docs, texts, empty):
+    assert rows(jaccard.jaccard_groups(docs), "doc_id", "n_shingles", "component_id") == brute.jaccard(texts)
+    assert jaccard.jaccard_groups(empty).count() == 0
+
+
+def test_jaccard_large_regions(spark, monkeypatch):
+    """Pivots, triangle inequality and recursion, with leaves too small to help."""
+    monkeypatch.setattr(jaccard, "LEAF", 3)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    r = random.Random(2)
+    base, found = prose(r, 80).split(), []
+    for i in range(24):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+        found.append((i, " ".join(w)))
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    assert rows(jaccard.jaccard_groups(df), "doc_id", "n_shingles", "component_id") == brute.jaccard(found)
+
+
+def test_repeats(docs, texts, empty):
+    assert rows(repeats.without_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.repeats(texts)
+    assert repeats.without_repeats(empty).count() == 0
+
+
+def test_repeated_words_and_small_windows(spark):
+    found = [(0, "ha " * 80), (1, "x " + "ha " * 30), (2, "ha " * 120), (3, "a b " * 40), (4, "b a " * 40)]
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    assert rows(repeats.without_repeats(df, 10, 3), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.repeats(found, 10)
+
+
+def test_merged_windows():
+    assert list(repeats.merged([(1, 0, 2), (1, 3, 3), (2, 4, 4), (1, 9, 9)])) == [(0, 3, 1), (9, 9, 1), (4, 4, 2)]
+
+
+def test_cap_filters(spark):
+    r = np.random.default_rng(3)
+    base = r.standard_normal((6, 16))
+    v = [list(map(float, base[i % 6] + r.standard_normal(16) * s)) for i, s in enumerate(r.choice([0.0, 0.1, 0.25, 0.4], 90))]
+    found = list(enumerate([*v, None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [1.0] * 3, v[0], [1e300] * 16]))
+    df = spark.createDataFrame([(i, x, 1, "a") for i, x in found], "vec_id long, embedding array<double>, u long, x string")
+    got = rows(cap_filters.near_groups(df), "vec_id", "n_links", "component_id", "kept")
+    want = brute.near([(i, [y / 1e300 for y in x] if x and x[0] == 1e300 else x) for i, x in found])
+    assert sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert cap_filters.near_groups(df.limit(0)).count() == 0
+
+
+def test_cap_filters_recall():
+    r = np.random.default_rng(4)
+    codes = cap_filters.Codes(64, 50_000)
+    x = r.standard_normal((300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal((300, 64))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    sets = [[set() for _ in range(300)] for _ in range(2)]
+    for k, z in enumerate((x, y)):
+        for i, f in zip(*codes.decode(z), strict=True):
+            sets[k][i].add(f)
+    assert np.mean([bool(a & b) for a, b in zip(*sets, strict=True)]) >= 0.95
+
+
+# --- benchmark
+
+
+def plain_tiles(a, b, least):
+    """Greedy string tiling by trying every pair of places."""
+    fa, fb, out = [True] * len(a), [True] * len(b), 0
+    while True:
+        best = []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and fa[i + n] and fb[j + n] and a[i + n] == b[j + n]:
+                    n += 1
+                best.append((n, -i, -j))
+        n, i, j = max(best, default=(0, 0, 0))
+        if n < least:
+            return out
+        for k in range(n):
+            fa[-i + k] = fb[-j + k] = False
+        out += n
+
+
+def test_greedy_tiles_cover_as_much_as_the_plain_version():
+    r = random.Random(5)
+    for _ in range(40):
+        a, b = [r.randrange(4) for _ in range(r.randint(5, 30))], [r.randrange(4) for _ in range(r.randint(5, 60))]
+        tiles = decontamination.greedy_tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in tiles)
+        assert sum(t[2] for t in tiles) >= 0.9 * plain_tiles(a, b, 3)
+
+
+def test_decontamination(spark, docs, empty):
+    r = random.Random(6)
+    item = [f"q{i}" for i in range(30)]
+    swapped = item[15:] + item[:15]
+    found = [(0, prose(r, 40) + " " + " ".join(item) + " z"), (1, "a, " + ". ".join(swapped).upper()), (2, " ".join(item[:12])), (3, None), (4, ""), (5, " ".join(item[::-1])), (6, " ".join(item))]
+    df = spark.createDataFrame([(i, t, 7) for i, t in found], "doc_id long, text string, item_id long")
+    bench = spark.createDataFrame([(9, " ".join(item), "c"), (10, "too short", "c"), (11, None, "c")], "item_id long, text string, doc_id string")
+    assert rows(decontamination.contaminated(df, bench), "doc_id", "item_id", "covered") == [(0, 9, 30), (1, 9, 30), (6, 9, 30)]
+    assert rows(decontamination.clean(df, bench), "doc_id", "item_id") == [(2, 7), (3, 7), (4, 7), (5, 7)]
+    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontamination.clean(empty, bench).count() == 0
+    assert len(list(decontamination.blocks(bench, 5, limit=1))) > 1
+
+
+# --- PII
+
+
+def test_surrogates(spark):
+    card, other = "4539578763621486", "9807915762804490"
+    texts = [f"mail a.b1@mail7.example.com and {card}; call +1 (017) 555-7713", f"again a.b1@mail7.example.com from 97.51.17.173, {other}", "Mr. John Smith met Mrs Anna Müller; Mr. John Smith left", "Licensed under version 2.0, 1999.", None, "", "plain words"]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, entity string")
+    got = {r["doc_id"]: r for r in pii.pseudonymised(df).collect()}
+    out = [got[i]["text"] for i in range(len(texts))]
+    assert out[3:] == texts[3:] and [got[i]["pii_count"] for i in range(7)] == [3, 3, 3, 0, 0, 0, 0]
+    mail = [o.split("@")[0].split()[-1] + "@" + o.split("@")[1].split()[0] for o in out[:2]]
+    assert mail[0] == mail[1] != "a.b1@mail7.example.com" and len(mail[0]) == len("a.b1@mail7.example.com") and mail[0].endswith(".com")
+    made = out[0].split(" and ")[1][:16]
+    luhn = lambda s: sum(d if i % 2 else (2 * d - 9 * (d > 4)) for i, d in enumerate(map(int, s))) % 10 == 0
+    assert made != card and luhn(made) == luhn(card)
+    assert out[0].split("call ")[1].startswith("+") and "(" in out[0].split("call ")[1]
+    names = out[2].split(" met ")[0], out[2].split("; ")[1].removesuffix(" left")
+    assert names[0] == names[1] and "Smith" not in out[2] and names[0].split()[1] in pii.FIRST[("m", "latin")]
+    assert out[2].split("met ")[1].split()[1] in pii.FIRST[("f", "latin")]
+    assert pii.pseudonymised(df.limit(0)).count() == 0
+
+
+def test_distinct_entities_stay_distinct(spark):
+    df = spark.range(3000).select(F.format_string("%06d", F.col("id")).alias("d")).select(F.concat(F.lit("+1 (017) "), F.substring("d", 1, 3), F.lit("-"), F.lpad(F.substring("d", 4, 3), 4, "0")).alias("entity"))
+    assert df.select(pii.surrogate(F.col("entity"))).distinct().count() == df.distinct().count()
+
+
+# --- models
+
+
+def test_language_model(spark, docs, texts, empty):
+    got = {r["doc_id"]: r for r in language_model.scored(docs).collect()}
+    for i, (n, known, total, base) in brute.base_scores(texts).items():
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, total, zlib.crc32(str(i).encode()) % 10 == 0)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
+    assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
+    assert language_model.scored(empty).count() == 0
+
+
+def test_next_token_probabilities_sum_to_one():
+    class Small:
+        short_n, tail_n, tail_v = np.arange(language_model.SHORT, 0, -1), np.full(language_model.TAILS, 30.0), np.full(language_model.TAILS, 3.0)
+
+    net = language_model.Network(Small())
+    h = np.random.default_rng(0).standard_normal((1, language_model.UNITS)).astype(np.float32)
+    every = np.arange(language_model.SHORT + language_model.TAILS)
+    assert (10 ** net.logs(np.repeat(h, len(every), 0), every).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_gradients_of_the_recurrent_step():
+    from depmill.llm.optim import gru_back, gru_step
+
+    r = np.random.default_rng(1)
+    a, h, wh, bn, g = (r.standard_normal(s) for s in ((2, 9), (2, 3), (3, 9), (3,), (2, 3)))
+    _, kept = gru_step(a, h, wh, bn)
+    dh, da, dwh, dbn = gru_back(g, kept, wh)
+    for x, d in ((a, da), (h, dh), (wh, dwh), (bn, dbn)):
+        i = tuple(0 for _ in x.shape)
+        x[i] += 1e-6
+        up = (gru_step(a, h, wh, bn)[0] * g).sum()
+        x[i] -= 2e-6
+        down = (gru_step(a, h, wh, bn)[0] * g).sum()
+        x[i] += 1e-6
+        assert (up - down) / 2e-6 == pytest.approx(d[i], rel=1e-4, abs=1e-7)
+
+
+def test_toxicity(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "UPDATES", 120)
+    r = random.Random(7)
+    bad = ["foulword", "nastyish", "nastier", "nastyest"]
+    found = []
+    for i in range(400):
+        w, toxic = prose(r, r.randint(5, 90)).split(), int(r.random() < 0.4)
+        for _ in range(2 * toxic):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        found.append((i, " ".join(w), toxic))
+    docs = spark.createDataFrame([(i, t, "s", 0.5) for i, t, _ in found], "doc_id long, text string, label string, score double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in found] + [(0, None), (9999, 1)], "doc_id long, toxic int")
+    net = toxicity.trained(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, net).collect()}
+    test = [(got[i]["predicted"], y) for i, _, y in found if got[i]["held_out"]]
+    assert np.mean([p == y for p, y in test]) >= 0.9
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "ok " * 30_000), (None, "x")], "doc_id long, text string")
+    scores = toxicity.scored(odd, net).collect()
+    assert len(scores) == 5 and all(0 <= r["score"] <= 1 for r in scores)
+    assert toxicity.without_toxic(odd, net).columns == odd.columns
+    assert toxicity.trained(docs.limit(0), labels).words == {}
+
+
+def test_windows_cover_all_words():
+    for n in (0, 1, 31, 32, 33, 48, 49, 100):
+        s = toxicity.window_starts(n)
+        assert set(range(n)) <= {p for a in s for p in range(a, a + toxicity.WINDOW)} and (np.diff(s) <= toxicity.STRIDE).all()
+
+
+# --- packing, archives, URLs
+
+
+def test_packing_round_trip(spark, docs, texts, empty):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.tokenizer_path())
+    got = packing.pack(docs, capacity=256).collect()
+    for i, t in texts:
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        mine = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert [(r["start"], r["length"]) for r in mine] == [(s, min(256, len(ids) - s)) for s in range(0, len(ids), 256)]
+        assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in mine)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(bins) <= -(-sum(r["length"] for r in got) // 256) + 2
+    assert packing.pack(empty).count() == 0
+
+
+def test_fillings_reach_the_bound():
+    r = np.random.default_rng(8)
+    for lengths in (np.maximum(1, r.lognormal(6, 1, 3000).astype(int) % 4096), np.full(100, 4096), np.array([1]), np.zeros(0, int), np.full(9, 2048)):
+        bins, offsets = packing.fill(lengths)
+        loads = np.bincount(bins, lengths) if len(lengths) else np.zeros(0)
+        assert (loads <= 4096).all() and len(loads) <= -(-lengths.sum() // 4096) + 1
+
+
+def test_archives(spark):
+    big = "é" * 700
+    pages = [(1, "http://a/", big), (2, "http://b/", big), (3, None, None), (4, "x\r\ny", ""), (5, "u", "small"), (6, "u", "small"), (7, "u", big), (8, "u", "y" * 3000)]
+    df = spark.createDataFrame([(*p, "d") for p in pages], "page_id long, url string, html string, digest string")
+    got = {r["page_id"]: r for r in warc_zip.round_trip(df).collect()}
+    for i, _, html in pages:
+        raw = (html or "").encode()
+        same = [j for j, _, h in pages if (h or "") == (html or "")]
+        visit = len(raw) >= 1000 and i < max(same)
+        r = got[i]
+        assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if visit else "response", max(same) if visit else None)
+    assert warc_zip.round_trip(df.limit(0)).count() == 0
+
+
+def test_zip_directories(tmp_path):
+    import zipfile
+
+    path = tmp_path / "x.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("a/ü.txt", "hello")
+        with z.open(zipfile.ZipInfo("big"), "w", force_zip64=True) as f:
+            f.write(b"PK\x05\x06 inside")
+        z.writestr("packed", "x" * 999, zipfile.ZIP_DEFLATED)
+        z.comment = b"a comment with PK\x05\x06 in it, longer than a record"
+    with pa.OSFile(str(path)) as f:
+        found = warc_zip.directory(f)
+        f.seek(found["a/ü.txt"][0])
+        assert f.read(found["a/ü.txt"][1]) == b"hello" and set(found) == {"a/ü.txt", "big"}
+    (tmp_path / "bad").write_bytes(b"no archive")
+    with pa.OSFile(str(tmp_path / "bad")) as f, pytest.raises(ValueError, match="not a ZIP"):
+        warc_zip.directory(f)
+
+
+def test_url_rules_and_reputation(spark):
+    urls = ["http://www.Example.com/en/7x?q", "http://com/en/", "https://a.net/de/9", "https://b.example.net/de/8#f", "http://bad.org:80", None, "nothing", "http://badexample.com/en/7", *["http://spam.shop/x"] * 60, *["http://fine.shop/x"] * 60]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    known = spark.createDataFrame([(i, int("spam" in (u or ""))) for i, u in enumerate(urls) if "shop" in (u or "")] + [(1, None)], "page_id long, outcome int")
+    got = {r["page_id"]: r for r in url_reputation.url_filter(df, known).collect()}
+    assert [(got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) for i in range(8)] == [
+        ("www.example.com", "/en/7x", "example.com/en/7", "allow"), ("com", "/en/", "com/en/", "block"), ("a.net", "/de/9", "net/de/", "allow"), ("b.example.net", "/de/8", "example.net/de/8", "block"),
+        ("bad.org:80", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("badexample.com", "/en/7", "com/en/", "block"),
+    ]
+    assert {got[i]["verdict"] for i in range(8, 68)} == {"block"} and {got[i]["verdict"] for i in range(68, 128)} == {"allow"}
+    assert url_reputation.url_filter(df.limit(0), known).count() == 0
+
+
+def test_many_rules_join_as_the_case_does(spark, monkeypatch):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(["http://x.example.com/en/7", "http://q.org/es/1", "http://none.io/"])], "page_id long, url string")
+    places = df.select("page_id", url_reputation.host_of(F.col("url")).alias("host"), url_reputation.path_of(F.col("url")).alias("path"))
+    want = rows(url_reputation.with_rule(places, url_reputation.RULES), "page_id", "rule", "rule_verdict")
+    monkeypatch.setattr(url_reputation, "CASE_RULES", 0)
+    key = lambda r: (r[0], str(r[1]))
+    assert sorted(map(tuple, url_reputation.with_rule(places, url_reputation.RULES).select("page_id", "rule", "rule_verdict").collect()), key=key) == sorted(want, key=key)
+
+
+def test_pipeline_stages(spark, tmp_path, texts):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in texts], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(0, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    want = {i for i, _, c in brute.jaccard(texts) if i == c}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == want
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "decontamination", "pii", "packing"]

@@ -6,6 +6,7 @@ They cut lineage, survive lost executors and are read by any of them.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,3 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark drop shuffle files of plans that are gone."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            _remove(df.sparkSession, path)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()

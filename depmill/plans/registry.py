@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dead_code, health, lookup, rollup, simulate, temporal, traverse
+from ..operators import dead_code, health, lookup, rollup, security, simulate, temporal, traverse
 from ..sources.binding import PRELUDE, bound_graph
+from ..streaming import watch
 from .graph import CodeGraph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,3 +295,44 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CH = "WITH h AS (SELECT CAST(o_orderkey AS VARCHAR) AS hash, concat('src/p', CAST(o_custkey % 50 AS VARCHAR), '.ts') AS file_path, o_orderdate AS date FROM orders)"
 table_query("a37_churn", lambda s, d: temporal.churn(changes(s, d)), f"{CH} SELECT file_path, count(*) AS changes, CAST(0 AS BIGINT) AS connections, CASE WHEN count(*) > 10 THEN 'medium' ELSE 'low' END AS risk FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 table_query("a39_file_ages", lambda s, d: temporal.file_ages(changes(s, d)).select("file_path", F.date_format("added", "yyyy-MM-dd").alias("added"), "end"), f"{CH}, f AS (SELECT file_path, min(date) AS added FROM h GROUP BY 1) SELECT file_path, strftime(added, '%Y-%m-%d') AS added, 'oldest' AS \"end\" FROM (FROM f ORDER BY added, file_path LIMIT 5) UNION ALL SELECT file_path, strftime(added, '%Y-%m-%d'), 'newest' FROM (FROM f ORDER BY added DESC, file_path LIMIT 5)")
+
+
+# --- lines of text: the pages' HTML and the documents as files -------------------------------------------------------------
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select(F.concat(F.lit("site/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.posexplode(F.split("html", "\n")).alias("p", "line")).select("file_path", (F.col("p") + 1).alias("line_no"), "line")
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.concat(F.lit("doc/d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.posexplode(F.split("text", "\n")).alias("p", "line")).select("file_path", (F.col("p") + 1).alias("line_no"), "line")
+
+
+L = "WITH l AS (SELECT concat('{0}', CAST({1} AS VARCHAR), '{2}') AS file_path, unnest(string_split({3}, chr(10))) AS line, unnest(range(1, len(string_split({3}, chr(10))) + 1)) AS line_no FROM {4})"
+PAGE_L, DOC_L = L.format("site/p", "page_id", ".html", "html", "pages"), L.format("doc/d", "doc_id", ".py", "text", "documents")
+table_query("l_page_lines", lambda s, d: page_lines(s, d).groupBy("file_path").agg(F.count(F.lit(1)).alias("lines")), f"{PAGE_L} SELECT file_path, count(*) AS lines FROM l GROUP BY 1")
+table_query(
+    "v12_secrets", lambda s, d: security.findings(document_lines(s, d), tuple(r for r in security.RULES if r.check == "secrets")).select("rule", "severity", "file_path", F.col("line").cast("long").alias("line")),
+    DOC_L + """, r AS (SELECT * FROM (VALUES ('secrets/literal-credential', 'high', '(?i)\\b(api_?key|secret|password|passwd|token)\\b\\s*[:=]\\s*[''"][^''"\\s]{8,}[''"]'), ('secrets/private-key', 'critical', '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----'), ('secrets/access-key', 'critical', '\\bAKIA[0-9A-Z]{16}\\b')) t(rule, severity, p))
+    SELECT rule, severity, file_path, CAST(line_no AS BIGINT) AS line FROM l JOIN r ON regexp_matches(line, p) WHERE NOT regexp_matches(ltrim(line), '^(//|#|\\*)')""",
+)
+
+# --- windows over the events --------------------------------------------------------------------------------------------------
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).drop("end")
+
+
+table_query("z_tumbling_activity", lambda s, d: shown(watch.activity(events(s, d))), "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+table_query("z_sliding_activity", lambda s, d: shown(watch.activity(events(s, d), "2 hours", "1 hour")), "SELECT strftime(time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour', '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events, range(2) t(k) GROUP BY 1, 2")
+table_query(
+    "z_sessions", lambda s, d: shown(watch.sessions(events(s, d))),
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k",
+)

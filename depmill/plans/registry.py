@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "a2_most_connected"
 
-DIR = "CASE WHEN contains({0}, '/') THEN regexp_extract({0}, '^(.*)/[^/]*$', 1) ELSE '.' END"
+DIR = "CASE WHEN contains({0}, '/') THEN array_to_string(string_split({0}, '/')[1:-2], '/') ELSE '.' END"
 TOP = "CASE WHEN contains({0}, '/') THEN string_split({0}, '/')[1] ELSE '.' END"
 LANG = "CASE regexp_extract({0}, '\\.([^./]+)$', 1) WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' ELSE 'other' END"
 #: Relations that several queries use.

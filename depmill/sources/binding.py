@@ -42,15 +42,15 @@ def _node_sql(table: str) -> str:
 #: The binding as SQL: N, E, EF, XF and FP.
 PRELUDE = f"""
 nc AS ({_node_sql("customer")}), np AS ({_node_sql("part")}), ns AS ({_node_sql("supplier")}),
-N AS (SELECT id, name, kind, file_path, start_line, end_line, exported, seq FROM nc UNION ALL SELECT id, name, kind, file_path, start_line, end_line, exported, seq FROM np UNION ALL SELECT id, name, kind, file_path, start_line, end_line, exported, seq FROM ns),
+N AS MATERIALIZED (SELECT id, name, kind, file_path, start_line, end_line, exported, seq FROM nc UNION ALL SELECT id, name, kind, file_path, start_line, end_line, exported, seq FROM np UNION ALL SELECT id, name, kind, file_path, start_line, end_line, exported, seq FROM ns),
 e0 AS (
   SELECT nc.id AS source, np.id AS target, 'calls' AS kind, l_linenumber AS line, l_orderkey * 16 + l_linenumber AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN nc ON nc.key = o_custkey JOIN np ON np.key = l_partkey
   UNION ALL SELECT np.id, ns.id, 'imports', l_linenumber, l_orderkey * 16 + l_linenumber FROM lineitem JOIN np ON np.key = l_partkey JOIN ns ON ns.key = l_suppkey
   UNION ALL SELECT ns.id, nc.id, 'references', 1, 1000000000000 + ns.key * 1000000 + nc.key FROM supplier JOIN ns ON ns.key = s_suppkey JOIN customer ON c_nationkey = s_nationkey AND c_custkey % 50 = 0 JOIN nc ON nc.key = c_custkey),
-E AS (SELECT source, target, arg_max(kind, seq) AS kind, arg_max(line, seq) AS line, CAST(min(seq) AS BIGINT) AS seq FROM e0 GROUP BY 1, 2),
-EF AS (SELECT E.*, s.file_path AS source_file, t.file_path AS target_file FROM E JOIN N s ON s.id = source JOIN N t ON t.id = target),
-XF AS (SELECT * FROM EF WHERE source_file <> target_file),
-FP AS (SELECT source_file, target_file, min(seq) AS seq, count(*) AS edges FROM XF GROUP BY 1, 2)
+E AS MATERIALIZED (SELECT source, target, arg_max(kind, seq) AS kind, arg_max(line, seq) AS line, CAST(min(seq) AS BIGINT) AS seq FROM e0 GROUP BY 1, 2),
+EF AS MATERIALIZED (SELECT E.*, s.file_path AS source_file, t.file_path AS target_file FROM E JOIN N s ON s.id = source JOIN N t ON t.id = target),
+XF AS MATERIALIZED (SELECT * FROM EF WHERE source_file <> target_file),
+FP AS MATERIALIZED (SELECT source_file, target_file, min(seq) AS seq, count(*) AS edges FROM XF GROUP BY 1, 2)
 """
 
 _made: dict[tuple[str, str], CodeGraph] = {}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import forget, written
 from .words import MIX, chunks, grams, mixed, split, windows
 
 SIZE = 50
@@ -212,15 +212,18 @@ def passages(docs: DataFrame, facts: DataFrame, size: int = SIZE, anchor: int =
     """(doc_id, s1, lo, hi, owner): windows lo to hi of a text repeat those of the first holder, which has a smaller id."""
     first = facts.where(F.col("n_words") >= size).groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     rows = written(_only(docs, first).mapInArrow(_anchored(size, anchor), ROWS), "anchors")
-    recur = rows.groupBy("a").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("a")
+    # sums are written before they are joined: a join of plain tables splits the rows of one hot anchor among tasks
+    recur = written(rows.groupBy("a").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("a"), "recur")
     shared = written(rows.join(recur, "a"), "recurring")
-    holders = shared.groupBy("a", "span").agg(F.min("doc_id").alias("owner"))
-    several = holders.groupBy("a").agg(F.count(F.lit(1)).alias("spans"))
+    forget(rows)
+    holders = written(shared.groupBy("a", "span").agg(F.min("doc_id").alias("owner")), "holders")
+    several = written(holders.groupBy("a").agg(F.count(F.lit(1)).alias("spans")), "spans")
     told = written(shared.join(holders, ["a", "span"]).join(several, "a").select("a", "doc_id", "s1", "lo", "hi", "owner", (F.col("spans") > 1).alias("several")), "told")
     whole = told.where("owner < doc_id").select("doc_id", "s1", "lo", "hi", "owner")
     asked = told.where("owner = doc_id and several").groupBy("doc_id").agg(F.collect_list(F.struct("s1", "a", "lo", "hi")).alias("asked"))  # bounded by the text
     apart = written(docs.join(asked, "doc_id").mapInArrow(_taken_apart(size), WINDOWS), "windows")
-    holders = apart.groupBy("a", "h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    forget(shared)
+    holders = written(apart.groupBy("a", "h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"), "firsts")
     single = apart.join(holders, ["a", "h"]).where("owner < doc_id").select("doc_id", "s1", F.col("start").alias("lo"), F.col("start").alias("hi"), "owner")
     return whole.unionByName(single)
 

@@ -43,7 +43,8 @@ PERCENT = 85
 HOT = 1 << 18
 #: Documents of a chunk that share a shingle before the chunk reports it.
 HOT_IN_CHUNK = 4
-#: Members of a region that one task joins outright, and pivots that a larger one takes in each later round.
+#: Members of a region that one task joins outright; pivots that a larger one takes in the second round, four times as many
+#: in each later one, at most LEAF.
 LEAF, PIVOTS = 256, 16
 #: Document ids that are broadcast as a filter, at most (8 bytes each).
 BROADCAST_IDS = 2_000_000
@@ -291,7 +292,7 @@ class Join:
             if not sized.take(1):
                 return edges
             edges = edges.unionByName(self.leaf(sized.where(F.col("size") <= LEAF).drop("size")))
-            now, pivots_each = sized.where(F.col("size") > LEAF).drop("size"), PIVOTS
+            now, pivots_each = sized.where(F.col("size") > LEAF).drop("size"), min(LEAF, max(PIVOTS, 4 * pivots_each))
             if not now.take(1):
                 return edges
 

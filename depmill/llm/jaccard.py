@@ -10,8 +10,9 @@ drawn in two steps:
    replicated to the next class, as linked sizes differ by the factor 1 - t at most.
 2. Within a region, documents are pivots. The distance of every member to the pivot is found; members within t are
    linked to it. A pair of which neither is the pivot needs a look only if the triangle inequality allows a link,
-   |d(x, p) - d(y, p)| <= t, and if they are not both linked to p already: then they are connected through it. What is
-   left is joined again with the next pivot, until the region is done; regions of few members are then joined outright.
+   |d(x, p) - d(y, p)| <= t, and if the links found so far do not connect them: each member carries the connected group
+   that they put it in, and a region is done when all that is left of it is of one group. What is left is joined again
+   with the next pivots; regions of few members are then joined outright, pairs of one group left out.
 
 Before sets are compared, distances to 64 fixed pivots, the sixty-fourths of all shingles by hash, bound d from below:
 the symmetric difference is at least the sum of the differences of the counts. All steps are exact; pivots, order and
@@ -187,7 +188,7 @@ class Join:
         self.points = written(self.facts.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "sketch")).alias("first")).select("s1", "s2", "n", F.col("first.doc_id").alias("node"), F.col("first.sketch").alias("sketch")), "points")
 
     def regions(self) -> DataFrame:
-        """(e, c, node, n, far): the members of the regions that have more than one."""
+        """(e, c, node, n, g): the members of the regions that have more than one, each a group of its own."""
         keys = self.hot["s1"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
         held = self.spark.sparkContext.broadcast((keys[order], self.hot["n"].to_numpy().astype(np.int64)[order]))
@@ -199,7 +200,7 @@ class Join:
         step = float(np.log(100 / self.percent))
         c = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9)
         classed = live.select("e", "node", "n", F.explode(F.array(c, c + 1)).alias("c"))
-        return classed.withColumn("far", F.lit(True))
+        return classed.withColumn("g", F.col("node"))
 
     def _only(self, ids: DataFrame) -> DataFrame:
         """Documents with these ids; the ids are broadcast if they are few enough."""
@@ -227,7 +228,7 @@ class Join:
         return done
 
     def leaf(self, regions: DataFrame) -> DataFrame:
-        """Links of regions of at most LEAF members, of which one at least is far."""
+        """Links of regions of at most LEAF members, between members of different groups."""
         percent = self.percent
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,14 +241,14 @@ class Join:
                 keys = np.stack([rest.column("e").to_numpy(), rest.column("c").to_numpy()])
                 cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
                 ends = [*cuts.tolist(), *([rest.num_rows] if batch is None else [])]
-                node, n, far = rest.column("node").to_numpy(), rest.column("n").to_numpy(), rest.column("far").to_numpy(zero_copy_only=False)
+                node, n, g = (rest.column(x).to_numpy() for x in ("node", "n", "g"))
                 sk = np.frombuffer(b"".join(rest.column("sketch").to_pylist()), "<u2").reshape(-1, 64).astype(np.int32)
                 a, out = 0, [[], []]
                 for b in ends:
                     if b - a > 1:
                         i, j = np.triu_indices(b - a, 1)
                         i, j = i + a, j + a
-                        ok = (far[i] | far[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+                        ok = (g[i] != g[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
                         i, j = i[ok], j[ok]
                         apart, total = np.abs(sk[i] - sk[j]).sum(1), n[i] + n[j]
                         ok = 100 * (total - apart) >= percent * (total + apart)
@@ -258,7 +259,7 @@ class Join:
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["p", "node"])
 
-        sketched = regions.join(self.points.select("node", "sketch"), "node").select("e", "c", "node", "n", "far", "sketch")
+        sketched = regions.join(self.points.select("node", "sketch"), "node").select("e", "c", "node", "n", "g", "sketch")
         pairs = sketched.repartition("e", "c").sortWithinPartitions("e", "c").mapInArrow(join, "p long, node long")
         found = self.distances(pairs.where("p <> node").distinct())
         return found.where("linked").select(F.col("p").alias("a"), F.col("node").alias("b"))
@@ -267,34 +268,52 @@ class Join:
         """(a, b) pairs of representatives that connect all that the links of all pairs connect."""
         t = 1 - self.percent / 100 + 1e-9
         key, place = ["e", "c"], ["e", "c", "node"]
-        now, edges, pivots_each = written(self.regions(), "regions"), None, 1
+        mixed_only = lambda rows: rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select(*key, "size")
+        now, groups, pivots_each = written(self.regions(), "regions"), None, 1
         while True:
-            bucket = F.pmod(F.xxhash64("node"), F.lit(pivots_each))
-            pivots = now.where("far").groupBy(*key, bucket.alias("bucket")).agg(F.min(F.struct("node", "n")).alias("pivot")).select(*key, F.col("pivot.node").alias("p"), F.col("pivot.n").alias("p_n"))
-            members = now.join(pivots, key).where("node <> p")
-            members = written(members.withColumn("fits", self.fits(F.col("n"), F.col("p_n"))), "members")
+            if groups is None:
+                placed = now.withColumn("bucket", F.lit(0))
+            else:
+                # of the region's largest group one member, for the triangle inequality; all others are met sooner or later
+                most = now.groupBy(*key, "g").agg(F.count(F.lit(1)).alias("k")).groupBy(*key).agg(F.max(F.struct("k", "g")).alias("most")).select(*key, F.col("most.g").alias("most"))
+                placed = now.join(most, key).withColumn("bucket", F.when(F.col("g") == F.col("most"), -1).otherwise(F.pmod(F.xxhash64("node"), F.lit(pivots_each))))
+            pivots = placed.groupBy(*key, "bucket").agg(F.min(F.struct("node", "n", "g")).alias("pivot"))
+            pivots = written(pivots.select(*key, "bucket", F.col("pivot.node").alias("p"), F.col("pivot.n").alias("p_n"), F.col("pivot.g").alias("p_g")), "pivots")
+            members = now.join(pivots, key).where("node <> p AND (bucket = -1 OR g <> p_g)")
+            members = written(members.select(*place, "n", "p", "p_n", self.fits(F.col("n"), F.col("p_n")).alias("fits")), "members")
             found = self.distances(members.where("fits").select("p", "node").distinct())
-            new = found.where("linked").select(F.col("p").alias("a"), F.col("node").alias("b"))
-            edges = new if edges is None else edges.unionByName(new)
-            told = written(members.join(found, ["p", "node"], "left").select(*place, "n", "p", "far", F.coalesce("d", 1 - F.least("n", "p_n") / F.greatest("n", "p_n")).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked")), "told")
-            # a pivot has met all members of its region and is done
-            state = told.groupBy(*place).agg(F.first("n").alias("n"), F.first("far").alias("far"), F.max("linked").alias("linked"))
-            state = state.join(pivots.select(*key, F.col("p").alias("node")), place, "left_anti").select(*place, "n", (F.col("far") & ~F.col("linked")).alias("far"))
+            groups = self.joined(groups, found.where("linked").select(F.col("p").alias("a"), F.col("node").alias("b")))
+            # a pivot has met all members of its region that it was not connected to and is done
+            state = self.grouped(now.join(pivots.select(*key, F.col("p").alias("node")), place, "left_anti"), groups)
             state = written(state, "state")
-            # a member linked to a pivot is done if the triangle inequality parts it from all that are far from every pivot
-            least = told.join(state.where("far").select(*place), place, "left_semi").groupBy(*key, "p").agg(F.min("d").alias("least"))
+            open_ = written(state.join(mixed_only(state), key).select(*place, "n", "g"), "open")
+            # a member linked to a pivot is done if the triangle inequality parts it from all that are not connected to the pivot
+            told = members.join(open_.select(*place, "g"), place).join(found, ["p", "node"], "left")
+            told = told.select(*place, "p", "g", F.coalesce("d", 1 - F.least("n", "p_n") / F.greatest("n", "p_n")).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked"))
+            p_group = groups.select(F.col("node").alias("p"), F.col("component").alias("p_g"))
+            told = written(told.join(p_group, "p", "left").withColumn("p_g", F.coalesce("p_g", "p")), "told")
+            least = told.where("g <> p_g").groupBy(*key, "p").agg(F.min("d").alias("least"))
             apart = told.where("linked").join(least, [*key, "p"]).where(F.col("d") < F.col("least") - t).select(*place).distinct()
-            left = state.join(state.where("far").select(*key).distinct(), key, "left_semi").join(apart, place, "left_anti")
-            left = written(left, "left")
-            sizes = left.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-            sized = written(left.join(sizes, key), "sized")
-            forget(members, told, state, left)
-            if not sized.take(1):
-                return edges
-            edges = edges.unionByName(self.leaf(sized.where(F.col("size") <= LEAF).drop("size")))
-            now, pivots_each = sized.where(F.col("size") > LEAF).drop("size"), min(LEAF, max(PIVOTS, 4 * pivots_each))
+            left = written(open_.join(apart, place, "left_anti"), "left")
+            sized = written(left.join(mixed_only(left), key), "sized")
+            forget(now, pivots, members, found, told, state, open_, left)
+            small, large = sized.where(F.col("size") <= LEAF).drop("size"), sized.where(F.col("size") > LEAF).drop("size")
+            if small.take(1):
+                groups = self.joined(groups, self.leaf(small))
+            again = written(self.grouped(large, groups), "again")
+            now, pivots_each = written(again.join(mixed_only(again), key).drop("size"), "regions"), min(LEAF, max(PIVOTS, 4 * pivots_each))
+            forget(sized, again)
             if not now.take(1):
-                return edges
+                return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    def joined(self, groups: DataFrame | None, links: DataFrame) -> DataFrame:
+        """(node, component) of the groups and these links together."""
+        before = groups.select(F.col("node").alias("a"), F.col("component").alias("b")) if groups is not None else None
+        return written(components(links if before is None else before.unionByName(links)), "groups")
+
+    def grouped(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """Members of regions, each with the group that the links found so far put it in."""
+        return rows.drop("g").join(groups, "node", "left").select("e", "c", "node", "n", F.coalesce("component", "node").alias("g"))
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

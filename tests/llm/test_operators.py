@@ -91,6 +91,20 @@ def test_jaccard_large_regions(spark, monkeypatch):
     assert rows(jaccard.jaccard_groups(df), "doc_id", "n_shingles", "component_id") == brute.jaccard(found)
 
 
+def test_jaccard_chained_versions(spark, monkeypatch):
+    """One region, links only along a chain: 2 links to pivot 0 and 3 to pivot 1, so that only 2-3 connects the pivots."""
+    monkeypatch.setattr(jaccard, "LEAF", 1)
+    one = lambda self: self.points.select(F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("c"), "node", "n", F.col("node").alias("g"))
+    monkeypatch.setattr(jaccard.Join, "regions", one)
+    base = [f"b{i}" for i in range(200)]
+    version = lambda k: " ".join(f"v{i}" if i % 12 == 6 and i // 12 < 3 * k else w for i, w in enumerate(base))
+    found = [(0, version(0)), (2, version(1)), (3, version(2)), (1, version(3)), (4, version(5))]
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    want = brute.jaccard(found)
+    assert [c for _, _, c in want] == [0, 0, 0, 0, 4]
+    assert rows(jaccard.jaccard_groups(df), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_repeats(docs, texts, empty):
     assert rows(repeats.without_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.repeats(texts)
     assert repeats.without_repeats(empty).count() == 0

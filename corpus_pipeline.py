@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from depmill.llm import decontamination, jaccard, packing, pii, toxicity
 from depmill.llm.scratch import written
 
+#: Near copies of the stage jaccard_join share this part (in hundredths) of their shingles of so many words; op7's own
+#: contract (4 words, 85) holds for its query alone.
+WORDS, PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold, by a network that learns from the labelled ones that aren't held out."""
@@ -20,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links connect, that with the least id; of repeated ids one row."""
-    first = jaccard.jaccard_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = jaccard.jaccard_groups(docs, words=WORDS, percent=PERCENT).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 

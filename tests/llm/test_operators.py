@@ -388,3 +388,14 @@ def test_pipeline_stages(spark, tmp_path, texts):
     want = {i for i, _, c in brute.jaccard(texts) if i == c}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "decontamination", "pii", "packing"]
+
+
+def test_pipeline_drops_near_copies_of_five_words_and_80_hundredths(spark):
+    import corpus_pipeline
+
+    base = [f"b{i}" for i in range(200)]
+    changed = lambda k, at: " ".join(f"v{i}" if i % 40 == at and i // 40 < k else w for i, w in enumerate(base))
+    # similarity by 4 and 5 words of 0-1: 0.8498 and 0.815, of 0-2: 0.816 and 0.774
+    found = [(0, changed(0, 20)), (1, changed(4, 20)), (2, changed(5, 10))]
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    assert rows(corpus_pipeline.one_of_each_group(spark, df, ""), "doc_id") == [(0,), (2,)]

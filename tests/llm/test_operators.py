@@ -399,3 +399,12 @@ def test_pipeline_drops_near_copies_of_five_words_and_80_hundredths(spark):
     found = [(0, changed(0, 20)), (1, changed(4, 20)), (2, changed(5, 10))]
     df = spark.createDataFrame(found, "doc_id long, text string")
     assert rows(corpus_pipeline.one_of_each_group(spark, df, ""), "doc_id") == [(0,), (2,)]
+
+
+def test_language_model_learns_from_every_training_text(spark):
+    """Each text has a word of its own, whose weights move only if the text is read."""
+    train = spark.createDataFrame([(i, f"own{i} y") for i in range(1_600)], "doc_id long, text string").repartition(3)
+    counts = train.select("text").mapInArrow(language_model._counts, language_model.COUNTS).groupBy("h").agg(F.first("k").alias("k"), F.sum("n").alias("n"))
+    vocabulary, network = language_model.fit(train, counts)
+    moved = (network.p["e"] != language_model.Network(vocabulary).p["e"]).any(1)
+    assert len(vocabulary.short_n) == 1_602 and moved[:1_602].sum() == 1_601  # all words; nothing follows the end

@@ -9,8 +9,8 @@ Cyrillic alphabets); the rest stays, so length, script and format are kept. Each
 all before it, and then, from the end, of all behind it: a permutation of the entities of one format, which keeps
 distinct ones distinct. Octets of addresses move modulo 256, card numbers keep the distance of their last digit from the
 Luhn digit (valid ones stay valid). First names come from lists by the title's gender and script, the rest of a name is
-permuted; two names that still meet are told apart by a checked list of exceptions, and beyond ``MOST_EXCEPTIONS`` by
-adding the permuted first name to every surname.
+permuted; of names that still meet all but one try again, at last with the first name permuted as well, until no two
+meet. Their attempts are a written table of any size that is joined to the texts that hold them.
 
 Defined results: null and empty texts stay; documents without entities stay as they are; repeated rows are replaced
 alike; an empty table gives an empty result; other columns pass through. Domains of e-mail addresses are permuted up to
@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import forget, written
+
 KEY = "depmill"
 #: Alphabets within which a character is replaced.
 ALPHABETS = (
@@ -53,8 +55,8 @@ KINDS = {
     "name": r"\b(?:" + "|".join((*MALE, *FEMALE, *NEUTRAL)) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Name collisions that are resolved by a list; more are resolved by longer names.
-MOST_EXCEPTIONS = 10_000
+#: Attempts of a colliding name with a first name from the lists; later ones permute its first name too, in its own format.
+LISTED = 8
 
 
 #: Every entity has a digit, an @ or a title, which are quick to look for; most texts have none.
@@ -129,20 +131,19 @@ def _given(key: str, words: Column, attempt: Column) -> Column:
     return _let(F.element_at(F.expr(f"map({lists})"), F.concat_ws(" ", gender, script)), pick)
 
 
-def surrogate(entity: Column, key: str = KEY, attempt: Column | None = None, long_names: bool = False) -> Column:
+def surrogate(entity: Column, key: str = KEY, attempt: Column | None = None) -> Column:
     """What stands in for the entity: a part that stays or is drawn, a permuted part, and an end that follows from both."""
     attempt = F.lit(0) if attempt is None else attempt
     rest = lambda s, k: F.substr(s, F.lit(k))
 
     def of_kind(kind: Column) -> Column:
         words = F.split(entity, " ")
-        named = (kind == "name") & (F.size(words) > 2)
+        named = (kind == "name") & (F.size(words) > 2) & (attempt <= LISTED)
         full = F.concat(words[0], F.lit(" "), _given(key, words, attempt), F.lit(" "))
         front = F.when(named, full).when(kind == "name", F.concat(words[0], F.lit(" "))).when(kind == "iban", F.substr(entity, F.lit(1), F.lit(2))).otherwise(F.lit(""))
-        added = F.concat(F.lit("-"), words[1]) if long_names else F.lit("")
         body = (
-            F.when(named, F.concat(F.array_join(F.slice(words, 3, F.size(words)), " "), added))
-            .when(kind == "name", words[1])
+            F.when(named, F.array_join(F.slice(words, 3, F.size(words)), " "))
+            .when(kind == "name", F.array_join(F.slice(words, 2, F.size(words)), " "))
             .when(kind == "iban", rest(entity, 3))
             .when(kind == "email", F.substr(entity, F.lit(1), F.length(entity) - F.length(F.substring_index(entity, ".", -1))))
             .when(kind == "card", F.substr(entity, F.lit(1), F.length(entity) - 1))
@@ -160,42 +161,43 @@ def surrogate(entity: Column, key: str = KEY, attempt: Column | None = None, lon
     return _let(kind_of(entity), of_kind)
 
 
-def collisions(entities: DataFrame, key: str = KEY, rounds: int = 8) -> tuple[dict[str, int], bool]:
-    """Names whose surrogate another name has too, each with the attempt at which it has its own; or that there are too many.
+def collisions(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """(entity, attempt): names whose surrogate another name has too, with the attempt at which each has its own.
 
-    Only names can collide, so only they are checked.
+    Only names can collide, so only they are checked, until all surrogates are distinct; the table may have any size.
     """
-    names = entities.where(kind_of(F.col("entity")) == "name").distinct()
-    attempts: dict[str, int] = {}
-    for turn in range(1, rounds + 1):
-        made = names.withColumn("made", surrogate(F.col("entity"), key, _attempt(F.col("entity"), attempts)))
+    names = written(entities.where(kind_of(F.col("entity")) == "name").distinct(), "names")
+    attempts = names.limit(0).withColumn("attempt", F.lit(0))
+    turn = 0
+    while True:
+        turn += 1
+        made = names.join(attempts, "entity", "left").select("entity", surrogate(F.col("entity"), key, F.coalesce("attempt", F.lit(0))).alias("made"))
+        made = written(made, "made")
         keeps = made.groupBy("made").agg(F.min("entity").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        losers = made.join(keeps, "made").where("entity <> kept").select("entity").limit(MOST_EXCEPTIONS + 1).collect()
-        if not losers:
-            return attempts, False
-        attempts |= {r[0]: turn for r in losers}
-        if len(attempts) > MOST_EXCEPTIONS:
-            return {}, True
-    return {}, True
-
-
-def _attempt(entity: Column, attempts: dict[str, int]) -> Column:
-    if not attempts:
-        return F.lit(0)
-    table = F.map_from_arrays(F.array(*map(F.lit, attempts)), F.array(*map(F.lit, attempts.values())))
-    return F.coalesce(F.try_element_at(table, entity), F.lit(0))
+        losers = written(made.join(keeps, "made").where("entity <> kept").select("entity", F.lit(turn).alias("attempt")), "losers")
+        forget(made)
+        if not losers.take(1):
+            return attempts
+        attempts = written(attempts.join(losers, "entity", "left_anti").unionByName(losers), "attempts")
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """All columns with the text's entities replaced, and pii_count, the number of entities."""
-    attempts, long_names = collisions(docs.select(F.explode(found(F.col(text))).alias("entity")), key)
+    attempts = collisions(docs.select(F.explode(found(F.col(text))).alias("entity")), key)
+    if attempts.take(1):
+        # texts with such names get those names' attempts by a join
+        held = docs.select(F.sha2(text, 256).alias("__text"), F.explode(F.array_distinct(found(F.col(text)))).alias("entity")).distinct().join(attempts, "entity")
+        held = held.groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("__attempts"))
+        docs = docs.withColumn("__text", F.sha2(text, 256)).join(held, "__text", "left").drop("__text")
+    else:
+        docs = docs.withColumn("__attempts", F.lit(None).cast("map<string,int>"))
 
     def replaced(entities: Column) -> Column:
-        made = F.transform(entities, lambda e: surrogate(e, key, _attempt(e, attempts), long_names))
+        made = F.transform(entities, lambda e: surrogate(e, key, F.coalesce(F.try_element_at(F.col("__attempts"), e), F.lit(0))))
         between = F.split(F.col(text), f"{ANY}", -1)
         joined = F.array_join(F.zip_with(between, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
         some = F.size(entities) > 0
         return F.struct(F.when(some, joined).otherwise(F.col(text)).alias("text"), F.when(some, F.size(entities)).otherwise(0).alias("n"))
 
     made = docs.withColumn("__made", _let(found(F.col(text)), replaced))
-    return made.withColumns({text: F.col("__made.text"), "pii_count": F.col("__made.n")}).drop("__made")
+    return made.withColumns({text: F.col("__made.text"), "pii_count": F.col("__made.n")}).drop("__made", "__attempts")

@@ -408,3 +408,15 @@ def test_language_model_learns_from_every_training_text(spark):
     vocabulary, network = language_model.fit(train, counts)
     moved = (network.p["e"] != language_model.Network(vocabulary).p["e"]).any(1)
     assert len(vocabulary.short_n) == 1_602 and moved[:1_602].sum() == 1_601  # all words; nothing follows the end
+
+
+def test_many_colliding_names_stay_distinct_and_in_format(spark):
+    """700 first names with one title and surname, of which the lists of first names and short surnames tell few apart."""
+    r = random.Random(5)
+    firsts = {"".join([r.choice("ABCDEFGH"), *r.choices("aeiourst", k=4)]) for _ in range(700)}
+    found = [(i, f"Mr {x} Lee went. Mr {x} Lee came.") for i, x in enumerate(sorted(firsts))]
+    out = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(found, "doc_id long, text string")).collect()]
+    names = [t.split(" went. ") for t in out]
+    assert all(b == f"{a} came." for a, b in names)
+    assert len({a for a, _ in names}) == len(found)
+    assert all(len(a.split()[2]) == 3 and "-" not in a for a, _ in names)

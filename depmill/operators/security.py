@@ -1,90 +1,90 @@
-"""Line-pattern security rules, their findings, and severity by reachability.
+"""Findings of the line rules and of the graph, and severity by reachability.
 
-A rule is a row of a table; all rules run over the lines in one pass. Context rules look at lines around a hit through a
-window by file.
+Lines are matched first, all rules in one pass. What lies around is looked at for hits alone: those of rules with frames
+are joined to the lines of their file by line number.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import exprs as X
 from ..plans.graph import CodeGraph
+from . import rules as R
 from .rollup import file_stats
+from .rules import RULES, Frame, Rule
 from .traverse import cycles, reachable_entries, without_auth
 
-INPUT = r"(?i)(req\.|request|params|query|body|input|argv|args|user|\$_(GET|POST|REQUEST|COOKIE))"
 RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
+__all__ = ["RULES", "Rule", "findings"]
 
 
-@dataclass(frozen=True)
-class Rule:
-    """near/unless: what must (not) stand within the lines before and after; files: paths that it is for; raise_on: input makes it high."""
-
-    check: str
-    kind: str
-    severity: str
-    title: str
-    pattern: str
-    unless: str = ""
-    near: str = ""
-    absent: str = ""
-    before: int = 0
-    after: int = 0
-    files: str = ""
-
-
-CODE, SHELL = "code-injection", "shell-injection"
-RULES = (
-    Rule("injection", SHELL, "high", "command built by a template", r"\b(execSync|exec)\s*\(\s*`[^`]*\$\{"), Rule("injection", SHELL, "medium", "spawn with arguments from input", rf"\bspawn(Sync)?\s*\(.*{INPUT[4:]}"),
-    Rule("injection", SHELL, "high", "shell=True", r"subprocess\.\w+\(.*shell\s*=\s*True"), Rule("injection", SHELL, "high", "os.system", r"\bos\.system\s*\("),
-    Rule("injection", CODE, "high", "eval", r"(?<![\w.])eval\s*\("), Rule("injection", CODE, "high", "Function constructor", r"new\s+Function\s*\("),
-    Rule("injection", CODE, "high", "SQL by Sprintf", r"(?i)fmt\.Sprintf\s*\(\s*[\"`]\s*(select|insert|update|delete)\b"), Rule("injection", CODE, "high", "query of Sprintf", r"\.(Query|Exec|QueryRow)\s*\(\s*fmt\.Sprintf"),
-    Rule("injection", CODE, "high", "SQL by concatenation", r"(?i)\"\s*(select|insert|update|delete)\b[^\"]*\"\s*\+"), Rule("injection", SHELL, "high", "Runtime.exec", r"Runtime\.getRuntime\(\)\.exec\s*\("),
-    Rule("injection", SHELL, "medium", "ProcessBuilder with input", rf"new\s+ProcessBuilder\s*\(.*{INPUT[4:]}"), Rule("injection", CODE, "high", "object deserialisation", r"new\s+ObjectInputStream\s*\("),
-    Rule("injection", CODE, "medium", "XML parser with entities", r"DocumentBuilderFactory\.newInstance\s*\("), Rule("injection", CODE, "medium", "CSRF protection off", r"csrf\(\)\.disable\(\)|csrf\s*\{\s*(it\.)?disable\(\)"),
-    Rule("injection", CODE, "high", "open sensitive path", r"(?i)(antMatchers|requestMatchers)\([^)]*(admin|internal|actuator)[^)]*\)\.permitAll\(\)"),
-    Rule("injection", SHELL, "high", "unbounded string copy", r"\b(strcpy|strcat|sprintf|gets)\s*\("), Rule("injection", SHELL, "high", "variable format", r"\bprintf\s*\(\s*(?!\")[A-Za-z_]\w*\s*\)"),
-    Rule("injection", SHELL, "high", "system of a variable", r"(?<![\w.:>])system\s*\(\s*(?!\")[A-Za-z_]"), Rule("injection", SHELL, "high", "popen of a variable", r"(?<![\w.])popen\s*\(\s*(?!\")[A-Za-z_]"),
-    Rule("injection", CODE, "high", "SQL by template", r"(?i)\"\s*select\b[^\"]*\$\{?\w"), Rule("injection", CODE, "high", "SQL change by template", r"(?i)\"\s*(insert|update|delete)\b[^\"]*\$\{?\w"),
-    Rule("injection", CODE, "high", "wpdb query by variable", r"\$wpdb->query\s*\(.*\$(?!wpdb)"), Rule("injection", CODE, "high", "eval of a variable", r"\beval\s*\(\s*\$"), Rule("injection", SHELL, "high", "shell call of a variable", r"\b(shell_exec|passthru|proc_open|exec|system)\s*\([^)]*\$\w"),
-    Rule("injection", CODE, "high", "replacement as code", r"preg_replace\s*\(\s*['\"]/.*/\w*e\w*['\"]"), Rule("injection", CODE, "high", "unserialize of input", r"unserialize\s*\(\s*\$_(GET|POST|REQUEST|COOKIE)"), Rule("injection", CODE, "high", "extract of input", r"extract\s*\(\s*\$_(GET|POST|REQUEST)"),
-    *(Rule("path-traversal", "path-traversal", "medium", t, p, near=INPUT, absent=r"startsWith|path\.normalize|realpath|is_relative_to|basename\(", before=15, after=3) for t, p in (("join on a root", r"\bjoin\s*\(\s*\w*[rR]oot\w*\s*,"), ("read of a path", r"\breadFile(Sync)?\s*\(\s*(?!['\"`])"), ("write of a path", r"\bwriteFile(Sync)?\s*\(\s*(?!['\"`])"), ("stream of a path", r"\bcreate(Read|Write)Stream\s*\(\s*(?!['\"`])"))),
-    Rule("auth", "auth-bypass", "medium", "a failed check lets through", r"\bcatch\b", near=r"\bnext\(\)|return\s+true", after=5, files=r"(?i)auth|login|session"), Rule("auth", "auth-bypass", "high", "credential in a URL", r"(?i)[?&](token|api_?key|password|secret)="),
-    Rule("auth", "auth-bypass", "high", "weak random for a secret", r"Math\.random\s*\(", files=r"(?i)auth|token|session|crypt"), Rule("auth", "auth-bypass", "medium", "token check without expiry", r"jwt\.verify\s*\(", absent=r"(?i)exp|maxAge", before=5, after=10), Rule("auth", "auth-bypass", "low", "state cookie without flags", r"(?i)cookie\([^)]*state", absent=r"(?i)httpOnly|secure", after=10),
-    Rule("input", "input-validation", "medium", "any origin allowed", r"(?i)origin\s*:\s*['\"]\*['\"]|Access-Control-Allow-Origin['\"]?\s*,\s*['\"]\*"), Rule("input", "input-validation", "medium", "body without limit", r"express\.json\s*\(\s*\)|bodyParser\.json\s*\(\s*\)"),
-    Rule("input", "input-validation", "medium", "unchecked id", r"req\.params\.\w*[iI]d\b", absent=r"(?i)valid|parseInt|Number\(|uuid|regex|test\(", before=3, after=3), Rule("input", "input-validation", "low", "stored body without length check", r"(?i)(save|insert|create|write)\w*\s*\(.*req\.body", absent=r"(?i)length|valid|schema", before=5, after=2),
-    Rule("disclosure", "information-disclosure", "medium", "stack in a response", r"(?i)(res|response|ctx)\b.*\.stack\b"), Rule("disclosure", "information-disclosure", "low", "environment in a log", r"(?i)(console|log)\w*\..*process\.env(?!\.)"), Rule("disclosure", "information-disclosure", "medium", "secret in a message", r"(?i)`[^`]*\$\{[^}]*(token|password|secret)[^}]*\}"), Rule("disclosure", "information-disclosure", "low", "secret in a log", r"(?i)(console\.\w+|logger\.\w+|print)\s*\(.*(password|secret|token|api_?key)"),
-    Rule("crypto", "weak-cryptography", "high", "MD5", r"(?i)createHash\(\s*['\"]md5|hashlib\.md5|MessageDigest\.getInstance\(\s*\"MD5|\bMD5\("), Rule("crypto", "weak-cryptography", "medium", "SHA-1", r"(?i)createHash\(\s*['\"]sha1|hashlib\.sha1|getInstance\(\s*\"SHA-?1\""), Rule("crypto", "weak-cryptography", "high", "DES", r"(?i)createCipher\w*\(\s*['\"](des|rc4)|\"DES/|DESede"),
-    Rule("crypto", "weak-cryptography", "high", "weak random", r"Math\.random\s*\(", files=r"(?i)crypt|hash|secret"), Rule("crypto", "weak-cryptography", "high", "fixed salt", r"(?i)pbkdf2\w*\([^,]+,\s*['\"]"), Rule("crypto", "weak-cryptography", "medium", "plain HTTP", r"(?i)['\"`]http://(?!localhost|127\.|0\.0\.0\.0|\[::1\])"), Rule("crypto", "weak-cryptography", "medium", "rand()", r"(?<![\w.])(mt_)?rand\s*\(\s*\)"),
-    Rule("crypto", "weak-cryptography", "medium", "input in a log", r"(?i)(log|logger)\.\w+\(\s*\"[^\"]*\"\s*\+\s*\w*(input|user|name|request)"), Rule("crypto", "weak-cryptography", "high", "password hashed fast", r"(?i)\b(md5|sha1)\s*\(\s*\$\w*pass"), Rule("crypto", "weak-cryptography", "high", "mcrypt", r"\bmcrypt_\w+\s*\("),
-    Rule("frontend", "xss", "high", "raw HTML property", r"dangerouslySetInnerHTML", files=r"\.(tsx|jsx|html)$"), Rule("frontend", "xss", "high", "innerHTML", r"\.innerHTML\s*=", files=r"\.(tsx|jsx|html)$"), Rule("frontend", "xss", "medium", "document.write", r"document\.write\s*\(", files=r"\.(tsx|jsx|html)$"), Rule("frontend", "xss", "low", "new tab without noopener", r"target\s*=\s*['\"{]+_blank", unless="noopener", files=r"\.(tsx|jsx|html)$"), Rule("frontend", "xss", "high", "secret in browser storage", r"(?i)(local|session)Storage\.setItem\(.*(token|password|secret)", files=r"\.(tsx|jsx|html)$"),
-    Rule("secrets", "hardcoded-secret", "high", "literal credential", r"(?i)\b(api_?key|secret|password|passwd|token)\b\s*[:=]\s*['\"][^'\"\s]{8,}['\"]"), Rule("secrets", "hardcoded-secret", "critical", "private key", r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----"), Rule("secrets", "hardcoded-secret", "critical", "access key", r"\bAKIA[0-9A-Z]{16}\b"),
-)
-SKIPPED = r"(^|/)(node_modules|dist|build|vendor|\.git)/"
+def rule_name(r: Rule) -> str:
+    return f"{r.check}/{r.title}".replace(" ", "-")
+
+
+def _any(tests) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def scanned(path: Column, line: Column, check: str) -> Column:
+    """Whether the check reads the line at all."""
+    ok = ~_any(path.contains(x) for x in R.SKIPPED_DIRS) & ~_any(F.ltrim(line).startswith(x) for x in R.COMMENTS.get(check, R.OTHER_COMMENTS))
+    if check == "injection":
+        ok = ok & ~_any(F.lower(path).contains(x) for x in R.TEST_WORDS) & ~line.contains(R.REVIEWED)
+    if check == "path-traversal":
+        ok = ok & ~path.contains("wasm-init") & ~(line.contains("__dirname") & line.rlike(R.SAFE_ARGUMENTS)) & ~(line.contains("writeFileSync") & line.rlike(R.FIXED_OUTPUT))
+    return ok
+
+
+def severity_of(r: Rule, path: Column, line: Column) -> Column:
+    """The rule's severity; medium is raised by input names in the line or by the file's role."""
+    raised = {"input": line.rlike(R.INJECTION_INPUT), "route": path.rlike(R.ROUTE_FILES), "crypto": path.rlike(R.CRYPTO_FILES)}
+    return F.when(raised[r.worse], "high").otherwise(r.severity) if r.worse and r.severity == "medium" else F.lit(r.severity)
 
 
 def findings(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(rule, check, class, severity, title, file_path, line, text): one row for each rule that a line matches."""
-    w = lambda r: Window.partitionBy("file_path").orderBy("line_no").rowsBetween(-r.before, r.after)
-    frames = {(r.before, r.after): F.array_join(F.collect_list("line").over(w(r)), "\n") for r in rules if r.near or r.absent}
     line, path = F.col("line"), F.col("file_path")
-    lines = lines.where(~path.rlike(SKIPPED)).withColumns({f"near_{a}_{b}": c for (a, b), c in frames.items()})
-    comment = F.ltrim(line).rlike(r"^(//|#|\*)")
-
-    def hit(r: Rule) -> Column:
-        ok = line.rlike(r.pattern)
-        around = F.col(f"near_{r.before}_{r.after}") if r.near or r.absent else line
-        for test in ([~line.rlike(r.unless)] if r.unless else []) + ([around.rlike(r.near)] if r.near else []) + ([~around.rlike(r.absent)] if r.absent else []) + ([path.rlike(r.files)] if r.files else []) + ([~X.is_test_path(path)] if r.check == "injection" else []):
-            ok = ok & test
-        severity = F.when(line.rlike(INPUT), "high").otherwise("medium") if r.check == "injection" and r.severity == "medium" else F.when(path.rlike("(?i)route|tool|handler"), "high").otherwise("medium") if r.check == "path-traversal" else F.lit(r.severity)
-        name = f"{r.check}/{r.title}".replace(" ", "-")
-        return F.when(ok, F.struct(F.lit(name).alias("rule"), F.lit(r.check).alias("check"), F.lit(r.kind).alias("class"), severity.alias("severity"), F.lit(r.title).alias("title")))
 
-    return lines.where(~comment).select("file_path", F.col("line_no").alias("line"), F.trim(line).alias("text"), F.explode(F.array_compact(F.array(*map(hit, rules)))).alias("h")).select("h.*", "file_path", "line", "text")
+    def hit(number: int, r: Rule) -> Column:
+        tests = [line.rlike(r.pattern), *(line.rlike(p) for p in r.also), *(~line.rlike(p) for p in r.never)] + ([path.rlike(r.files)] if r.files else [])
+        ok = reduce(lambda a, b: a & b, tests) & F.col(f"scan_{r.check}")
+        return F.when(ok, F.struct(F.lit(number).alias("number"), F.lit(rule_name(r)).alias("rule"), F.lit(r.check).alias("check"), F.lit(r.kind).alias("class"), severity_of(r, path, line).alias("severity"), F.lit(r.title).alias("title")))
+
+    read = lines.withColumns({f"scan_{check}": scanned(path, line, check) for check in sorted({r.check for r in rules})})
+    hits = read.select("file_path", F.col("line_no").alias("line"), F.trim(line).alias("text"), F.explode(F.array_compact(F.array(*(hit(i, r) for i, r in enumerate(rules))))).alias("h")).select("h.*", "file_path", "line", "text")
+    told = ["rule", "check", "class", "severity", "title", "file_path", "line", "text"]
+    framed = [i for i, r in enumerate(rules) if r.frames]
+    plain = hits.where(~F.col("number").isin(framed)).select(*told)
+    return plain.unionByName(_framed(hits.where(F.col("number").isin(framed)), lines, rules).select(*told)) if framed else plain
+
+
+def _framed(hits: DataFrame, lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Hits whose surroundings do not speak against them."""
+    frames: dict[Frame, list[int]] = {}
+    for i, r in enumerate(rules):
+        for f in r.frames:
+            frames.setdefault(f, []).append(i)
+    before, after = max(f.before for f in frames), max(f.after for f in frames)
+    # an equi-join on the file, whose residual keeps the lines near a hit: at most before + after + 1 each
+    near = lines.select("file_path", F.col("line_no").alias("near"), F.col("line").alias("near_text"))
+    joined = hits.join(near, "file_path").where(F.col("near").between(F.col("line") - before, F.col("line") + after))
+    keys = ["number", "rule", "check", "class", "severity", "title", "file_path", "line", "text"]
+    sorted_ = F.array_sort(F.collect_list(F.struct("near", "near_text")))
+    around = joined.groupBy(*keys).agg(sorted_.alias("around"))
+
+    def text(f: Frame) -> Column:
+        inside = F.filter("around", lambda x: x["near"].between(F.col("line") - f.before, F.col("line") + f.after))
+        return F.array_join(F.transform(inside, lambda x: x["near_text"]), "\n")
+
+    ok = F.lit(True)
+    for f, own in frames.items():
+        present = reduce(lambda a, b: a & b, (text(f).rlike(p) for p in f.patterns))
+        ok = ok & (~F.col("number").isin(own) | (present if f.needed else ~present))
+    return around.where(ok)
 
 
 def architecture_findings(g: CodeGraph) -> DataFrame:
@@ -122,10 +122,14 @@ def severity_rank(c: Column) -> Column:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Worst first, with ids."""
-    # a report of findings is small beside the lines that it is drawn from
-    place = F.row_number().over(Window.orderBy(F.desc(severity_rank(F.col("severity"))), "file_path", "line", "rule"))
-    return found.withColumn("id", F.format_string("SEC-%03d", place))
+    """Worst first, with ids: places within a severity are counted apart, so that no task numbers all findings."""
+    order = ["file_path", "line", "rule"]
+    ranked = found.withColumn("rank", severity_rank(F.col("severity")))
+    sizes = ranked.groupBy("rank", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    # files are numbered by their counts, one row a file; findings only within their file
+    first = sizes.withColumn("before", F.sum("n").over(Window.orderBy(F.desc("rank"), "file_path").rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.row_number().over(Window.partitionBy("rank", "file_path").orderBy(*order)) + F.coalesce("before", F.lit(0))
+    return ranked.join(first.select("rank", "file_path", "before"), ["rank", "file_path"]).withColumn("id", F.format_string("SEC-%03d", place)).orderBy(F.desc("rank"), *order).select(*found.columns, "id")
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ bounded by ``MOST_CYCLE_EDGES`` and refused beyond.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from ..plans.graph import CodeGraph
 from ..plans.scratch import written
 
@@ -19,9 +20,17 @@ MOST_CYCLE_EDGES = 2_000_000
 MOST_STEPS = 5_000_000
 
 
+#: Rounds after which what was reached is written as one table.
+MERGE = 8
+
+
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(root, id, depth): what is reached from the starts (root, id) against the edges' direction, start left out."""
-    back = edges.select(F.col("target").alias("id"), F.col("source").alias("next")).distinct()
+    """(root, id, depth): what is reached from the starts (root, id) against the edges' direction, start left out.
+
+    The reversed edges are written once; a round reads them and the tables of what was reached, which are merged every
+    few rounds, so that no round reads more than MERGE small tables beside one large one.
+    """
+    back = written(edges.select(F.col("target").alias("id"), F.col("source").alias("next")).distinct(), "back")
     now = written(starts.select("root", "id", F.lit(0).alias("depth")).distinct(), "closure")
     seen, depth = now, 0
     while True:
@@ -31,6 +40,8 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
         if not now.take(1):
             return seen.where("depth > 0")
         seen = seen.unionByName(now)
+        if depth % MERGE == 0:
+            seen = written(seen, "seen")
 
 
 def impact(g: CodeGraph, symbol: str) -> DataFrame:
@@ -120,9 +131,13 @@ def cycles(fp: DataFrame) -> DataFrame:
     Roots and neighbours are taken in the order of their first reference. Only edges on cycles are searched.
     """
     core = trimmed(written(fp.select(F.col("source_file").alias("a"), F.col("target_file").alias("b")).distinct(), "cycles"))
-    if core.count() > MOST_CYCLE_EDGES:
-        raise ValueError("the file graph is too large for a cycle list; strong_components tells which files are on cycles")
-    ordered = core.join(fp.select(F.col("source_file").alias("a"), F.col("target_file").alias("b"), "seq"), ["a", "b"])
+    # a search never leaves its connected part of the core, so each part is searched in a task of its own
+    loops = core.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    parts = written(components(core).unionByName(loops).groupBy("node").agg(F.min("component").alias("label")), "parts")
+    ordered = core.join(fp.select(F.col("source_file").alias("a"), F.col("target_file").alias("b"), "seq"), ["a", "b"]).join(parts.select(F.col("node").alias("a"), "label"), "a")
+    largest = ordered.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    if largest > MOST_CYCLE_EDGES:
+        raise ValueError("a tangle of the file graph is too large for a cycle list; strong_components tells which files are on cycles")
 
     def search(edges: pd.DataFrame) -> pd.DataFrame:
         edges = edges.sort_values("seq", kind="stable")
@@ -151,7 +166,7 @@ def cycles(fp: DataFrame) -> DataFrame:
                     ways.append(iter(after.get(step, ())))
         return pd.DataFrame({"members": list(found.values())})
 
-    return ordered.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(search, "members array<string>")
+    return ordered.groupBy("label").applyInPandas(search, "members array<string>")
 
 
 def cycle_count(g: CodeGraph) -> DataFrame:
@@ -200,17 +215,54 @@ def _searched(edges: DataFrame) -> int:
     return int(edges.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(search, "n long").first()[0])
 
 
-def chains(fp: DataFrame, roots: int = 10, k: int = 5, limit: int = 12) -> DataFrame:
-    """The k longest simple paths from files without references in to files without any out, up to ``limit`` edges."""
-    edges = fp.select(F.col("source_file").alias("a"), F.col("target_file").alias("b")).where("a <> b").distinct()
+def chains(fp: DataFrame, roots: int = 10, k: int = 5) -> DataFrame:
+    """The k longest simple paths from files without references in (the first ``roots``) to files without any out.
+
+    Files from which no cycle can be reached are done from the leaves up: each keeps the k best of its successors' paths,
+    which is exact and takes as many rounds as the longest path has edges. Paths of roots that reach a cycle are listed.
+    """
+    edges = written(fp.select(F.col("source_file").alias("a"), F.col("target_file").alias("b")).where("a <> b").distinct(), "chains")
     first = fp.groupBy(F.col("source_file").alias("a")).agg(F.min("seq").alias("seq")).join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti").orderBy("seq", "a").limit(roots)
-    now, done = written(first.select(F.array("a").alias("path")), "chains"), None
-    leaves = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_anti")
-    for _ in range(limit):
+    first = written(first, "chains")
+    edges = _below(edges, first.select("a"))
+    done, open_ = _best_paths(edges, k)
+    found = done.join(first, "a", "left_semi").select("path")
+    tangled = first.join(open_, "a", "left_semi")
+    if tangled.take(1):
+        found = found.unionByName(_listed(edges, tangled.select(F.array("a").alias("path"))))
+    told = found.where(F.size("path") > 1).select(F.array_join("path", " > ").alias("chain"), (F.size("path") - 1).alias("length"))
+    return told.orderBy(F.desc("length"), "chain").limit(k)
+
+
+def _below(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """The edges that the starts can reach."""
+    ahead = edges.select(F.col("a").alias("target"), F.col("b").alias("source"))  # closures run against the direction
+    reached = closure(ahead, starts.select(F.lit("").alias("root"), F.col("a").alias("id"))).select(F.col("id").alias("a"))
+    return written(edges.join(reached.unionByName(starts).distinct(), "a", "left_semi"), "below")
+
+
+def _best_paths(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(a, path): the k best paths to leaves of files that reach no cycle; and the files (a) that do reach one."""
+    leaves = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a"), "a", "left_anti")
+    fresh = written(leaves.select("a", F.array("a").alias("path")), "best")
+    done, open_ = fresh, edges
+    best = Window.partitionBy("a").orderBy(F.desc(F.size("path")), F.array_join("path", " > "))
+    while fresh.take(1) and open_.take(1):
+        met = done.select(F.col("a").alias("b")).distinct()
+        ready = open_.select("a").distinct().join(open_.join(met, "b", "left_anti").select("a"), "a", "left_anti")
+        longer = open_.join(ready, "a", "left_semi").join(done.select(F.col("a").alias("b"), "path"), "b").select("a", F.concat(F.array("a"), "path").alias("path"))
+        fresh = written(longer.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place"), "best")
+        done = written(done.unionByName(fresh), "best")
+        open_ = written(open_.join(fresh.select("a").distinct(), "a", "left_anti"), "open")
+    return done, open_.select("a").distinct()
+
+
+def _listed(edges: DataFrame, now: DataFrame) -> DataFrame:
+    """All simple paths from these to leaves, edge by edge; cycles make their number grow fast."""
+    leaves = written(edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_anti"), "leaves")
+    done, now = now.limit(0), written(now, "chains")
+    while now.take(1):
         step = now.withColumn("a", F.element_at("path", -1)).join(edges, "a").where(~F.array_contains("path", F.col("b")))
         now = written(step.select(F.array_append("path", F.col("b")).alias("path")), "chains")
-        ended = now.where(F.size("path") > 1).withColumn("b", F.element_at("path", -1)).join(leaves, "b", "left_semi").select("path")
-        done = ended if done is None else done.unionByName(ended)
-        if not now.take(1):
-            break
-    return done.select(F.array_join("path", " > ").alias("chain"), (F.size("path") - 1).alias("length")).orderBy(F.desc("length"), "chain").limit(k)
+        done = done.unionByName(now.withColumn("b", F.element_at("path", -1)).join(leaves, "b", "left_semi").select("path"))
+    return done

@@ -78,6 +78,100 @@ def relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return symbols, calls.select(*cols).unionByName(imports.select(*cols)).unionByName(back.select(*cols))
 
 
+#: A second, sparser graph, whole in itself: an order references its customer and calls the customer's next order of the
+#: year, where orders of the segment BUILDING close rings; customers import their nation, nations their region.
+_ORDER_FILE = (
+    "concat('svc/', lower(c_mktsegment), case o_orderpriority when '1-URGENT' then '/api' else '' end, '/o', cast(o_orderkey as varchar(20)), "
+    "case o_orderpriority when '2-HIGH' then '/index.ts' when '3-MEDIUM' then '.test.ts' else '.ts' end)"
+)
+_ORDER_NAME = "concat(case o_orderstatus when 'F' then 'load' when 'O' then 'handle' else 'operator' end, cast(o_orderkey as varchar(20)))"
+_YEAR = "over (partition by o_custkey, year(o_orderdate) order by o_orderdate, o_orderkey"
+ORDER_NODES = {
+    "o": (_ORDER_FILE, _ORDER_NAME, "function", "o_orderkey", 0),
+    "c": ("concat('src/cust/n', cast(c_nationkey as varchar(20)), '/c', cast(c_custkey as varchar(20)), '.ts')", "concat('Customer', cast(c_custkey as varchar(20)))", "class", "c_custkey", 1_000_000_000),
+    "n": ("concat('src/geo/n', cast(n_nationkey as varchar(20)), '.py')", "concat('Nation', cast(n_nationkey as varchar(20)))", "class", "n_nationkey", 2_000_000_000),
+    "r": ("concat('src/geo/r', cast(r_regionkey as varchar(20)), '.py')", "concat('Region', cast(r_regionkey as varchar(20)))", "class", "r_regionkey", 3_000_000_000),
+    "s": ("concat('lib/s', cast(s_suppkey as varchar(20)), '.go')", "concat('Supplier', cast(s_suppkey as varchar(20)))", "interface", "s_suppkey", 4_000_000_000),
+}
+#: What an id has before the name; suppliers refer to nothing and nothing refers to them.
+_SCOPES = {"o": "Orders."}
+_ORDER_TABLES = {"o": "orders JOIN customer ON o_custkey = c_custkey", "c": "customer", "n": "nation", "r": "region", "s": "supplier"}
+_ORDER_MORE = {
+    "o": ["o_custkey AS up", f"lead(o_orderkey) {_YEAR}) AS after", f"CASE WHEN c_mktsegment = 'BUILDING' THEN first_value(o_orderkey) {_YEAR}) END AS first"],
+    "c": ["c_nationkey AS up"], "n": ["n_regionkey AS up"], "r": [], "s": [],
+}
+
+
+def _order_node_sql(t: str) -> str:
+    file, name, kind, key, base = ORDER_NODES[t]
+    return (
+        f"SELECT concat({file}, '::{_SCOPES.get(t, '')}', {name}) AS id, {name} AS name, '{kind}' AS kind, {file} AS file_path, CAST(1 AS int) AS start_line, CAST(1 + {key} % 37 AS int) AS end_line, "
+        f"{key} % 2 = 0 AS exported, CAST({key} AS bigint) AS key, CAST({base} + {key} AS bigint) AS seq{''.join(', ' + x for x in _ORDER_MORE[t])} FROM {_ORDER_TABLES[t]}"
+    )
+
+
+_SYMBOL_COLUMNS = "id, name, kind, file_path, start_line, end_line, exported, seq"
+ORDER_SYMBOLS = " UNION ALL ".join(f"SELECT {_SYMBOL_COLUMNS} FROM n_{t}" for t in ORDER_NODES)
+ORDER_REFS = """
+  SELECT x.id AS source, y.id AS target, 'references' AS kind, 1 AS line, x.seq * 4 AS seq FROM n_o x JOIN n_c y ON y.key = x.up
+  UNION ALL SELECT x.id, y.id, 'calls', 2, x.seq * 4 + 1 FROM n_o x JOIN n_o y ON y.key = coalesce(x.after, CASE WHEN x.first <> x.key THEN x.first END)
+  UNION ALL SELECT x.id, y.id, 'imports', 1, x.seq * 4 FROM n_c x JOIN n_n y ON y.key = x.up
+  UNION ALL SELECT x.id, y.id, 'imports', 1, x.seq * 4 FROM n_n x JOIN n_r y ON y.key = x.up"""
+_EDGE_RELATIONS = PRELUDE[PRELUDE.index("E AS MATERIALIZED") :]
+ORDER_PRELUDE = ", ".join(f"n_{t} AS ({_order_node_sql(t)})" for t in ORDER_NODES) + f", N AS MATERIALIZED ({ORDER_SYMBOLS}), e0 AS ({ORDER_REFS}), {_EDGE_RELATIONS}"
+
+
+def order_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """The sparse graph over the tables of a folder; built once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir + "#orders")
+    if key not in _made:
+        t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "customer", "nation", "region", "supplier")}
+        base = {"o": t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")), "c": t["customer"], "n": t["nation"], "r": t["region"], "s": t["supplier"]}
+        nodes = {}
+        for k, (file, name, kind, number, first) in ORDER_NODES.items():
+            text = [f"{file} AS file_path", f"{name} AS name", f"'{kind}' AS kind", "CAST(1 AS int) AS start_line", f"CAST(1 + {number} % 37 AS int) AS end_line", f"{number} % 2 = 0 AS exported", f"CAST({number} AS bigint) AS key", f"CAST({first} + {number} AS bigint) AS seq", *_ORDER_MORE[k]]
+            nodes[k] = base[k].selectExpr(*(x.replace("as varchar(20)", "as string") for x in text)).withColumn("id", F.concat("file_path", F.lit("::" + _SCOPES.get(k, "")), "name"))
+        symbols = None
+        for df in nodes.values():
+            own = df.select(*_SYMBOL_COLUMNS.split(", "))
+            symbols = own if symbols is None else symbols.unionByName(own)
+        end = lambda k: nodes[k].select(F.col("id").alias("target"), F.col("key").alias("to"))
+        refs = None
+        nexts = F.coalesce("after", F.when(F.col("first") != F.col("key"), F.col("first")))
+        for k, to, kind, line, by, place in (("o", "c", "references", 1, F.col("up"), 0), ("o", "o", "calls", 2, nexts, 1), ("c", "n", "imports", 1, F.col("up"), 0), ("n", "r", "imports", 1, F.col("up"), 0)):
+            own = nodes[k].withColumn("to", by.cast("long")).join(end(to), "to").select(F.col("id").alias("source"), "target", F.lit(kind).alias("kind"), "file_path", F.lit(line).alias("line"), (F.col("seq") * 4 + place).alias("seq"))
+            refs = own if refs is None else refs.unionByName(own)
+        _made[key] = build_graph(symbols, refs).persist()
+    return _made[key]
+
+
+#: Lines of code by which the line checks are held against SQL: what they should find, and what they should pass over.
+FILES = ("src/auth/login.ts", "src/routes/users.js", "web/view.tsx", "lib/tool.py", "src/crypto/hash.kt", "srv/api/main.go", "src/plain.php", "src/spec/case.ts", "tools/job.py", "vendor/dist/x.js", "srv/server.py")
+SAMPLES = (
+    "execSync(`ls ${dir}`)", "exec(`rm ${x}`)", "spawn('git', [userInput])", "spawn('git', ['log'])", "subprocess.run(cmd, shell=True)", "os.system('python tools/job.py')", "x = eval(code)", "new Function ('return 1')",
+    'fmt.Sprintf("select %s", id)', "db.Query( fmt.Sprintf(q))", "st.executeQuery(\"SELECT a FROM b\" + id)", "Runtime.getRuntime().exec(c)", "new ProcessBuilder(args)", "new ObjectInputStream(in)", "DocumentBuilderFactory.newInstance()",
+    "http.csrf().disable()", "x.permitAll().path(admin)", "strcpy(a, b)", "printf(fmt)", 'printf("x")', "system(cmd)", "popen(p, 1)", 'val q = "SELECT a WHERE b = $id"', "'DELETE FROM t WHERE a = ${id}'", '$wpdb->query("DROP $t")', "eval($x)", "shell_exec($x)",
+    "preg_replace('/a/e', $b)", "unserialize($_GET['a'])", "extract($_POST)", "// eval(x)", "# os.system(x)", "eval(x) // security-reviewed", "path.join(root, req.query.f)", "const p = resolve(base); if (!p.startsWith(base)) throw 1", "readFileSync(filePath)", "writeFileSync(outPath, 'a.json')",
+    "const out = 'report.md'", "createReadStream(userInput)", "} catch (e) {", "next()", "return true", "url = '/a?token=' + t", "Math.random()", "jwt.verify(t, key)", "const o = { expiresIn: 60 }", "res.cookie('state', s) // state cookie", "res.clearCookie('state')",
+    "cors({ origin: '*' })", "express.json()", "const id = req.params.id", "if (!isValid(id)) return", "db.create(req.body)", "if (req.body.length > 9) return", "res.json({ error: err.stack })", "console.log(process.env)", "`clone failed ${url}`", "console.log(token)", "console.log('token ok')",
+    "createHash('md5')", "hashlib.sha1(x)", 'Cipher.getInstance("DES/ECB")', "log.info(a + name)", "fetch('http://example.org/a')", "fetch('/api/users/1')", "axios.get('/api/items')", "pbkdf2(p, 'saltsalt1')", "rand()", 'val apiKey = "abc"', "Random()", "x!!.y", 'val baseUrl = "http://example.org"', "md5($password)", "crypt($p, '$1')", "mcrypt_encrypt(x)", "$password = 'secret1'",
+    "<div dangerouslySetInnerHTML={x} />", "el.innerHTML = x", "document.write(x)", "<a target='_blank' href='x'>", "<a target='_blank' rel='noopener'>", "localStorage.setItem('token', t)", "@app.get('/api/users/{id}')", "@app.route('/api/items', methods=['GET', 'POST'])", "router.post('/api/orders', f)", "app.get('/api/users/:id', f)", "axios.post('/api/orders', o)", 'r.GET("/api/items", f)',
+    "// TODO: speed this up", "# FIXME broken", "// HACK for now", "/* XXX later */", "// NOTE: read me", "# deprecated: old", "subprocess.run(['python', 'tools/job.py'])", "spawn('python', ['job.py'])", "a = 1", "return a + b", "",
+)
+_FILE_AT, _SAMPLE_AT = f"p_partkey % {len(FILES)} + 1", f"(p_partkey * 7 + p_partkey // {len(FILES)}) % {len(SAMPLES)} + 1"
+CODE_LINES = f"""
+code_lines AS MATERIALIZED (SELECT [{", ".join("'" + x + "'" for x in FILES)}][{_FILE_AT}] AS file_path, p_partkey // {len(FILES)} + 1 AS line_no,
+  [{", ".join("'" + x.replace("'", "''") + "'" for x in SAMPLES)}][{_SAMPLE_AT}] AS line FROM part)"""
+
+
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, line_no, line): a line for each part."""
+    k = F.col("p_partkey")
+    row = F.floor(k / len(FILES)).cast("long")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at.cast("int"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(pick(FILES, k % len(FILES) + 1).alias("file_path"), (row + 1).alias("line_no"), pick(SAMPLES, (k * 7 + row) % len(SAMPLES) + 1).alias("line"))
+
+
 def bound_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """The graph over the tables of a folder; built once for a session."""
     key = (spark.sparkContext.applicationId, sf_dir)

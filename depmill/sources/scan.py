@@ -102,11 +102,16 @@ def parse_project(spark: SparkSession, root: str, exclude: tuple[str, ...] = ())
 def graph_of(rows: DataFrame) -> CodeGraph:
     symbols = rows.where("rec = 'sym'").select("id", "name", "kind", "file_path", "start_line", "end_line", "exported", "scope", "seq")
     refs = rows.where("rec = 'ref'").select("source", "target", "kind", "file_path", "line", "seq")
-    # an import of a Go package is one of each of its files
-    into = refs.where(F.col("target").rlike(r"/::__file__$")).withColumn("folder", F.regexp_extract("target", r"^(.*)/::", 1))
-    files = rows.select("file_path").distinct().select(F.col("file_path").alias("member"), F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1).alias("folder"))
-    spread = into.join(files.where(F.col("member").endswith(".go")), "folder").select("source", F.concat("member", F.lit("::__file__")).alias("target"), "kind", "file_path", "line", "seq")
-    return build_graph(symbols, refs.where(~F.col("target").rlike(r"/::__file__$")).unionByName(spread))
+    return build_graph(symbols, package_imports(refs, rows.select("file_path").distinct()))
+
+
+def package_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """References as they are, but for an import of a Go package: it is one of each of the package's files."""
+    package = F.col("target").rlike(r"/::__file__$")
+    into = refs.where(package).withColumn("folder", F.regexp_extract("target", r"^(.*)/::", 1))
+    members = files.select(F.col("file_path").alias("member"), F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1).alias("folder"))
+    spread = into.join(members.where(F.col("member").endswith(".go")), "folder").withColumn("target", F.concat("member", F.lit("::__file__"))).select(*refs.columns)
+    return refs.where(~package).unionByName(spread)
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -114,9 +119,9 @@ def lines_of(files: DataFrame) -> DataFrame:
     return files.select("file_path", F.posexplode(F.split("content", "\n")).alias("p", "line")).select("file_path", (F.col("p") + 1).alias("line_no"), "line")
 
 
-def commits_of(spark: SparkSession, repo: str, limit: int = 10_000) -> DataFrame:
-    """The git log, newest first, its fields apart whatever the subject holds."""
-    out = subprocess.run(["git", "-C", repo, "log", f"-n{limit}", "--format=%H%x1f%aI%x1f%s%x1f%an"], capture_output=True, text=True, check=True, timeout=60).stdout
+def commits_of(spark: SparkSession, repo: str, limit: int | None = None) -> DataFrame:
+    """The git log (its newest ``limit`` commits, if given), newest first, its fields apart whatever the subject holds."""
+    out = subprocess.run(["git", "-C", repo, "log", *([f"-n{limit}"] if limit else []), "--format=%H%x1f%aI%x1f%s%x1f%an"], capture_output=True, text=True, check=True, timeout=60).stdout
     rows = [(*x.split("\x1f"), i) for i, x in enumerate(out.splitlines()) if x.count("\x1f") == 3]
     df = spark.createDataFrame(rows, "hash string, iso string, message string, author string, seq long")
     return df.select("hash", F.to_timestamp("iso").alias("date"), "message", "author", "seq")

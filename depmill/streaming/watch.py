@@ -7,17 +7,20 @@ import os
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-from ..plans.graph import CodeGraph, remove_files
-from ..sources.scan import MOST_BYTES, extracted, graph_of, list_files, load_graph, save_graph
+from ..plans.graph import CodeGraph, build_graph, remove_files
+from ..plans.scratch import written
+from ..sources.scan import MOST_BYTES, STRIDE, extracted, graph_of, list_files, load_graph, package_imports, save_graph
 
 CHANGE = "file_path string, event string, mtime double, language string, content string"
 #: Seconds that a file must rest before its change counts.
 SETTLED = 0.3
+#: What marks a generation of a stored graph as whole.
+COMPLETE = "complete"
 
 
 class FileChanges(DataSource):
@@ -80,31 +83,46 @@ def latest(batch: DataFrame) -> DataFrame:
 
 
 def applied(g: CodeGraph, batch: DataFrame, all_files: DataFrame) -> CodeGraph:
-    """The graph after a batch. Rows of changed files are extracted anew against all known paths."""
-    last = latest(batch)
+    """The graph after a batch. Rows of changed files are extracted anew against all known paths, behind all earlier ones."""
+    last = written(latest(batch), "changes")
     paths = [r[0] for r in last.select("file_path").collect()]  # files of one micro-batch
     rest = remove_files(g, paths)
-    fresh = last.where("event <> 'unlink'").withColumn("place", F.lit(0).cast("long"))
-    rows = extracted(fresh.unionByName(all_files.withColumn("content", F.lit("")).withColumn("event", F.lit("")).join(fresh.select("file_path"), "file_path", "left_anti"), allowMissingColumns=True))
-    new = graph_of(rows.where(F.col("file_path").isin(paths)))
+    base = (max([r[0] or 0 for r in (g.nodes.agg(F.max("seq")).first(), g.edges.agg(F.max("seq")).first())]) // STRIDE) + 1
+    fresh = last.where("event <> 'unlink'").withColumn("place", F.row_number().over(Window.orderBy("file_path")).cast("long") + base)  # of one micro-batch
+    others = all_files.withColumn("content", F.lit("")).withColumn("event", F.lit("")).join(fresh.select("file_path"), "file_path", "left_anti")
+    rows = extracted(fresh.unionByName(others, allowMissingColumns=True)).where(F.col("file_path").isin(paths))
+    rows = written(rows, "extracted")
+    new = graph_of(rows)
+    refs = rows.where("rec = 'ref'").select("source", "target", "kind", "file_path", "line", "seq")
     nodes = rest.nodes.unionByName(new.nodes, allowMissingColumns=True)
-    ids = nodes.select("id")
-    edges = rest.edges.unionByName(rows.where(F.col("file_path").isin(paths) & (F.col("rec") == "ref")).select(*[c for c in rest.edges.columns if c in rows.columns]), allowMissingColumns=True)
-    known = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    from ..plans.graph import upsert
+    edges = rest.edges.unionByName(package_imports(refs, all_files.select("file_path")), allowMissingColumns=True)
+    return build_graph(nodes, edges.select(*g.edges.columns))
 
-    return CodeGraph(nodes, upsert(known))
+
+def generation_before(spark: SparkSession, store: str, number: int) -> str:
+    """The folder of the last stored generation below this one; the first is named start."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(path)]
+    done = lambda n: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/{COMPLETE}"))
+    earlier = [int(n) for n in names if n.isdigit() and int(n) < number and done(n)]
+    return f"{store}/{max(earlier) if earlier else 'start'}"
 
 
 def keep_updated(spark: SparkSession, root: str, store: str, checkpoint: str, on_refresh: Callable[[CodeGraph], None] | None = None):
-    """A query that applies changes to the graph stored as two generations of tables; the writer is idempotent by batch."""
+    """A query that applies changes to the graph stored as generations of tables.
+
+    A batch reads the last complete generation below its number and writes its own, so a batch that runs again, a batch
+    without rows and a writer that broke off lose nothing.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         if not batch.take(1):
             return
-        old = load_graph(spark, f"{store}/{number - 1}" if os.path.isdir(f"{store}/{number - 1}") else f"{store}/start")
+        old = load_graph(spark, generation_before(spark, store, number))
         files = spark.createDataFrame([(p, lang, 0) for p, lang, _ in list_files(root)], "file_path string, language string, place long")
         save_graph(applied(old, batch, files), f"{store}/{number}")
+        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{store}/{number}/{COMPLETE}")
         if on_refresh:
             on_refresh(load_graph(spark, f"{store}/{number}"))
 

@@ -123,3 +123,34 @@ def test_health_example(spark):
 def test_dead_code(g):
     assert rows(dead_code.dead_symbols(g), "name", "confidence") == [("baz", "high"), ("helper", "high")]
     assert dead_code.package_entries('{"main": "./lib/x.js", "exports": {".": {"import": "./lib/y.ts"}}}') == ["lib/x.js", "lib/x.ts", "lib/y.js", "lib/y.ts"]
+
+
+def test_moved_symbols_keep_their_scopes(spark):
+    symbols = [(f"a.ts::{x}.run", "run", "method", "a.ts", 1, 2, True, x, i) for i, x in enumerate("AB")] + [("b.ts::go", "go", "function", "b.ts", 1, 2, True, None, 5)]
+    refs = [("b.ts::go", f"a.ts::{x}.run", "calls", "b.ts", 1, 10 + i) for i, x in enumerate("AB")]
+    small = build_graph(spark.createDataFrame(symbols, SYMBOL), spark.createDataFrame(refs, REFERENCE))
+    for action in (simulate.Action("move", "a.ts", "x/m.ts"), simulate.Action("split", "a.ts", "x/m.ts", ("run",))):
+        after = simulate.simulate(small, action).after
+        assert rows(after.nodes, "id") == [("b.ts::go",), ("x/m.ts::A.run",), ("x/m.ts::B.run",)]
+        assert rows(after.edges, "target") == [("x/m.ts::A.run",), ("x/m.ts::B.run",)]
+
+
+def _pairs(spark, edges):
+    return spark.createDataFrame([(a, b, i, 1) for i, (a, b) in enumerate(edges)], "source_file string, target_file string, seq long, edges long")
+
+
+def test_long_chains(spark):
+    line = [(f"n{i:02}", f"n{i + 1:02}") for i in range(15)]
+    got = [tuple(r) for r in traverse.chains(_pairs(spark, [*line, ("n03", "z"), ("n03", "n05")])).collect()]
+    whole = " > ".join(f"n{i:02}" for i in range(16))
+    assert got == [(whole, 15), (whole.replace("n04 > ", ""), 14), ("n00 > n01 > n02 > n03 > z", 4)]
+
+
+def test_chains_past_a_cycle(spark):
+    got = traverse.chains(_pairs(spark, [("r", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("q", "c")]))
+    assert [tuple(r) for r in got.collect()] == [("r > a > b > c", 3), ("q > c", 1)]
+
+
+def test_cycles_of_apart_tangles(spark):
+    fp = _pairs(spark, [("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("b", "c"), ("x", "a")])
+    assert sorted(sorted(r[0]) for r in traverse.cycles(fp).collect()) == [["a", "b"], ["c", "d", "e"]]

@@ -81,7 +81,7 @@ def test_cross_language(session):
 
 def test_security(session):
     found = security.findings(session.lines)
-    assert {"eval", "os.system"} <= {r["title"] for r in found.collect()}
+    assert {"eval() usage detected", "Python os.system() call"} <= {r["title"] for r in found.collect()}
     told = security.numbered(security.elevated(found, session.g)).collect()
     assert told[0]["id"] == "SEC-001" and security.gate(found, "high")
 
@@ -158,3 +158,30 @@ def test_windows_over_events(spark):
     df = spark.sql("SELECT timestamp '2024-01-01 00:10:00' AS ts, 'a' AS event_type, 1L AS user_id UNION ALL SELECT timestamp '2024-01-01 00:20:00', 'a', 1L UNION ALL SELECT timestamp '2024-01-01 03:00:00', 'a', 1L")
     assert sorted(r["n"] for r in watch.activity(df).collect()) == [1, 2]
     assert sorted(r["n"] for r in watch.sessions(df).collect()) == [1, 2]
+
+
+def test_updates_keep_package_imports_and_later_generations(spark, session, project, tmp_path):
+    from depmill.streaming import watch
+
+    batch = spark.createDataFrame([("go/main.go", "change", 1.0, "go", FILES["go/main.go"] + "\nfunc (a *App) Stop() {\n}\n"), ("web/lib.ts", "unlink", 1.0, None, None)], watch.CHANGE)
+    files = spark.createDataFrame([(p, lang, 0) for p, lang, _ in scan.list_files(project)], "file_path string, language string, place long")
+    after = watch.applied(session.g, batch, files)
+    into = lambda g: {r[0] for r in g.ef.where("source_file = 'go/main.go' and target_file = 'store/db.go'").select("target").collect()}
+    assert into(after) == into(session.g) != set()
+    assert after.nodes.where("name = 'Stop'").count() == 1 and after.nodes.where("file_path = 'web/lib.ts'").count() == 0
+    store = str(tmp_path / "store")
+    for name in ("start", "3"):
+        scan.save_graph(after, f"{store}/{name}")
+    assert watch.generation_before(spark, store, 5) == f"{store}/start"  # 3 was not finished
+    spark.range(1).write.parquet(f"{store}/3/{watch.COMPLETE}")
+    assert watch.generation_before(spark, store, 5) == f"{store}/3" and watch.generation_before(spark, store, 3) == f"{store}/start"
+
+
+def test_line_rules_look_around(spark):
+    from depmill.operators import rules
+
+    texts = ["} catch (e) {", "log(e)", "next()", "const p = resolve(base)", "if (!p.startsWith(base)) throw 1", "path.join(root, req.query.f)", *["x"] * 20, "path.join(root, req.query.f)", "// eval(x)", "eval(x)"]
+    lines = spark.createDataFrame([("src/route/a.ts", i + 1, t) for i, t in enumerate(texts)], "file_path string, line_no long, line string")
+    found = {(r["title"], r["line"], r["severity"]) for r in security.findings(lines).collect()}
+    assert found == {("Fail-open catch block may bypass authentication", 1, "medium"), ("Potential path traversal via path.join", 27, "high"), ("eval() usage detected", 29, "high")}
+    assert len(rules.RULES) > 60

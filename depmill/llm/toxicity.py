@@ -6,31 +6,37 @@ coordinate of each starts as the smoothed log-odds of toxic over clean training
 steps of ``STRIDE``, overlapping and the last at the text's end, are scored: both directions' states are pooled by
 attention and a logistic unit scores the pool. A text's score is that of its most toxic window. Training is multiple-
 instance learning in numpy: of a text, the windows that now score highest (and one at random of clean texts) carry its
-label, on a sample of at most ``SAMPLE_EACH`` labelled texts of each class, chosen by a hash of the id.
+label, on a sample of at most ``SAMPLE_EACH`` labelled texts of each class and ``SAMPLE_BYTES`` bytes, chosen by a hash of
+the id. One executor task learns from the written sample; the driver sees the weights only.
 
 Only text is input to a score. Words are runs of letters and digits in lower case.
 
 Defined results: null, empty and wordless texts have one window without words, scored by the bias; repeated rows are
 scored each; labels that are null or of ids without a text are left out, and with both labels for an id it is toxic;
-without training texts the network stays as it starts; an empty table gives an empty result.
+without training texts the network stays as it starts; labelled texts longer than the room that is left in the sample
+are scored but not learnt from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontamination import plain
 from .optim import Adam, gru_back, gru_step, sigmoid
+from .scratch import written
 from .words import MIX, chunks, mixed, split
 
 WINDOW, STRIDE = 32, 16
 #: Labelled texts of each class that are learnt from, at most.
 SAMPLE_EACH = 1_500
+#: Bytes of text that are learnt from, at most: what bounds the learning task's memory.
+SAMPLE_BYTES = 12_000_000
 VOCABULARY, LEAST_TEXTS = 20_000, 3
 GRAMS, BUCKETS = (3, 4, 5), 1 << 14
 WORD_DIM, CHAR_DIM, UNITS, LOOK = 6, 6, 8, 8
@@ -50,7 +56,7 @@ def grams_of(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     chars = [np.fromiter(map(ord, f"^{w}$"), np.uint64, len(w) + 2) for w in vocab.to_pylist()]
     sizes = np.array([len(c) for c in chars], np.int64)
     if not len(sizes):
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
     flat, word = mixed(np.concatenate(chars)), np.repeat(np.arange(len(sizes)), sizes)
     found, owner = [], []
     with np.errstate(over="ignore"):
@@ -61,8 +67,8 @@ def grams_of(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             for j in range(n):
                 h = h * MIX + flat[j : j + len(h)]
             ok = word[: len(h)] == word[n - 1 :]
-            found.append((mixed(h[ok] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
-            owner.append(word[: len(h)][ok])
+            found.append((mixed(h[ok] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int32))
+            owner.append(word[: len(h)][ok].astype(np.int32))
     found, owner = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     return found[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
@@ -178,17 +184,17 @@ class Network:
         np.add.at(gc, gb, np.repeat(dx[:, WORD_DIM:] / np.maximum(sizes, 1)[:, None], sizes, axis=0))
         adam.step(g | {"e": (words, ge), "c": (grams, gc)})
 
-    def windows(self, x: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logit, text and start of all windows."""
+    def windows(self, x: np.ndarray, codes: np.ndarray, offsets: np.ndarray, judge=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Value (the logit, or judge's of the codes in it), text and place of the first word of all windows."""
         starts = [window_starts(n) for n in np.diff(offsets).tolist()]
-        text = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
+        text = np.repeat(np.arange(len(starts), dtype=np.int32), [len(s) for s in starts])
         start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        at = start[:, None] + np.arange(WINDOW)
-        room = at < np.diff(offsets)[text][:, None]
-        padded = np.append(codes, -1)
-        at = padded[np.where(room, at + offsets[:-1][text][:, None], len(codes))]
-        logits = np.concatenate([self.forward(x, at[i : i + AT_ONCE]) for i in range(0, len(at), AT_ONCE)]) if len(at) else np.zeros(0, np.float32)
-        return logits, text, at
+        start = start + offsets[:-1][text]
+        value = np.zeros(len(start), np.float32)
+        for i in range(0, len(start), AT_ONCE):  # the table of windows is made slice by slice
+            at = codes_of(codes, offsets, start[i : i + AT_ONCE], text[i : i + AT_ONCE])
+            value[i : i + AT_ONCE] = judge(at) if judge else self.forward(x, at)
+        return value, text, start
 
     def score(self, texts: pa.Array) -> np.ndarray:
         words = split(plain(texts))
@@ -199,6 +205,13 @@ class Network:
         return sigmoid(best.astype(np.float64))
 
 
+def codes_of(codes: np.ndarray, offsets: np.ndarray, start: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """(windows, WINDOW) word codes from these places on, -1 behind the text's end."""
+    at = start[:, None] + np.arange(WINDOW)
+    room = at < offsets[1:][text][:, None]
+    return np.where(room, np.append(codes, -1)[np.minimum(at, len(codes))], -1)
+
+
 def _places(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... within each run of these sizes."""
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -240,10 +253,9 @@ def fit(texts: pa.Array, toxic: np.ndarray, updates: int = UPDATES, seed: int =
         if turn == rounds - 1:
             adam.rate /= 4
         x, number, _, _ = network.inputs(words.vocab)
-        logits, owner, at = network.windows(x, words.codes, words.offsets)
-        if not turn:  # the network knows nothing yet: windows are chosen by their words' log-odds
-            odd = np.append(x[:, 0] + x[:, WORD_DIM], -np.inf)
-            logits = odd[at].max(1)
+        # at first the network knows nothing yet: windows are chosen by their words' log-odds
+        odd = np.append(x[:, 0] + x[:, WORD_DIM], np.float32(-np.inf))
+        logits, owner, start = network.windows(x, words.codes, words.offsets, (lambda at: odd[at].max(1)) if not turn else None)
         order = np.lexsort((-logits, owner))
         first = np.concatenate([[True], owner[order][1:] != owner[order][:-1]])
         top = order[first]
@@ -254,21 +266,40 @@ def fit(texts: pa.Array, toxic: np.ndarray, updates: int = UPDATES, seed: int =
         bad = top[toxic[owner[top]] == 1]
         for _ in range(updates // rounds):
             pick = np.concatenate([r.choice(bad, BATCH // 3), r.choice(clean, BATCH - BATCH // 3)])
-            network.update(adam, (number, buckets, edges), at[pick], toxic[owner[pick]].astype(np.float32))
+            at = codes_of(words.codes, words.offsets, start[pick], owner[pick])
+            network.update(adam, (number, buckets, edges), at, toxic[owner[pick]].astype(np.float32))
     return network
 
 
-def sample(docs: DataFrame, labels: DataFrame, held: Column, each: int = SAMPLE_EACH) -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels to learn from: at most ``each`` of a class, by a hash of the id; never of held-out rows."""
+def sample(docs: DataFrame, labels: DataFrame, held: Column, each: int = SAMPLE_EACH, size: int = SAMPLE_BYTES) -> DataFrame:
+    """(place, text, toxic) to learn from: at most ``each`` of a class and ``size`` bytes, by a hash of the id; never of held-out rows."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.join(docs.select("doc_id").where(~held).distinct(), "doc_id", "left_semi")
-    ids = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for k in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").orderBy("doc_id").limit(2 * each).toArrow()
-    return rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(np.int64)
+    own = docs.select("doc_id", F.octet_length("text").alias("bytes")).where(~held & (F.coalesce("bytes", F.lit(0)) <= size))
+    known = known.join(own.groupBy("doc_id").agg(F.max("bytes").alias("bytes")), "doc_id").withColumn("place", F.xxhash64("doc_id"))
+    ids = [known.where(F.col("toxic") == k).orderBy("place", "doc_id").limit(each) for k in (0, 1)]
+    so_far = F.sum(F.coalesce("bytes", F.lit(0))).over(Window.orderBy("place", "doc_id"))  # of 2 * each rows
+    ids = ids[0].unionByName(ids[1]).withColumn("so_far", so_far).where(F.col("so_far") <= size)
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= size
+    texts = docs.select("doc_id", "text").where(short).join(F.broadcast(ids.select("doc_id", "place", "toxic")), "doc_id")
+    return texts.groupBy("doc_id", "place", "toxic").agg(F.max("text").alias("text")).select("place", "doc_id", "text", "toxic")
+
+
+def _learnt(updates: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        texts = pa.concat_arrays([b.column("text") for b in held]) if held else pa.array([], pa.string())
+        toxic = np.concatenate([b.column("toxic").to_numpy() for b in held]).astype(np.int64) if held else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic, updates))], pa.binary())], names=["network"])
+
+    return run
 
 
 def trained(docs: DataFrame, labels: DataFrame, held: Column | None = None) -> Network:
-    return fit(*sample(docs, labels, held_out(F.col("doc_id")) if held is None else held))
+    """The network that one task learns from the sample: its weights are the one row that comes to the driver."""
+    rows = written(sample(docs, labels, held_out(F.col("doc_id")) if held is None else held), "sample")
+    rows = rows.repartition(1).sortWithinPartitions("place", "doc_id")
+    found = rows.mapInArrow(_learnt(UPDATES), "network binary").first()
+    return pickle.loads(found["network"]) if found else fit(pa.array([], pa.string()), np.zeros(0, np.int64))
 
 
 def scored(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:

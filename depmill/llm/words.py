@@ -12,8 +12,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are split at a time: what bounds a worker's memory, besides a single text.
 CHUNK_BYTES = 6_000_000
@@ -33,7 +31,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each vocab entry."""
-        return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.vocab.to_pylist()), np.uint64, len(self.vocab))
+        return string_hashes(self.vocab)
 
 
 def whole(texts: pa.Array) -> pa.Array:
@@ -79,6 +77,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+#: What a byte counts in each of two sums, and their odd bases.
+_BYTES = [mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
+_BASES = [MIX, np.uint64(0xD6E8FEB86659FD93)]
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hash of each string, by prefix sums of two polynomials over all their bytes."""
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    strings = strings.cast(pa.large_string())
+    edges = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    out = mixed(np.diff(edges).astype(np.uint64))
+    with np.errstate(over="ignore"):
+        for values, base in zip(_BYTES, _BASES, strict=True):
+            inverse = np.uint64(pow(int(base), -1, 1 << 64))
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), base)]), dtype=np.uint64)
+            total = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * power[:-1], dtype=np.uint64)])
+            back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), inverse)]), dtype=np.uint64)
+            out = mixed(out * MIX + mixed((total[edges[1:]] - total[edges[:-1]]) * back[edges[:-1]]))
+    return out
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each position on; the last k - 1 positions are left out."""
     n = len(hashes) - k + 1

@@ -334,6 +334,22 @@ def viz_files(g: CodeGraph) -> DataFrame:
     return w.withColumn("x", F.coalesce(F.sum("width").over(Window.orderBy("dir", "file_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
 
+def viz_layout(g: CodeGraph) -> DataFrame:
+    """Arcs with the places of their ends, their span as a share of the longest, and the width of their stroke."""
+    at = viz_files(g).select("file_path", (F.col("x") + F.col("width") / 2).alias("centre"))
+    end = lambda side: at.select(F.col("file_path").alias(f"{side}_file"), F.col("centre").alias(f"{side}_x"))
+    arcs = viz_arcs(g).join(end("source"), "source_file").join(end("target"), "target_file").withColumn("span", F.abs(F.col("target_x") - F.col("source_x")))
+    longest = arcs.agg(F.max("span").alias("longest"))
+    stroke = F.least(F.lit(4.0), 1 + F.log(F.col("edges").cast("double")))
+    return arcs.crossJoin(F.broadcast(longest)).select("source_file", "target_file", "source_x", "target_x", F.round(F.col("span") / F.col("longest"), 6).alias("share"), F.round(stroke, 6).alias("stroke"))  # one row
+
+
+def viz_search(g: CodeGraph, text: str) -> DataFrame:
+    """Arcs at a file whose path holds the text, in any case."""
+    hit = lambda side: F.lower(F.col(f"{side}_file")).contains(text.strip().lower())
+    return viz_arcs(g).where(hit("source") | hit("target"))
+
+
 def viz_limited(g: CodeGraph, k: int = 20) -> DataFrame:
     top = most_connected(g, k).select("file_path")
     ends = lambda c: F.broadcast(top.select(F.col("file_path").alias(c)))

@@ -211,6 +211,13 @@ query("a45_connection_matrix", rollup.connection_matrix, f"""d AS (SELECT DISTIN
 query("a46_viz_arcs", rollup.viz_arcs, "SELECT source_file, target_file, count(*) AS edges, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM XF GROUP BY 1, 2")
 query("a47_pair_weights", rollup.pair_weights, "SELECT least(source_file, target_file) AS file_a, greatest(source_file, target_file) AS file_b, count(*) AS weight FROM XF GROUP BY 1, 2")
 query("v1_viz_files", rollup.viz_files, f"f AS (SELECT *, {DIR.format('file_path')} AS dir, greatest(4, symbols) AS width FROM FS) SELECT *, CAST(coalesce(sum(width) OVER (ORDER BY dir, file_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x FROM f")
+query(
+    "v3_viz_layout", rollup.viz_layout,
+    f"""f AS (SELECT file_path, {DIR.format('file_path')} AS dir, greatest(4, symbols) AS width FROM FS), p AS (SELECT file_path, coalesce(sum(width) OVER (ORDER BY dir, file_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + width / 2 AS x FROM f),
+    a AS (SELECT source_file, target_file, count(*) AS edges, s.x AS source_x, t.x AS target_x FROM XF JOIN p s ON s.file_path = source_file JOIN p t ON t.file_path = target_file GROUP BY ALL)
+    SELECT source_file, target_file, CAST(source_x AS DOUBLE) AS source_x, CAST(target_x AS DOUBLE) AS target_x, round(CAST(abs(target_x - source_x) AS DOUBLE) / (SELECT max(abs(target_x - source_x)) FROM a), 6) AS share, round(least(4.0, 1 + ln(edges)), 6) AS stroke FROM a""", True,
+)
+query("v4_viz_search", lambda g: rollup.viz_search(g, " N3/"), "SELECT source_file, target_file, count(*) AS edges, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM XF WHERE contains(lower(source_file), 'n3/') OR contains(lower(target_file), 'n3/') GROUP BY 1, 2", True)
 query("v2_viz_limited", lambda g: rollup.viz_limited(g, 200), "t AS (SELECT file_path FROM FS ORDER BY incoming + outgoing DESC, file_path LIMIT 200) SELECT source_file, target_file, count(*) AS edges, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM XF WHERE source_file IN (FROM t) AND target_file IN (FROM t) GROUP BY 1, 2", True)
 
 # --- health -------------------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,16 @@ _roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This session's folder below spark.checkpoint.dir; where that is unset, as in tests, a local one."""
+    """This session's folder below spark.checkpoint.dir; where that is unset and the session runs on this machine, as in tests, a local one."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not re.match(r"local(\[[^-]|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="depmill-")
-        _roots[app] = f"{base.rstrip('/')}/depmill-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/depmill-{uuid.uuid4().hex}")
+        _roots[app] = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
 

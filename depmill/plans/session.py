@@ -25,7 +25,7 @@ class Session:
         """Reads a project, joins cross-language edges in, and tells its counts."""
         self.root = scan.connect(source, workspace)
         self.files = scan.with_content(scan.scan_files(self.spark, self.root, exclude), self.root).persist()
-        rows = scan.extracted(self.files).persist()
+        rows = scan.extracted(self.files, scan.path_aliases(self.root)).persist()
         self.errors = rows.where("rec = 'error'").select("file_path", "error")
         g = scan.graph_of(rows)
         lines = scan.lines_of(self.files)

@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 
+from .aliases import Aliases, expanded
+
 #: (record, seq, id, name, kind, file_path, start_line, end_line, exported, scope, source, target, line, error)
 ROW = "rec string, seq long, id string, name string, kind string, file_path string, start_line int, end_line int, exported boolean, scope string, source string, target string, line int, error string"
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
@@ -34,8 +36,8 @@ WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "sizeof"
 class File:
     """Collects the rows of one file; ids join path and name."""
 
-    def __init__(self, path: str, base: int) -> None:
-        self.path, self.base, self.rows = path, base, []
+    def __init__(self, path: str, base: int, aliases: Aliases = ()) -> None:
+        self.path, self.base, self.aliases, self.rows = path, base, aliases, []
 
     def id(self, name: str, path: str | None = None) -> str:
         return f"{path or self.path}::{name}"
@@ -57,7 +59,18 @@ Known = Callable[[str], bool]
 
 def resolve_relative(path: str, spec: str, known: Known, extensions: tuple[str, ...]) -> str | None:
     """The first existing file that a relative import may mean."""
-    base = posixpath.normpath(posixpath.join(posixpath.dirname(path), spec))
+    return resolve_base(posixpath.normpath(posixpath.join(posixpath.dirname(path), spec)), known, extensions)
+
+
+def resolve_import(path: str, spec: str, known: Known, extensions: tuple[str, ...], aliases: Aliases) -> str | None:
+    """As resolve_relative; a path from / starts at the project's root, any other where an alias says."""
+    if spec.startswith("."):
+        return resolve_relative(path, spec, known, extensions)
+    base = posixpath.normpath(spec[1:]) if spec.startswith("/") else expanded(spec, aliases)
+    return resolve_base(base, known, extensions) if base else None
+
+
+def resolve_base(base: str, known: Known, extensions: tuple[str, ...]) -> str | None:
     bare = re.sub(r"\.(js|jsx|mjs|cjs)$", "", base)
     for candidate in [base, *(b + e for b in dict.fromkeys((bare, base)) for e in extensions), *(f"{base}/index{e}" for e in extensions)]:
         if known(candidate):
@@ -255,7 +268,7 @@ def _imports(f: File, text: str, known: Known, language: str) -> Iterator[tuple[
         ext = (".ts", ".tsx", ".js", ".jsx") if language == "typescript" else (".js", ".jsx", ".mjs", ".cjs")
         for m in re.finditer(r"(?:import|export)\s+(?:type\s+)?(?P<what>[^'\";]*?)\s*from\s*['\"](?P<p>[^'\"]+)['\"]|import\s*['\"](?P<bare>[^'\"]+)['\"]|(?:const|let|var)\s+(?P<req>\{[^}]*\}|\w+)\s*=\s*require\(\s*['\"](?P<r>[^'\"]+)['\"]", text):
             spec = m["p"] or m["bare"] or m["r"]
-            at = resolve_relative(f.path, spec, known, ext) if spec.startswith(".") else None
+            at = resolve_import(f.path, spec, known, ext, f.aliases)
             if not at:
                 continue
             what = m["what"] if m["what"] is not None else m["req"]
@@ -357,9 +370,9 @@ def build_file(f: File, text: str, known: Known) -> None:
             f.ref(f.id(PSEUDO), f.symbol(d if isinstance(d, str) else d["name"], "import", 1, 1, False), "imports", 1)
 
 
-def extract(path: str, text: str, language: str, known: Known, base: int) -> list[dict]:
+def extract(path: str, text: str, language: str, known: Known, base: int, aliases: Aliases = ()) -> list[dict]:
     """All rows of a file; an error becomes a row of its own."""
-    f = File(path, base)
+    f = File(path, base, aliases)
     try:
         if language == "python":
             python(f, text, known)

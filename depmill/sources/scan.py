@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import LANGUAGES
 from ..plans.graph import CodeGraph, build_graph
+from .aliases import Aliases, path_aliases
 from .extract import ROW, extract, frame
 
 #: What a scan leaves out, and the build files that it takes.
@@ -72,8 +73,8 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
     return files.mapInPandas(read, FILES + ", content string")
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """Rows of symbols, references and errors of (file_path, language, place, content)."""
+def extracted(files: DataFrame, aliases: Aliases = ()) -> DataFrame:
+    """Rows of symbols, references and errors of (file_path, language, place, content); aliases: of import paths."""
     spark = files.sparkSession
     paths = frozenset(r[0] for r in files.select("file_path").toLocalIterator())  # the names of one project's files
     held = spark.sparkContext.broadcast(paths | {p.rsplit("/", 1)[0] + "/" for p in paths if "/" in p})
@@ -81,7 +82,7 @@ def extracted(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = held.value.__contains__
         for f in frames:
-            rows = [r for p, lang, place, text in zip(f["file_path"], f["language"], f["place"], f["content"], strict=True) for r in extract(p, text, _header(p, lang, text), known, int(place) * STRIDE)]
+            rows = [r for p, lang, place, text in zip(f["file_path"], f["language"], f["place"], f["content"], strict=True) for r in extract(p, text, _header(p, lang, text), known, int(place) * STRIDE, aliases)]
             if rows:
                 yield frame(rows)
 
@@ -96,7 +97,7 @@ def _header(path: str, language: str, text: str) -> str:
 
 
 def parse_project(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    return extracted(with_content(scan_files(spark, root, exclude), root))
+    return extracted(with_content(scan_files(spark, root, exclude), root), path_aliases(root))
 
 
 def graph_of(rows: DataFrame) -> CodeGraph:

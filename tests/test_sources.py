@@ -185,3 +185,17 @@ def test_line_rules_look_around(spark):
     found = {(r["title"], r["line"], r["severity"]) for r in security.findings(lines).collect()}
     assert found == {("Fail-open catch block may bypass authentication", 1, "medium"), ("Potential path traversal via path.join", 27, "high"), ("eval() usage detected", 29, "high")}
     assert len(rules.RULES) > 60
+
+
+def test_path_aliases(tmp_path):
+    from depmill.sources import aliases
+
+    (tmp_path / "tsconfig.json").write_text('{ // note\n "compilerOptions": { "baseUrl": "src", /* x */ "paths": { "@/*": ["./*", "other/*"], "exact": ["a//b.ts"], }, }, }')
+    known = {"src/ui/button.ts", "src/a/b.ts", "lib/z.ts"}.__contains__
+    found = aliases.path_aliases(str(tmp_path))
+    assert found == (("@/*", "src/*"), ("exact", "src/a/b.ts"))
+    at = lambda spec: ex.resolve_import("src/main.ts", spec, known, (".ts",), found)
+    assert [at(x) for x in ("@/ui/button.js", "exact", "/lib/z", "./a/b", "react", "@/none")] == ["src/ui/button.ts", "src/a/b.ts", "lib/z.ts", "src/a/b.ts", None, None]
+    assert aliases.plain_json('{"u": "http://x,]", "v": [1,],}') == '{"u": "http://x,]", "v": [1]}'
+    rows = ex.extract("src/main.ts", "import { Button } from '@/ui/button';\n", "typescript", known, 0, found)
+    assert [r["target"] for r in rows if r["rec"] == "ref"] == ["src/ui/button.ts::Button"]

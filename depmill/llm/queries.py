@@ -122,7 +122,9 @@ _RULE_CASE = " ".join(
     for x in [h + p]
 )
 _VERDICT_CASE = " ".join(f"WHEN '{h + p}' THEN '{v}'" for v, h, p in url_reputation.RULES)
-_TWO = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)
+_LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_TWO = f"(regexp_matches(one, '^[a-z]{{2}}$') AND len(labels) > 1 AND labels[-2] IN ({_LIST(url_reputation.SECOND_LABELS)}) OR two IN ({_LIST(url_reputation.OPEN_DOMAINS)}))"
+_ADDRESS = r"regexp_matches(bare, '^[0-9]+(\.[0-9]+){3}$') OR starts_with(bare, '[')"
 
 
 def _strength_sql(p: str) -> str:
@@ -141,9 +143,9 @@ WITH places AS (
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 known AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS outcome FROM labels GROUP BY 1),
 h AS (SELECT host, CAST(count(outcome) AS DOUBLE) AS n, CAST(coalesce(sum(outcome), 0) AS DOUBLE) AS bad FROM places LEFT JOIN known USING (page_id) GROUP BY 1),
-hs AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two, array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS three,
-       list_extract(string_split(host, '.'), -1) AS one FROM h),
-hosts AS (SELECT host, n, bad, CASE WHEN two IN ({_TWO}) THEN three ELSE two END AS domain, CASE WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix FROM hs),
+hb AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM h), hl AS (SELECT *, string_split(bare, '.') AS labels FROM hb),
+hs AS (SELECT *, array_to_string(list_slice(labels, -2, -1), '.') AS two, array_to_string(list_slice(labels, -3, -1), '.') AS three, list_extract(labels, -1) AS one FROM hl),
+hosts AS (SELECT host, n, bad, CASE WHEN {_ADDRESS} THEN bare WHEN {_TWO} THEN three ELSE two END AS domain, CASE WHEN {_ADDRESS} THEN 'address' WHEN {_TWO} THEN two ELSE one END AS suffix FROM hs),
 domains AS (SELECT suffix, domain, {_level_sql("d", "n", "bad")} FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, {_level_sql("s", "dn", "dbad")} FROM domains GROUP BY 1),
 world AS (SELECT {_level_sql("w", "sn", "sbad")} FROM suffixes),

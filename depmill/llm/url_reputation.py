@@ -6,6 +6,11 @@ strength of each prior is estimated by moments from the spread of the rates belo
 credible bound of its bad rate is at least ``threshold``, so hosts without evidence are allowed unless their domain or
 suffix speaks clearly.
 
+For reputation a host stands without user and port. Its suffix is its last label, or its last two where these are a
+country's two letters behind a customary second label (co.uk, com.au) or a domain under which anyone may register
+(github.io); its domain is the label before that and the suffix. Addresses of digits or in brackets are domains of their
+own, under one suffix.
+
 Defined results: a URL that is null or has no ``://`` has host and path '' (a host like any other); letters other than
 A-Z keep their case; pages without an outcome count for nothing; an empty table gives an empty result; extra columns of
 the pages stay out of the result, repeated page ids each get a row.
@@ -16,14 +21,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 )
-#: Suffixes of two labels that are registered as one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.in", "com.br", "co.nz", "co.za", "com.cn")
+#: Second labels under which countries register, and domains under which anyone may, after the public
+#: suffix rules that are in common use.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "gub", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
+OPEN_DOMAINS = (
+    "appspot.com", "azurewebsites.net", "blogspot.com", "cloudfront.net", "firebaseapp.com", "github.io", "gitlab.io", "glitch.me", "herokuapp.com",
+    "netlify.app", "onrender.com", "pages.dev", "vercel.app", "web.app", "weebly.com", "wixsite.com", "wordpress.com", "workers.dev",
+)
+ADDRESS = r"^[0-9]+([.][0-9]+){3}$|^\["
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Rules up to this number become one CASE expression, more become a join.
@@ -41,14 +54,26 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
+def bare_host(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def _two_labels(bare: Column) -> Column:
+    """Whether the last two labels are a suffix."""
+    two = F.substring_index(bare, ".", -2)
+    country = F.substring_index(two, ".", -1).rlike("^[a-z]{2}$") & F.substring_index(two, ".", 1).isin(*SECOND_LABELS) & two.contains(".")
+    return country | two.isin(*OPEN_DOMAINS)
+
+
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    bare = bare_host(host)
+    return F.when(bare.rlike(ADDRESS), "address").when(_two_labels(bare), F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    bare = bare_host(host)
+    return F.when(bare.rlike(ADDRESS), bare).when(_two_labels(bare), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
 
 
 def _fits(host: Column, path: Column, rule: Rule) -> Column:
@@ -111,7 +136,8 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] =
     """
     places = pages.select("page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.where("outcome is not null").groupBy("page_id").agg(F.max("outcome").alias("outcome"))
-    hosts = reputations(places.select("page_id", "host").join(known, "page_id", "left"))
+    # written before the join, so that the pages of a common host can be split among tasks
+    hosts = written(reputations(places.select("page_id", "host").join(known, "page_id", "left")), "hosts")
     judged = places.join(hosts, "host", "left")
     blocked = F.col("mean") - z * F.col("sd") >= threshold
     return with_rule(judged, rules).select(

@@ -34,6 +34,8 @@ LEAST_SHARED = 1000
 PACKAGE_BYTES = 128 << 20
 #: Records that one range-reading task row covers.
 RANGE_RECORDS = 256
+#: Bytes of payloads that a reader holds before it passes them on, besides one record; bytes of packages that a task reads.
+HELD_BYTES, READ_BYTES = 8 << 20, 64 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 MANIFEST = "path string, records long, bytes long"
 RANGES = "path string, base long, offsets array<long>, lengths array<long>"
@@ -41,7 +43,10 @@ RECORDS = "page_id long, url string, record_type string, payload_digest string,
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    """The path's file system; paths below the shared folder always have a scheme."""
+    if "://" not in path and not path.startswith("file:/"):
+        raise ValueError(f"{path} has no scheme")
+    return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
 # --- writing ---------------------------------------------------------------------------------------------------------
@@ -115,7 +120,11 @@ def with_revisits(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     rows = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(F.encode(html, "UTF-8")))
     shared = pages.select("page_id", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= least)
     largest = shared.groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).where("first < last").drop("first")
-    return rows.join(largest, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("last"), F.col("last"))).drop("last")
+    # small payloads, many of them equal, get keys of their own that match nothing, so that no task gets them all
+    key = F.when(F.octet_length(html) >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    largest = written(largest.withColumnRenamed("digest", "shared__"), "largest")
+    joined = rows.withColumn("shared__", key).join(largest, "shared__", "left")
+    return joined.withColumn("refers_to", F.when(F.col("page_id") < F.col("last"), F.col("last"))).drop("last", "shared__")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_SHARED, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
@@ -223,22 +232,29 @@ def parse_record(raw: bytes) -> dict:
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
     names = ["page_id", "url", "record_type", "payload_digest", "refers_to", "payload", "path", "offset", "length"]
+    made = lambda found: pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], k) for n, k in zip(names, kinds, strict=True)], names=names)
     for batch in batches:
         for row in batch.to_pylist():
             fs, at = opened(row["path"])
-            found = []
+            found, held = [], 0
             with fs.open_input_file(at) as file:
                 for offset, length in zip(row["offsets"], row["lengths"], strict=True):
                     file.seek(row["base"] + offset)
                     found.append(parse_record(gzip.decompress(file.read(length))) | {"path": row["path"], "offset": row["base"] + offset, "length": length})
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], k) for n, k in zip(names, kinds, strict=True)], names=names)
+                    held += len(found[-1]["payload"] or b"")
+                    if held >= HELD_BYTES:
+                        yield made(found)
+                        found, held = [], 0
+            if found:
+                yield made(found)
 
 
 def read_archives(spark: SparkSession, packages: DataFrame, per_row: int = RANGE_RECORDS) -> DataFrame:
     """All records of the packages whose paths are given; payload is null in revisits."""
     ranges = packages.select("path").repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_locator(per_row), RANGES)
-    # the ranges of a large package are read by many tasks
-    return ranges.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(_reader, RECORDS)
+    # the ranges of a large package are read by many tasks, and more tasks read more bytes
+    size = packages.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] if "bytes" in packages.columns else 0
+    return ranges.repartition(max(4 * spark.sparkContext.defaultParallelism, int(size) // READ_BYTES)).mapInArrow(_reader, RECORDS)
 
 
 def resolved(records: DataFrame) -> DataFrame:

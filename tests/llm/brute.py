@@ -35,8 +35,8 @@ def shingles(text, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def jaccard(docs, percent=85):
-    sets = {i: shingles(t) for i, t in docs}
+def jaccard(docs, k=4, percent=85):
+    sets = {i: shingles(t, k) for i, t in docs}
     ids = sorted(sets)
     links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     comp = reach(links, ids)

@@ -199,3 +199,15 @@ def test_path_aliases(tmp_path):
     assert aliases.plain_json('{"u": "http://x,]", "v": [1,],}') == '{"u": "http://x,]", "v": [1]}'
     rows = ex.extract("src/main.ts", "import { Button } from '@/ui/button';\n", "typescript", known, 0, found)
     assert [r["target"] for r in rows if r["rec"] == "ref"] == ["src/ui/button.ts::Button"]
+
+
+def test_command_line(spark, project, capsys):
+    from depmill.__main__ import main
+
+    assert main(["whatif", project, "move", "pkg/util.py"], spark) == 2 and "--to" in capsys.readouterr().err
+    assert main(["whatif", project, "delete", "no/such.py"], spark) == 2
+    assert main(["impact", project, "nothing_named_so"], spark) == 2
+    assert main(["search", project, "scale"], spark) == 0 and '"name":"scale"' in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["whatif", project, "burn", "pkg/util.py"], spark)
+    assert main(["security", project, "--target", "web/lib.ts", "--fail-on", "high"], spark) == 1

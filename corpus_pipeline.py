@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between
 stages the rows are written as Parquet and read again.
+
+Defined results: a null, empty or blank text is scored like any other, is nobody's near copy, holds no item and no personal
+data, and packs as its end token; rows are judged by their texts, so repeated rows are near copies of each other and rows
+without an id or with an id of others are judged alike; columns beside those of documents pass through all stages but the
+last, whatever their names; without labels the network stays as it starts, without benchmark items nothing is
+contaminated; an empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -23,9 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, that with the least id; of repeated ids one row."""
-    first = jaccard.jaccard_groups(docs, words=WORDS, percent=PERCENT).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of documents that near-duplicate links connect, that with the least id."""
+    return jaccard.one_of_each(docs, words=WORDS, percent=PERCENT)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

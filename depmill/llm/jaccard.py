@@ -1,31 +1,39 @@
 """Exact Jaccard join of word-shingle sets, as a metric-space join by pivots.
 
-Jaccard distance d is a metric, and two documents link when d <= t. Documents with equal sets are one point. Regions are
-drawn in two steps:
+Jaccard distance d is a metric, and two documents link when d <= t. Documents with equal sets are one point. Beside d there
+is the distance of sketches: a sketch counts the shingles of each part of the hash space, and the weighted Jaccard distance s
+of two sketches of equal parts is a metric as well and never above d, so a link has s <= t. Coarse sketches have 64 parts,
+fine ones two parts or more for a shingle of the text, so that they come close to d; of two fine sketches the longer is
+folded to the parts of the shorter.
 
 1. Every shingle is the pivot {shingle}, at distance 1 - 1/n of the n-sets that hold it and 1 of all others. A point's
    nearest pivots tie, and a global order (shingles that many documents hold come last) breaks the tie. A point lies in
    the regions of the first n - ceil((1 - t) n) + 1 pivots of its own: two linked points share at least (1 - t) n
-   shingles, so their boundary windows meet in one region at least. Regions are split by size classes; a point is
-   replicated to the next class, as linked sizes differ by the factor 1 - t at most.
-2. Within a region, documents are pivots. The distance of every member to the pivot is found; members within t are
-   linked to it. A pair of which neither is the pivot needs a look only if the triangle inequality allows a link,
-   |d(x, p) - d(y, p)| <= t, and if the links found so far do not connect them: each member carries the connected group
-   that they put it in, and a region is done when all that is left of it is of one group. What is left is joined again
-   with the next pivots; regions of few members are then joined outright, pairs of one group left out.
-
-Before sets are compared, distances to 64 fixed pivots, the sixty-fourths of all shingles by hash, bound d from below:
-the symmetric difference is at least the sum of the differences of the counts. All steps are exact; pivots, order and
-bounds only save work. Sets in one region are never gathered in one task, but for regions of at most ``LEAF`` members.
+   shingles, so their boundary windows meet in one region at least. Documents can't be the pivots here: unrelated texts
+   all have distances near 1, and no triangle inequality parts them.
+2. The least member of a region is held against all others. Links put members into connected groups, and only regions
+   whose other members are of several groups go on.
+3. Such a region with more than ``LEAF`` members is cut into the Voronoi cells of ``PIVOTS`` of its documents by s: a
+   member lies in the cell of its nearest pivot at distance m, and, as a document of the boundary, in each whose pivot is
+   within m + 2t: by the triangle inequality a linked pair meets in the home cell of either. Members within t of a pivot
+   are held against it, after which the pivot is done. Cells are regions again, and the join goes on in them. Where the
+   cells hold as much as the region did, the inequality parts nothing; its members are then met in pairs of blocks.
+4. Regions and pairs of blocks of at most ``LEAF`` members are joined in one task, members of one group left out and the
+   rest held to the bounds on sizes and sketches. Of the pairs that pass, first those of a spanning forest of the groups
+   are measured on the sets themselves, the closest first; regions that are of several groups still yield the rest.
+
+All steps are exact. Sets never travel but for pairs that pass the sketches, and no region is gathered in one task, but
+for at most 2 * ``LEAF`` members.
 
 Defined results: words are in lower case (A-Z); a text of 1 to 3 words is one shingle; null, empty and blank texts have
 no shingles and link with nothing; rows of one doc_id count as one document, each with its own n_shingles; rows
-without a doc_id are left out; an empty
+without a doc_id are returned, link with nothing and have a null component_id; an empty
 table gives an empty result; columns besides doc_id and text are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import forget, written
+from .tops import most_frequent
 from .words import chunks, grams, mixed, signed, split
 
 WORDS = 4
@@ -44,12 +53,13 @@ PERCENT = 85
 HOT = 1 << 18
 #: Documents of a chunk that share a shingle before the chunk reports it.
 HOT_IN_CHUNK = 4
-#: Members of a region that one task joins outright; pivots that a larger one takes in the second round, four times as many
-#: in each later one, at most LEAF.
-LEAF, PIVOTS = 256, 16
-#: Document ids that are broadcast as a filter, at most (8 bytes each).
-BROADCAST_IDS = 2_000_000
-FACTS = "doc_id long, n long, s1 long, s2 long, sketch binary"
+#: Members of a region that one task joins outright; pivots of a larger one.
+LEAF, PIVOTS = 64, 8
+#: Part of a region's pairs that its cells may hold for the cut to count as one.
+PARTED = 0.8
+#: Ids or shingles that are broadcast as a filter, at most (8 bytes each).
+BROADCAST_IDS = 500_000
+FACTS = "doc_id long, n long, s1 long, s2 long, fine binary"
 ROWS = "e long, node long, n long"
 
 
@@ -78,7 +88,31 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64), 65_535).astype("<u2").tobytes()
+    """The fine sketch: how many of the distinct hashes fall into each part; about every other part is empty."""
+    bits = max(6, math.ceil(math.log2(2 * max(1, len(s)))))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def coarse(fine: bytes) -> np.ndarray:
+    return np.frombuffer(fine, np.uint8).reshape(64, -1).sum(1, dtype=np.int64)
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    """Coarse sketches of a column of fine ones."""
+    fine = column.to_pylist()
+    return np.stack([coarse(x) for x in fine]) if fine else np.zeros((0, 64), np.int64)
+
+
+def sketch_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard distance of rows of counts."""
+    apart, total = np.abs(x - y).sum(-1), x.sum(-1) + y.sum(-1)
+    return 2 * apart / np.maximum(total + apart, 1)
+
+
+def fine_distance(x: bytes, y: bytes) -> float:
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    parts = min(len(a), len(b))
+    return float(sketch_distance(*(v.reshape(parts, -1).sum(1, dtype=np.int64) for v in (a, b))))
 
 
 def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
@@ -86,7 +120,7 @@ def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
 
 
 def _facts(k: int):
-    """Per document its size, signature and sketch; beside them (doc_id null) shingles that many texts of a chunk hold."""
+    """Per document its size, signature and sketch; beside them (fine null) shingles that many texts of a chunk hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +144,7 @@ def _facts(k: int):
                         pa.array(np.concatenate([np.array(sizes, np.int64), counts])), pa.array(np.concatenate([as64(ones), keys.view(np.int64)])),
                         pa.array(np.concatenate([as64(twos), np.zeros(len(keys), np.int64)])), pa.array([*sketches, *[None] * len(keys)], pa.binary()),
                     ],
-                    names=["doc_id", "n", "s1", "s2", "sketch"],
+                    names=["doc_id", "n", "s1", "s2", "fine"],
                 )
 
     return run
@@ -148,172 +182,222 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in Sets(part, k)], pa.binary())], names=["node", "shingles"])
+                sets = list(Sets(part, k))
+                edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                lists = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), signed(np.concatenate([*sets, np.zeros(0, np.uint64)]))).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists], names=["node", "shingles"])
+
+    return run
+
+
+def _close(edge: float):
+    """Pairs (p, node) whose fine sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ok = [fine_distance(x, y) <= edge for x, y in zip(batch.column("fine").to_pylist(), batch.column("p_fine").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("node")], names=["p", "node"]).filter(pa.array(ok))
 
     return run
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds d, a lower bound of the distance of (sketch, n) and (p_sketch, p_n)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, 64).astype(np.int64) for c in ("sketch", "p_sketch")]
-        apart = np.abs(both[0] - both[1]).sum(1)
-        total = batch.column("n").to_numpy() + batch.column("p_n").to_numpy()
-        yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("node"), pa.array(2 * apart / (total + apart))], names=["p", "node", "d"])
+def _celled(edge: float):
+    """Members with their region's pivots, to (e, node, n, g, size, p, d): the cells that they lie in, at distance d of p."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pivots, mine = batch.column("pivots"), sketches(batch.column("fine"))
+            edges = pivots.offsets.to_numpy().astype(np.int64)
+            flat = pivots.flatten()
+            p, theirs = flat.field("p").to_numpy(), sketches(flat.field("fine"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
+            d = sketch_distance(mine[row], theirs)
+            least = np.minimum.reduceat(d, edges[:-1] - edges[0])
+            ok = np.flatnonzero(d <= least[row] + 2 * edge)
+            held = batch.select(["e", "node", "n", "g", "size"]).take(pa.array(row[ok]))
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(p[ok]), pa.array(d[ok])], names=["e", "node", "n", "g", "size", "p", "d"])
+
+    return run
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        shared, total = [], []
-        for x, y in zip(batch.column("shingles").to_pylist(), batch.column("p_shingles").to_pylist(), strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            shared.append(both)
-            total.append(len(a) + len(b) - both)
-        yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("node"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["p", "node", "shared", "total"])
+
+def _leaf(percent: int, edge: float, forest: bool):
+    """Rows by (e, i, j) to the pairs that sizes and sketches allow, of different groups, one of block i and one of j.
+
+    With ``forest`` only as many as connect the groups that all of these pairs connect, the closest first.
+    """
+
+    def pairs(node, n, g, sk, fine, one_block, side) -> list[tuple[float, int, int]]:
+        if one_block:
+            i, j = np.triu_indices(len(node), 1)
+        else:
+            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side), np.flatnonzero(~side), indexing="ij"))
+        ok = (g[i] != g[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+        i, j, found = i[ok], j[ok], []
+        for at in range(0, len(i), 4096):
+            x, y = i[at : at + 4096], j[at : at + 4096]
+            for q in np.flatnonzero(sketch_distance(sk[x], sk[y]) <= edge).tolist():
+                d = fine_distance(fine[x[q]], fine[y[q]])
+                if d <= edge:
+                    found.append((d, int(x[q]), int(y[q])))
+        return found
+
+    def connecting(found: list[tuple[float, int, int]], g) -> Iterator[tuple[float, int, int]]:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        for d, x, y in sorted(found):
+            a, b = top(int(g[x])), top(int(g[y]))
+            if a != b:
+                root[a] = b
+                yield d, x, y
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                rest = batch if rest is None or not rest.num_rows else pa.concat_batches([rest, batch])
+            if rest is None or not rest.num_rows:
+                continue
+            keys = np.stack([rest.column(c).to_numpy().astype(np.int64) for c in ("e", "i", "j")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            ends = [*cuts.tolist(), *([rest.num_rows] if batch is None else [])]
+            node, n, g, own = (rest.column(x).to_numpy() for x in ("node", "n", "g", "own"))
+            fine, sk = rest.column("fine").to_pylist(), sketches(rest.column("fine"))
+            a, out = 0, set()
+            for b in ends:
+                if b - a > 1:
+                    found = pairs(node[a:b], n[a:b], g[a:b], sk[a:b], fine[a:b], keys[1, a] == keys[2, a], own[a:b] == keys[1, a])
+                    for _, x, y in connecting(found, g[a:b]) if forest else found:
+                        out.add((int(min(node[a + x], node[a + y])), int(max(node[a + x], node[a + y]))))
+                a = b
+            rest = rest.slice(a)
+            if out:  # a pair may meet in many regions
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["p", "node"])
+
+    return run
 
 
 class Join:
     """One join: its tables and the rounds over them."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int) -> None:
-        self.docs, self.k, self.percent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent
-        self.spark = docs.sparkSession
+        self.docs, self.k, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent
+        self.edge = 1 - percent / 100 + 1e-9
         facts = written(self.docs.mapInArrow(_facts(k), FACTS), "facts")
-        self.facts = facts.where("doc_id is not null")
-        hot = facts.where("doc_id is null").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s1").limit(HOT)
-        self.hot = hot.toPandas()  # at most HOT rows
-        self.points = written(self.facts.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "sketch")).alias("first")).select("s1", "s2", "n", F.col("first.doc_id").alias("node"), F.col("first.sketch").alias("sketch")), "points")
+        self.facts = facts.where("fine is not null")
+        counts = facts.where("fine is null").groupBy("s1").agg(F.sum("n").alias("n"))
+        self.hot = most_frequent(counts, HOT).toPandas()  # at most HOT rows
+        reps = self.facts.where("n > 0 AND doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "fine")).alias("first"))
+        self.points = written(reps.select("s1", "s2", "n", F.col("first.doc_id").alias("node"), F.col("first.fine").alias("fine")), "points")
 
     def regions(self) -> DataFrame:
-        """(e, c, node, n, g): the members of the regions that have more than one, each a group of its own."""
+        """(e, node, n, p, k): the k members of each region that has more than one, and its least one, p."""
         keys = self.hot["s1"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
-        held = self.spark.sparkContext.broadcast((keys[order], self.hot["n"].to_numpy().astype(np.int64)[order]))
+        held = self.docs.sparkSession.sparkContext.broadcast((keys[order], self.hot["n"].to_numpy().astype(np.int64)[order]))
         first = self._only(self.points.select(F.col("node").alias("doc_id")))
         rows = written(first.mapInArrow(_rows(self.k, self.percent, held), ROWS), "rows")
-        shared = rows.groupBy("e").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("e")
-        live = written(rows.join(shared, "e"), "live")
-        forget(rows)
-        step = float(np.log(100 / self.percent))
-        c = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9)
-        classed = live.select("e", "node", "n", F.explode(F.array(c, c + 1)).alias("c"))
-        return classed.withColumn("g", F.col("node"))
+        # written before the join, so that the rows of one hot region can be split among tasks
+        shared = written(rows.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("p")).where("k > 1"), "shared")
+        live = written(rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "e").select("e", "node", "n", "p", "k"), "live")
+        forget(rows, shared)
+        return live
 
     def _only(self, ids: DataFrame) -> DataFrame:
         """Documents with these ids; the ids are broadcast if they are few enough."""
         ids = written(ids.distinct(), "ids")
         return self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
-    def fits(self, n, m):
-        return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
+    def sketched(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.points.select("node", "fine"), "node")
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The distinct (p, node) pairs whose sizes and fine sketches allow a link."""
+        pairs = written(pairs.where("p <> node").distinct(), "pairs")
+        points = self.points.select("node", "n", "fine")
+        both = pairs.join(points, "node").join(points.select(F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("fine").alias("p_fine")), "p")
+        fits = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * self.percent
+        return both.where(fits).select("p", "node", "fine", "p_fine").mapInArrow(_close(self.edge), "p long, node long")
 
-    def distances(self, pairs: DataFrame) -> DataFrame:
-        """Distinct (p, node) pairs with d, exact where it could be a link, else a lower bound above t; linked."""
-        points = self.points.select("node", "n", "sketch")
-        bounded = pairs.join(points, "node").join(points.select(F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("sketch").alias("p_sketch")), "p")
-        bounds = written(bounded.select("p", "node", "n", "p_n", "sketch", "p_sketch").mapInArrow(_bounded, "p long, node long, d double"), "bounds")
-        edge = 1 - self.percent / 100 + 1e-9
-        close = bounds.where(F.col("d") <= edge)
+    def linked(self, close: DataFrame) -> DataFrame:
+        """Of (p, node) pairs those that link, measured on their sets; rows of one doc_id may have several, any counts."""
+        close = written(close.distinct(), "close")
         needed = close.select(F.col("p").alias("doc_id")).unionByName(close.select(F.col("node").alias("doc_id")))
-        sets = written(self._only(needed).mapInArrow(_sets(self.k), "node long, shingles binary"), "sets")
-        joined = close.select("p", "node").join(sets, "node").join(sets.select(F.col("node").alias("p"), F.col("shingles").alias("p_shingles")), "p")
-        exact = joined.mapInArrow(_measured, "p long, node long, shared long, total long").select("p", "node", (1 - F.col("shared") / F.col("total")).alias("d"), (F.col("shared") * 100 >= F.col("total") * self.percent).alias("linked"))
-        # rows of one doc_id may have several sets: the closest counts
-        exact = exact.groupBy("p", "node").agg(F.min("d").alias("d"), F.max("linked").alias("linked"))
-        done = written(exact.unionByName(bounds.where(F.col("d") > edge).withColumn("linked", F.lit(False))), "distances")
-        forget(sets, bounds)
-        return done
-
-    def leaf(self, regions: DataFrame) -> DataFrame:
-        """Links of regions of at most LEAF members, between members of different groups."""
-        percent = self.percent
-
-        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest = None
-            for batch in _with_end(batches):
-                if batch is not None:
-                    rest = batch if rest is None or not rest.num_rows else pa.concat_batches([rest, batch])
-                if rest is None or not rest.num_rows:
-                    continue
-                keys = np.stack([rest.column("e").to_numpy(), rest.column("c").to_numpy()])
-                cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-                ends = [*cuts.tolist(), *([rest.num_rows] if batch is None else [])]
-                node, n, g = (rest.column(x).to_numpy() for x in ("node", "n", "g"))
-                sk = np.frombuffer(b"".join(rest.column("sketch").to_pylist()), "<u2").reshape(-1, 64).astype(np.int32)
-                a, out = 0, [[], []]
-                for b in ends:
-                    if b - a > 1:
-                        i, j = np.triu_indices(b - a, 1)
-                        i, j = i + a, j + a
-                        ok = (g[i] != g[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
-                        i, j = i[ok], j[ok]
-                        apart, total = np.abs(sk[i] - sk[j]).sum(1), n[i] + n[j]
-                        ok = 100 * (total - apart) >= percent * (total + apart)
-                        out[0].append(np.minimum(node[i[ok]], node[j[ok]]))
-                        out[1].append(np.maximum(node[i[ok]], node[j[ok]]))
-                    a = b
-                rest = rest.slice(a)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["p", "node"])
-
-        sketched = regions.join(self.points.select("node", "sketch"), "node").select("e", "c", "node", "n", "g", "sketch")
-        pairs = sketched.repartition("e", "c").sortWithinPartitions("e", "c").mapInArrow(join, "p long, node long")
-        found = self.distances(pairs.where("p <> node").distinct())
-        return found.where("linked").select(F.col("p").alias("a"), F.col("node").alias("b"))
-
-    def links(self) -> DataFrame:
-        """(a, b) pairs of representatives that connect all that the links of all pairs connect."""
-        t = 1 - self.percent / 100 + 1e-9
-        key, place = ["e", "c"], ["e", "c", "node"]
-        mixed_only = lambda rows: rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select(*key, "size")
-        now, groups, pivots_each = written(self.regions(), "regions"), None, 1
-        while True:
-            if groups is None:
-                placed = now.withColumn("bucket", F.lit(0))
-            else:
-                # of the region's largest group one member, for the triangle inequality; all others are met sooner or later
-                most = now.groupBy(*key, "g").agg(F.count(F.lit(1)).alias("k")).groupBy(*key).agg(F.max(F.struct("k", "g")).alias("most")).select(*key, F.col("most.g").alias("most"))
-                placed = now.join(most, key).withColumn("bucket", F.when(F.col("g") == F.col("most"), -1).otherwise(F.pmod(F.xxhash64("node"), F.lit(pivots_each))))
-            pivots = placed.groupBy(*key, "bucket").agg(F.min(F.struct("node", "n", "g")).alias("pivot"))
-            pivots = written(pivots.select(*key, "bucket", F.col("pivot.node").alias("p"), F.col("pivot.n").alias("p_n"), F.col("pivot.g").alias("p_g")), "pivots")
-            members = now.join(pivots, key).where("node <> p AND (bucket = -1 OR g <> p_g)")
-            members = written(members.select(*place, "n", "p", "p_n", self.fits(F.col("n"), F.col("p_n")).alias("fits")), "members")
-            found = self.distances(members.where("fits").select("p", "node").distinct())
-            groups = self.joined(groups, found.where("linked").select(F.col("p").alias("a"), F.col("node").alias("b")))
-            # a pivot has met all members of its region that it was not connected to and is done
-            state = self.grouped(now.join(pivots.select(*key, F.col("p").alias("node")), place, "left_anti"), groups)
-            state = written(state, "state")
-            open_ = written(state.join(mixed_only(state), key).select(*place, "n", "g"), "open")
-            # a member linked to a pivot is done if the triangle inequality parts it from all that are not connected to the pivot
-            told = members.join(open_.select(*place, "g"), place).join(found, ["p", "node"], "left")
-            told = told.select(*place, "p", "g", F.coalesce("d", 1 - F.least("n", "p_n") / F.greatest("n", "p_n")).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked"))
-            p_group = groups.select(F.col("node").alias("p"), F.col("component").alias("p_g"))
-            told = written(told.join(p_group, "p", "left").withColumn("p_g", F.coalesce("p_g", "p")), "told")
-            least = told.where("g <> p_g").groupBy(*key, "p").agg(F.min("d").alias("least"))
-            apart = told.where("linked").join(least, [*key, "p"]).where(F.col("d") < F.col("least") - t).select(*place).distinct()
-            left = written(open_.join(apart, place, "left_anti"), "left")
-            sized = written(left.join(mixed_only(left), key), "sized")
-            forget(now, pivots, members, found, told, state, open_, left)
-            small, large = sized.where(F.col("size") <= LEAF).drop("size"), sized.where(F.col("size") > LEAF).drop("size")
-            if small.take(1):
-                groups = self.joined(groups, self.leaf(small))
-            again = written(self.grouped(large, groups), "again")
-            now, pivots_each = written(again.join(mixed_only(again), key).drop("size"), "regions"), min(LEAF, max(PIVOTS, 4 * pivots_each))
-            forget(sized, again)
-            if not now.take(1):
-                return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-
-    def joined(self, groups: DataFrame | None, links: DataFrame) -> DataFrame:
-        """(node, component) of the groups and these links together."""
-        before = groups.select(F.col("node").alias("a"), F.col("component").alias("b")) if groups is not None else None
-        return written(components(links if before is None else before.unionByName(links)), "groups")
-
-    def grouped(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
-        """Members of regions, each with the group that the links found so far put it in."""
-        return rows.drop("g").join(groups, "node", "left").select("e", "c", "node", "n", F.coalesce("component", "node").alias("g"))
+        sets = written(self._only(needed).mapInArrow(_sets(self.k), "node long, shingles array<long>"), "sets")
+        joined = close.join(sets, "node").join(sets.select(F.col("node").alias("p"), F.col("shingles").alias("p_shingles")), "p")
+        shared = F.size(F.array_intersect("shingles", "p_shingles"))
+        found = joined.select("p", "node", shared.alias("x"), (F.size("shingles") + F.size("p_shingles") - shared).alias("y"))
+        found = written(found.where(f"x > 0 AND 100 * x >= {self.percent} * y").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct(), "links")
+        forget(close, sets)
+        return found
+
+    def mixed(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """(e, node, n, g, size): rows of regions whose members are of several groups."""
+        rows = written(rows.join(groups, "node", "left").select("e", "node", "n", F.coalesce("component", "node").alias("g")), "grouped")
+        several = written(rows.groupBy("e").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("e", "size"), "several")
+        found = written(rows.join(several, "e"), "mixed")
+        forget(rows, several)
+        return found
+
+    def leaf(self, rows: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of members, of different groups, that sizes and sketches allow, by blocks of at most LEAF on average."""
+        rows = rows.withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+        dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = self.sketched(dealt.select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "g"))
+        return dealt.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j").mapInArrow(_leaf(self.percent, self.edge, forest), "p long, node long")
+
+    def cells(self, rows: DataFrame, turn: int) -> DataFrame:
+        """(e, node, n, g, size, p, d): the Voronoi cells of PIVOTS members of each region, with the boundary's documents."""
+        bucket = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
+        pivots = rows.groupBy("e", bucket.alias("bucket")).agg(F.min("node").alias("node"))
+        pivots = self.sketched(pivots).groupBy("e").agg(F.collect_list(F.struct(F.col("node").alias("p"), "fine")).alias("pivots"))  # PIVOTS each
+        pivots = written(pivots, "pivots")
+        return self.sketched(rows).join(pivots, "e").mapInArrow(_celled(self.edge), "e long, node long, n long, g long, size long, p long, d double")
+
+    def merged(self, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The groups with the links among these pairs."""
+        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return written(components(known.unionByName(self.linked(self.close(pairs)))), "groups")
+
+    def groups(self) -> DataFrame:
+        """(node, component) of all that links connect; points without links are left out."""
+        live, turn = self.regions(), 0
+        groups = written(components(self.linked(self.close(live.select("p", "node")))), "groups")
+        now = self.mixed(live.where("node <> p AND k > 2").select("e", "node", "n"), groups)
+        forget(live)
+        while now.take(1):
+            turn += 1
+            cells, parted = None, None
+            rest = now.where(F.col("size") <= LEAF)
+            large = now.where(F.col("size") > LEAF)
+            if large.take(1):
+                cells = written(self.cells(large, turn), "cells")
+                groups = self.merged(groups, cells.where(F.col("d") <= self.edge).select("p", "node"))
+                counted = cells.groupBy("e", "p").agg(F.count(F.lit(1)).cast("double").alias("k"), F.max("size").alias("size"))
+                parted = counted.groupBy("e").agg((F.sum(F.col("k") * F.col("k")) <= PARTED * F.max(F.col("size") * F.col("size"))).alias("parted"))
+                parted = written(parted, "parted")
+                rest = rest.unionByName(large.join(parted.where("NOT parted"), "e", "left_semi").select(*rest.columns))
+                rest = self.mixed(rest.select("e", "node", "n"), groups)
+            # the closest pairs of each region, then, where groups are left apart, all others
+            for forest in (True, True, False):
+                if not rest.take(1):
+                    break
+                groups = self.merged(groups, self.leaf(rest, forest))
+                rest = self.mixed(rest.select("e", "node", "n"), groups)
+            if cells is None:
+                return groups
+            inner = cells.where("node <> p").join(parted.where("parted"), "e", "left_semi").select(F.xxhash64("e", "p").alias("e"), "node", "n")
+            now = self.mixed(inner, groups)
+            forget(cells, parted)
+        return groups
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -324,8 +408,26 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the least doc_id that links of at least ``percent`` reach."""
     join = Join(docs, words, percent)
-    found = components(join.links())
+    found = join.groups()
     keys = ["s1", "s2", "n"]
     reps = join.points.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
     rows = join.facts.select("doc_id", *keys).join(reps, keys, "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), known.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of which no link leads to one of a smaller doc_id, all columns as they were.
+
+    Every row is a document of its own, whatever its id: of rows with one id and of rows without an id too, those stay that
+    are no near copies. Of a group the row with the least id stays, of equal ones the first written.
+    """
+    row = "row__"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_groups(numbered.select(F.col(row).alias("doc_id"), "text"), words, percent).where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    first = found.join(numbered.select(row, "doc_id"), row).groupBy("component_id").agg(F.min_by(row, order).alias("first"))
+    gone = written(found.join(written(first, "first"), "component_id").where(F.col(row) != F.col("first")).select(row), "gone")
+    return numbered.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, row, "left_anti").drop(row)

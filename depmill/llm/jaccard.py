@@ -3,7 +3,7 @@
 Jaccard distance d is a metric, and two documents link when d <= t. Documents with equal sets are one point. Beside d there
 is the distance of sketches: a sketch counts the shingles of each part of the hash space, and the weighted Jaccard distance s
 of two sketches of equal parts is a metric as well and never above d, so a link has s <= t. Coarse sketches have 64 parts,
-fine ones two parts or more for a shingle of the text, so that they come close to d; of two fine sketches the longer is
+fine ones a part or more for each shingle of the text, so that they come close to d; of two fine sketches the longer is
 folded to the parts of the shorter.
 
 1. Every shingle is the pivot {shingle}, at distance 1 - 1/n of the n-sets that hold it and 1 of all others. A point's
@@ -11,8 +11,9 @@ folded to the parts of the shorter.
    the regions of the first n - ceil((1 - t) n) + 1 pivots of its own: two linked points share at least (1 - t) n
    shingles, so their boundary windows meet in one region at least. Documents can't be the pivots here: unrelated texts
    all have distances near 1, and no triangle inequality parts them.
-2. The least member of a region is held against all others. Links put members into connected groups, and only regions
-   whose other members are of several groups go on.
+2. The least member of a region is held against all others. Links put members into connected groups. What is left of a
+   region is split by size classes, a member being replicated to the next class, as linked sizes differ by the factor
+   1 - t at most; only classes whose members are of several groups go on.
 3. Such a region with more than ``LEAF`` members is cut into the Voronoi cells of ``PIVOTS`` of its documents by s: a
    member lies in the cell of its nearest pivot at distance m, and, as a document of the boundary, in each whose pivot is
    within m + 2t: by the triangle inequality a linked pair meets in the home cell of either. Members within t of a pivot
@@ -88,8 +89,8 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """The fine sketch: how many of the distinct hashes fall into each part; about every other part is empty."""
-    bits = max(6, math.ceil(math.log2(2 * max(1, len(s)))))
+    """The fine sketch: how many of the distinct hashes fall into each part; there are as many parts as hashes, or up to twice."""
+    bits = max(6, math.ceil(math.log2(max(1, len(s)))))
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -339,6 +340,16 @@ class Join:
         forget(close, sets)
         return found
 
+    def classed(self, rows: DataFrame) -> DataFrame:
+        """(e, node, n): the size classes of regions, but for those that the class below holds as a whole."""
+        c = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / self.percent)) + 1e-9)
+        rows = rows.withColumn("c", c).withColumn("key", F.explode(F.array(F.col("c"), F.col("c") + 1)))
+        rows = written(rows.select(F.xxhash64("e", "key").alias("e"), "node", "n", (F.col("c") == F.col("key")).alias("own")), "classes")
+        several = written(rows.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("any")).where("k > 1 AND any").select("e"), "several")
+        found = written(rows.join(several, "e").select("e", "node", "n"), "classed")
+        forget(rows, several)
+        return found
+
     def mixed(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
         """(e, node, n, g, size): rows of regions whose members are of several groups."""
         rows = written(rows.join(groups, "node", "left").select("e", "node", "n", F.coalesce("component", "node").alias("g")), "grouped")
@@ -371,8 +382,9 @@ class Join:
         """(node, component) of all that links connect; points without links are left out."""
         live, turn = self.regions(), 0
         groups = written(components(self.linked(self.close(live.select("p", "node")))), "groups")
-        now = self.mixed(live.where("node <> p AND k > 2").select("e", "node", "n"), groups)
-        forget(live)
+        classed = self.classed(live.where("node <> p AND k > 2").select("e", "node", "n"))
+        now = self.mixed(classed, groups)
+        forget(live, classed)
         while now.take(1):
             turn += 1
             cells, parted = None, None

@@ -399,7 +399,7 @@ class Join:
                 rest = rest.unionByName(large.join(parted.where("NOT parted"), "e", "left_semi").select(*rest.columns))
                 rest = self.mixed(rest.select("e", "node", "n"), groups)
             # the closest pairs of each region, then, where groups are left apart, all others
-            for forest in (True, True, False):
+            for forest in (True, False):
                 if not rest.take(1):
                     break
                 groups = self.merged(groups, self.leaf(rest, forest))

@@ -7,8 +7,7 @@ training counts, unseen words c = 0. The probabilities of a next token sum to on
 document, window after window, from its first word to the end token.
 
 Counts, shortlist and classes cover all training texts. The weights are trained in numpy by truncated backpropagation on
-texts of all of them: a text is cut into blocks of ``BLOCK`` tokens, of which every ``SHARE``-th from a random one on is
-learnt from, and one at least, so what is learnt from grows with the input. Each partition makes a pass from the same
+all of their tokens, end tokens included, the state carried through a text. Each partition makes a pass from the same
 weights, and the average by tokens is where the next pass starts; the driver gets the summed weights only, so its share
 does not grow with the input. A document's score needs only the weights, the counts of its own rare words (a join) and
 those of the ``HEAD`` most frequent.
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .optim import Adam, gru_back, gru_step
+from .optim import Adam, by_gate, gru_next, gru_run, gru_run_back
 from .scratch import written
 from .tops import most_frequent
 from .words import chunks, split
@@ -39,8 +38,6 @@ SHORT, CLASSES, TAILS = 2048, 32, 32
 HEAD = 65_536
 #: State size; streams and tokens of one update; updates of a chunk at least; passes over the training texts.
 UNITS, STREAMS, SPAN, LEAST_UPDATES, EPOCHS = 24, 256, 24, 16, 1
-#: Tokens of a block through which the state is carried in training; blocks of a text of which one is learnt from.
-BLOCK, SHARE = 96, 4
 SCORE_BYTES = 8_000_000
 #: Tokens whose softmax is taken at a time.
 FLUSH = 40_000
@@ -109,11 +106,17 @@ class Vocabulary:
         return np.where(hit, self.head_n[at], -1), np.where(hit, self.head_short[at], -1)
 
 
+def _tamed(logits: np.ndarray) -> None:
+    """Logits are taken between -60 and 60, where no sum overflows."""
+    if max(logits.max(), -logits.min()) > 60:
+        np.clip(logits, -60, 60, out=logits)
+
+
 def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax of one entry of each row; logits are taken between -60 and 60, where no sum overflows."""
-    np.clip(logits, -60, 60, out=logits)
+    """Log-softmax of one entry of each row."""
+    _tamed(logits)
     own = logits[np.arange(len(at)), at]
-    return own - np.log(np.exp(logits, out=logits).sum(1))
+    return own - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
 
 
 class Network:
@@ -137,53 +140,57 @@ class Network:
         p = self.p
         kind = np.where(out < SHORT, out // self.per, out - SHORT + CLASSES)
         found = _log_share(h @ p["wc"] + p["bc"], kind)
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        order = order[: edges[-1]]
+        own, place, more = h[order], out[order] % self.per, np.empty(len(order), h.dtype)
         for c in range(CLASSES):
-            own = order[edges[c] : edges[c + 1]]
-            if len(own):
-                found[own] += _log_share(h[own] @ p["ww"][c] + p["bw"][c], out[own] % self.per)
+            a, b = edges[c], edges[c + 1]
+            if a < b:
+                more[a:b] = _log_share(own[a:b] @ p["ww"][c] + p["bw"][c], place[a:b])
+        found[order] += more
         return found * np.float32(1 / math.log(10))
 
     def _loss(self, h: np.ndarray, out: np.ndarray, grads: dict) -> np.ndarray:
         """Gradient of the mean negative log-likelihood by h; adds those of the output weights."""
-        p, m = self.p, len(out)
+        p, m, ones = self.p, len(out), np.ones(len(out), np.float32)
         kind = np.where(out < SHORT, out // self.per, out - SHORT + CLASSES)
 
         def softmax(x):
-            x = np.exp(x - x.max(1, keepdims=True))
-            return x / x.sum(1, keepdims=True)
+            """In place."""
+            _tamed(x)
+            np.exp(x, out=x)
+            x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
+            return x
 
         d = softmax(h @ p["wc"] + p["bc"])
         d[np.arange(m), kind] -= 1
-        d /= m
-        grads["wc"], grads["bc"] = h.T @ d, d.sum(0)
+        d *= np.float32(1 / m)
+        grads["wc"], grads["bc"] = h.T @ d, ones @ d
         dh = d @ p["wc"].T
         grads["ww"], grads["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        order = order[: edges[-1]]
+        own, place, back = h[order], out[order] % self.per, np.empty((len(order), UNITS), h.dtype)
         for c in range(CLASSES):
-            own = order[edges[c] : edges[c + 1]]
-            if len(own):
-                d = softmax(h[own] @ p["ww"][c] + p["bw"][c])
-                d[np.arange(len(own)), out[own] % self.per] -= 1
-                d /= m
-                grads["ww"][c], grads["bw"][c] = h[own].T @ d, d.sum(0)
-                dh[own] += d @ p["ww"][c].T
+            a, b = edges[c], edges[c + 1]
+            if a < b:
+                d = softmax(own[a:b] @ p["ww"][c] + p["bw"][c])
+                d[np.arange(b - a), place[a:b]] -= 1
+                d *= np.float32(1 / m)
+                grads["ww"][c], grads["bw"][c] = own[a:b].T @ d, ones[a:b] @ d
+                np.matmul(d, p["ww"][c].T, out=back[a:b])
+        dh[order] += back
         return dh
 
     def train(self, adam: Adam, texts: list[np.ndarray], r: np.random.Generator) -> int:
-        """Truncated backpropagation: streams of the texts' blocks, SPAN tokens at a time, the state carried through a block."""
-        into, out, fresh = [], [], []
-        for i in r.permutation(len(texts)):
-            text = texts[i]
-            before = np.concatenate([[SHORT + TAILS], text[:-1]])
-            blocks = -(-len(text) // BLOCK)
-            for k in range(int(r.integers(min(SHARE, blocks))), blocks, SHARE):
-                into.append(before[k * BLOCK : (k + 1) * BLOCK])
-                out.append(text[k * BLOCK : (k + 1) * BLOCK])
-                fresh.append(np.arange(len(out[-1])) > 0)
-        into, out, fresh = np.concatenate(into), np.concatenate(out), np.concatenate(fresh).astype(np.float32)
+        """Truncated backpropagation: streams of all tokens of the texts, SPAN at a time, the state carried through a text."""
+        order = r.permutation(len(texts))
+        out = np.concatenate([texts[i] for i in order])
+        starts = np.cumsum([0, *(len(texts[i]) for i in order[:-1])])
+        into, fresh = np.roll(out, 1), np.ones(len(out), np.float32)
+        into[starts], fresh[starts] = SHORT + TAILS, 0
         streams = max(1, min(STREAMS, len(out) // (SPAN * LEAST_UPDATES)))
         n = len(out) // streams
         for a, b, k in ((0, n * streams, streams), (n * streams, len(out), 1)):  # the few tokens left over are a stream of their own
@@ -199,33 +206,26 @@ class Network:
         return made
 
     def _update(self, adam: Adam, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
-        p, kept, states = self.p, [], []
-        a = p["e"][x] @ p["wx"] + p["bx"]
-        for t in range(len(x)):
-            h, k = gru_step(a[t], h * fresh[t], p["wh"], p["bn"])
-            kept.append(k)
-            states.append(h)
+        p = self.p
+        table = by_gate(p["e"] @ p["wx"] + p["bx"])
+        states, kept = gru_run(np.take(table, x, axis=1), h, fresh, p["wh"], p["bn"])
         grads: dict = {}
-        dh_out = self._loss(np.concatenate(states), y.ravel(), grads).reshape(len(x), *h.shape)
-        grads["wh"], grads["bn"] = np.zeros_like(p["wh"]), np.zeros_like(p["bn"])
-        da, dh = np.empty_like(a), np.zeros_like(h)
-        for t in range(len(x) - 1, -1, -1):
-            dh, da[t], dwh, dbn = gru_back(dh + dh_out[t], kept[t], p["wh"])
-            dh = dh * fresh[t]
-            grads["wh"] += dwh
-            grads["bn"] += dbn
-        flat = da.reshape(-1, da.shape[-1])
-        grads["wx"], grads["bx"] = p["e"][x].reshape(len(flat), -1).T @ flat, flat.sum(0)
-        order = np.argsort(x, axis=None, kind="stable")
-        first = np.flatnonzero(np.diff(x.ravel()[order], prepend=-1))
-        grads["e"] = (x.ravel()[order[first]], np.add.reduceat((flat @ p["wx"].T)[order], first))
+        dh = self._loss(states.reshape(-1, UNITS), y.ravel(), grads).reshape(states.shape)
+        flat, grads["wh"], grads["bn"] = gru_run_back(dh, fresh, kept, p["wh"])
+        x, wx, ones = x.ravel(), by_gate(p["wx"]), np.ones(x.size, np.float32)
+        before = p["e"][x].T
+        grads["wx"], grads["bx"] = np.concatenate([before @ f for f in flat], 1), np.concatenate([ones @ f for f in flat])
+        order = np.argsort(x.astype(np.uint16), kind="stable")
+        first = np.flatnonzero(np.diff(x[order], prepend=-1))
+        grads["e"] = (x[order[first]], np.add.reduceat(sum(f @ w.T for f, w in zip(flat, wx, strict=True))[order], first))
         adam.step(grads)
-        return h
+        return states[-1]
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Sum of logs over each text; the state runs through it."""
         p = self.p
-        table = p["e"] @ p["wx"] + p["bx"]
+        half = np.array([0.5, 0.5, 1], np.float32)[:, None, None]  # as in gru_run
+        table, wide = by_gate(p["e"] @ p["wx"] + p["bx"]) * half, by_gate(p["wh"]) * half
         lengths = np.array([len(t) for t in texts])
         order = np.argsort(-lengths, kind="stable")
         flat, first = np.concatenate([texts[i] for i in order]), np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
@@ -235,7 +235,7 @@ class Network:
         into = np.full(len(texts), SHORT + TAILS)
         states, outs, who, held = [], [], [], 0
         for t, n in enumerate(alive.tolist()):
-            h, _ = gru_step(table[into[:n]], h[:n], p["wh"], p["bn"])
+            h = gru_next(np.take(table, into[:n], axis=1), h[:n], wide, p["bn"])
             into = flat[first[:n] + t]
             states.append(h)
             outs.append(into)

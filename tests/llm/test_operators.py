@@ -695,3 +695,36 @@ def test_language_model_scores_are_those_of_a_plain_forward_pass():
                 total += soft(h @ p["ww"][kind] + p["bw"][kind])[t % net.per]
             before = t
         assert got == pytest.approx(total / np.log(10), rel=1e-4)
+
+
+def test_language_model_learns_from_every_token_of_long_texts(spark):
+    """Every token is a word of its own, whose weights move only if its place is read; 400 tokens a text."""
+    train = spark.createDataFrame([(i, " ".join(f"own{i}x{k}" for k in range(400))) for i in range(4)], "doc_id long, text string").repartition(2)
+    counts = train.select("text").mapInArrow(language_model._counts, language_model.COUNTS).groupBy("h").agg(F.first("k").alias("k"), F.sum("n").alias("n"))
+    vocabulary, network = language_model.fit(train, counts)
+    moved = (network.p["e"] != language_model.Network(vocabulary).p["e"]).any(1)
+    assert len(vocabulary.short_n) == 1_601 and moved[:1_601].sum() == 1_600  # all words; nothing follows the end
+
+
+def test_runs_of_recurrent_steps_are_those_steps():
+    """Outputs and gradients of whole runs against single steps, with a state that begins anew."""
+    from depmill.llm.optim import gru_back, gru_run, gru_run_back, gru_step
+
+    r = np.random.default_rng(2)
+    a, h, wh, bn, g = (r.standard_normal(s) for s in ((5, 3, 12), (3, 4), (4, 12), (4,), (5, 3, 4)))
+    fresh = np.ones((5, 3, 1))
+    fresh[0, 1] = fresh[2, 0] = 0
+    got, held = gru_run(np.moveaxis(a.reshape(5, 3, 3, 4), 2, 0), h, fresh, wh, bn)
+    kept = []
+    for t in range(5):
+        h, k = gru_step(a[t], h * fresh[t], wh, bn)
+        kept.append(k)
+        assert got[t] == pytest.approx(h)
+    da, dwh, dbn = gru_run_back(g, fresh, held, wh)
+    dh, wants = np.zeros((3, 4)), [0, 0]
+    for t in range(4, -1, -1):
+        dh, want, dw, db = gru_back(g[t] + dh, kept[t], wh)
+        dh = dh * fresh[t]
+        wants = [wants[0] + dw, wants[1] + db]
+        assert np.concatenate(list(da.reshape(3, 5, 3, 4)[:, t]), 1) == pytest.approx(want)
+    assert dwh == pytest.approx(wants[0]) and dbn == pytest.approx(wants[1])

@@ -5,7 +5,9 @@ space. A vector is list-decoded to all filters whose cap it lies in, cosine at l
 sorted by their score, and partial sums go on only with codes that can still reach alpha, so the work is that of the list,
 not of all filters. Books are added as the points grow, so that a cap holds about ``CAP_POINTS`` points at any size; alpha
 is set, on random directions, so that ``CAPS`` caps hold a vector on average, and is lowered step by step for a vector in
-fewer than ``LEAST_CAPS``. Vectors are joined on filters and verified by their cosine in double precision.
+fewer than ``LEAST_CAPS``. Vectors are joined on filters and verified by their cosine in double precision. To the caps
+travel codes of a byte a component and the exact length of what they leave out, so that a pair is passed over only where
+no vectors with these codes can be close.
 
 Vectors with equal components are one point with a weight. Hot caps don't make pairs: the least id of each cap is its
 pivot, and a point that shares an eighth of its caps with a pivot, and whose angle to it is at most half the link angle,
@@ -39,7 +41,7 @@ CAPS, LEAST_CAPS = 80, 16
 CAP_POINTS = 256
 LEAST_CODES, MOST_CODES = 16, 256
 #: Balls of a cap that a task meets at once.
-BLOCK = 256
+BLOCK = 1024
 
 
 class Codes:
@@ -142,6 +144,40 @@ def _cosines(dim: int):
     return run
 
 
+def coded(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Rows of bytes: each component of x in a byte, then as floats what a step is worth, the length of the rest, and r."""
+    step = (np.abs(x).max(1, keepdims=True) / 127).astype(np.float32)
+    near = np.rint(x / step).clip(-127, 127).astype(np.int8)
+    rest = np.linalg.norm(x - near * step.astype(np.float64), axis=1)
+    up = lambda v: np.nextafter(v.astype(np.float32), np.float32(np.inf))[:, None]
+    return np.concatenate([near.view(np.uint8), np.concatenate([step, up(rest), up(r)], 1).view(np.uint8)], 1)
+
+
+def may_meet(codes: np.ndarray, left: np.ndarray, right: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows left and right of the codes the pairs whose vectors may lie within theta and the sum of their radii."""
+    dim = codes.shape[1] - 12
+    step, rest, r = np.ascontiguousarray(codes[:, dim:]).view(np.float32).T
+    if theta + 2 * float(r.max()) + 1e-6 >= math.pi:
+        one, two = np.nonzero(np.ones((len(left), len(right)), bool))
+        return left[one], right[two]
+    near, ones = codes[:, :dim].view(np.int8) * step[:, None], np.ones_like(rest)
+    # the codes' product, off by at most e + f + e f for rests e and f, less cos(theta + r + s) for radii r and s: one product
+    mine = np.stack([rest, ones, rest, -np.cos(theta + 1e-6 + r), np.sin(theta + 1e-6 + r)], 1)
+    theirs = np.stack([ones, rest, rest, np.cos(r), np.sin(r)], 1)
+    one, two = np.nonzero(np.concatenate([near, mine], 1)[left] @ np.concatenate([near, theirs], 1)[right].T >= np.float32(-1e-5))
+    return left[one], right[two]
+
+
+def _coded(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = coded(matrix(batch.column("x"), dim), batch.column("r").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["p", "code"])
+
+    return run
+
+
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors that count, scaled to length 1 in double precision."""
     for batch in batches:
@@ -214,17 +250,16 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, caps: int = CAPS) ->
     own = F.pmod(F.xxhash64("p"), F.col("k")).cast("int")
     dealt = at.join(sizes, "f").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "p")
-    cells = dealt.join(ball.select("p", "r", "x"), "p").select("f", "i", "j", "own", "p", "r", "x")
+    cells = dealt.join(ball.select("p", "r", "x").mapInArrow(_coded(dim), "p long, code binary"), "p").select("f", "i", "j", "own", "p", "code")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches, ("f", "i", "j")):
-            p, r, side, x = part.column("p").to_numpy(), part.column("r").to_numpy(), part.column("own").to_numpy(), matrix(part.column("x"), dim)
+            p, side = part.column("p").to_numpy(), part.column("own").to_numpy()
+            codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(p), -1)
             i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-            left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-            angle = np.arccos(np.clip(x[left] @ x[right].T, -1, 1))
-            once = p[left][:, None] < p[right][None, :] if i == j else p[left][:, None] != p[right][None, :]
-            one, two = np.nonzero((angle <= theta + r[left][:, None] + r[right][None, :] + 1e-6) & once)
-            one, two = left[one], right[two]
+            one, two = may_meet(codes, np.flatnonzero(side == i), np.flatnonzero(side == j), theta)
+            once = p[one] < p[two] if i == j else p[one] != p[two]
+            one, two = one[once], two[once]
             if len(one):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[one], p[two])), pa.array(np.maximum(p[one], p[two]))], names=["a", "b"])
 
@@ -234,7 +269,7 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, caps: int = CAPS) ->
     measured = measured.join(facts.select(F.col("p").alias("a"), F.col("r").alias("ra"), F.col("weight").alias("wa")), "a").join(facts.select(F.col("p").alias("b"), F.col("r").alias("rb"), F.col("weight").alias("wb")), "b")
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.col("cos"), F.lit(1.0))))
     single = (F.col("ra") == 0) & (F.col("rb") == 0)
-    state = F.when(single, F.when(F.col("cos") >= cosine, "all").otherwise("none")).when(angle <= theta - F.col("ra") - F.col("rb") - 1e-7, "all").otherwise("some")
+    state = F.when(single, F.when(F.col("cos") >= cosine, "all").otherwise("none")).when(angle <= theta - F.col("ra") - F.col("rb") - 1e-7, "all").when(angle > theta + F.col("ra") + F.col("rb") + 1e-6, "none").otherwise("some")
     measured = written(measured.select("a", "b", "wa", "wb", state.alias("state")).where("state <> 'none'"), "near")
 
     # members of balls of which it depends, met in pairs of blocks: sums of weights, and one link for the pair of balls

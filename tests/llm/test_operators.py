@@ -728,3 +728,30 @@ def test_runs_of_recurrent_steps_are_those_steps():
         wants = [wants[0] + dw, wants[1] + db]
         assert np.concatenate(list(da.reshape(3, 5, 3, 4)[:, t]), 1) == pytest.approx(want)
     assert dwh == pytest.approx(wants[0]) and dbn == pytest.approx(wants[1])
+
+
+def test_codes_pass_over_no_close_pair():
+    """Vectors about theta and their radii apart, against their angles in double precision."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((400, 24))
+    x[200:] = x[:200] + r.standard_normal((200, 24)) * r.choice([0.1, 0.3, 0.45, 0.6], (200, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    radii, theta = r.choice([0.0, 0.1, 0.2], 400), np.arccos(0.9)
+    left, right = np.arange(200), np.arange(200, 400)
+    got = set(zip(*(v.tolist() for v in cap_filters.may_meet(cap_filters.coded(x, radii), left, right, theta)), strict=True))
+    over = np.arccos(np.clip(x[:200] @ x[200:].T, -1, 1)) - theta - radii[:200, None] - radii[200:]
+    want = {(int(a), int(b) + 200) for a, b in zip(*np.nonzero(over <= 0), strict=True)}
+    assert want <= got and len(got) < 2 * len(want) < 40_000
+    assert len(cap_filters.may_meet(cap_filters.coded(x, radii), left, right, 3.0)[0]) == 40_000
+
+
+def test_vectors_do_not_travel_to_their_caps(spark):
+    """Bytes shuffled for each vector, far below those of a double a component to each of its 80 caps (40 kB)."""
+    r = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.standard_normal((1_500, 64)))], "vec_id long, embedding array<double>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    total = lambda found: sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+    before = total(stages())
+    assert cap_filters.near_groups(df).where("n_links > 0").count() == 0
+    assert 1_500 * 4_000 < total(stages()) - before < 1_500 * 30_000

@@ -4,7 +4,7 @@ Jaccard distance d is a metric, and two documents link when d <= t. Documents wi
 is the distance of sketches: a sketch counts the shingles of each part of the hash space, and the weighted Jaccard distance s
 of two sketches of equal parts is a metric as well and never above d, so a link has s <= t. Coarse sketches have 64 parts,
 fine ones a part or more for each shingle of the text, so that they come close to d; of two fine sketches the longer is
-folded to the parts of the shorter.
+folded to the parts of the shorter. Small sketches are fine ones folded to an eighth of the parts; they travel to regions.
 
 1. Every shingle is the pivot {shingle}, at distance 1 - 1/n of the n-sets that hold it and 1 of all others. A point's
    nearest pivots tie, and a global order (shingles that many documents hold come last) breaks the tie. A point lies in
@@ -18,10 +18,12 @@ folded to the parts of the shorter.
    member lies in the cell of its nearest pivot at distance m, and, as a document of the boundary, in each whose pivot is
    within m + 2t: by the triangle inequality a linked pair meets in the home cell of either. Members within t of a pivot
    are held against it, after which the pivot is done. Cells are regions again, and the join goes on in them. Where the
-   cells hold as much as the region did, the inequality parts nothing; its members are then met in pairs of blocks.
+   cells hold as much as the region did, the inequality parts nothing; cells are counted before any is made, and the
+   members of such a region are held against their nearest pivot alone and then met in pairs of blocks.
 4. Regions and pairs of blocks of at most ``LEAF`` members are joined in one task, members of one group left out and the
-   rest held to the bounds on sizes and sketches. Of the pairs that pass, first those of a spanning forest of the groups
-   are measured on the sets themselves, the closest first; regions that are of several groups still yield the rest.
+   rest held to the bounds on sizes and small sketches. Of a block with more pairs than members that pass, first those of a
+   spanning forest of the groups are measured, by fine sketches and then on the sets themselves, the closest first; such
+   regions that are of several groups still yield the rest.
 
 All steps are exact. Sets never travel but for pairs that pass the sketches, and no region is gathered in one task, but
 for at most 2 * ``LEAF`` members.
@@ -94,12 +96,18 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def folded(fine: bytes) -> bytes:
+    """The small sketch: an eighth of the parts of the fine one, 64 at least."""
+    x = np.frombuffer(fine, np.uint8)
+    return np.minimum(x.reshape(max(64, len(x) // 8), -1).sum(1, dtype=np.int64), 255).astype(np.uint8).tobytes()
+
+
 def coarse(fine: bytes) -> np.ndarray:
     return np.frombuffer(fine, np.uint8).reshape(64, -1).sum(1, dtype=np.int64)
 
 
 def sketches(column: pa.Array) -> np.ndarray:
-    """Coarse sketches of a column of fine ones."""
+    """Coarse sketches of a column of fine or small ones."""
     fine = column.to_pylist()
     return np.stack([coarse(x) for x in fine]) if fine else np.zeros((0, 64), np.int64)
 
@@ -191,8 +199,14 @@ def _sets(k: int):
     return run
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        small = [folded(x) for x in batch.column("fine").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(small, pa.binary())], names=["node", "n", "sketch"])
+
+
 def _close(edge: float):
-    """Pairs (p, node) whose fine sketches allow a link."""
+    """Pairs (p, node) whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,21 +217,48 @@ def _close(edge: float):
     return run
 
 
+def _distances(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each member and pivot of its region: the member's place, the pivot, their distance, the least distance of the member."""
+    pivots, mine = batch.column("pivots"), sketches(batch.column("sketch"))
+    edges = pivots.offsets.to_numpy().astype(np.int64)
+    flat = pivots.flatten()
+    p, theirs = flat.field("p").to_numpy(), sketches(flat.field("sketch"))
+    row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
+    d = sketch_distance(mine[row], theirs)
+    return row, p, d, np.minimum.reduceat(d, edges[:-1] - edges[0])[row]
+
+
+def _counted(edge: float):
+    """Members with their region's pivots, to (e, p, k, size): how many would lie in each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, p, d, least = _distances(batch)
+                ok = np.flatnonzero(d <= least + 2 * edge)
+                held = batch.select(["e", "size"]).take(pa.array(row[ok]))
+                found = pa.table([*held.columns, pa.array(p[ok])], names=["e", "size", "p"]).group_by(["e", "p", "size"]).aggregate([([], "count_all")])
+                yield from found.select(["e", "p", "count_all", "size"]).rename_columns(["e", "p", "k", "size"]).to_batches()
+
+    return run
+
+
 def _celled(edge: float):
-    """Members with their region's pivots, to (e, node, n, g, size, p, d): the cells that they lie in, at distance d of p."""
+    """Members with their region's pivots, to (e, node, n, g, size, p, d): the cells that they lie in, at distance d of p.
+
+    Of regions that are not parted the nearest pivot alone, if it is within the edge.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pivots, mine = batch.column("pivots"), sketches(batch.column("fine"))
-            edges = pivots.offsets.to_numpy().astype(np.int64)
-            flat = pivots.flatten()
-            p, theirs = flat.field("p").to_numpy(), sketches(flat.field("fine"))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
-            d = sketch_distance(mine[row], theirs)
-            least = np.minimum.reduceat(d, edges[:-1] - edges[0])
-            ok = np.flatnonzero(d <= least[row] + 2 * edge)
+            row, p, d, least = _distances(batch)
+            parted = batch.column("parted").to_numpy(zero_copy_only=False).astype(bool)[row]
+            nearest = np.flatnonzero(d == least)
+            first = np.zeros(len(d), bool)
+            first[nearest[np.unique(row[nearest], return_index=True)[1]]] = True
+            ok = np.flatnonzero(np.where(parted, d <= least + 2 * edge, first & (d <= edge)))
             held = batch.select(["e", "node", "n", "g", "size"]).take(pa.array(row[ok]))
             yield pa.RecordBatch.from_arrays([*held.columns, pa.array(p[ok]), pa.array(d[ok])], names=["e", "node", "n", "g", "size", "p", "d"])
 
@@ -227,7 +268,8 @@ def _celled(edge: float):
 def _leaf(percent: int, edge: float, forest: bool):
     """Rows by (e, i, j) to the pairs that sizes and sketches allow, of different groups, one of block i and one of j.
 
-    With ``forest`` only as many as connect the groups that all of these pairs connect, the closest first.
+    With ``forest``, of a block with more pairs than members only as many as connect the groups that all of these pairs
+    connect, the closest first, and a row (null, e).
     """
 
     def pairs(node, n, g, sk, fine, one_block, side) -> list[tuple[float, int, int]]:
@@ -271,17 +313,21 @@ def _leaf(percent: int, edge: float, forest: bool):
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             ends = [*cuts.tolist(), *([rest.num_rows] if batch is None else [])]
             node, n, g, own = (rest.column(x).to_numpy() for x in ("node", "n", "g", "own"))
-            fine, sk = rest.column("fine").to_pylist(), sketches(rest.column("fine"))
-            a, out = 0, set()
+            fine, sk = rest.column("sketch").to_pylist(), sketches(rest.column("sketch"))
+            a, out, more = 0, set(), set()
             for b in ends:
                 if b - a > 1:
                     found = pairs(node[a:b], n[a:b], g[a:b], sk[a:b], fine[a:b], keys[1, a] == keys[2, a], own[a:b] == keys[1, a])
-                    for _, x, y in connecting(found, g[a:b]) if forest else found:
+                    less = forest and len(found) > b - a
+                    if less:
+                        more.add(int(keys[0, a]))
+                    for _, x, y in connecting(found, g[a:b]) if less else found:
                         out.add((int(min(node[a + x], node[a + y])), int(max(node[a + x], node[a + y]))))
                 a = b
             rest = rest.slice(a)
-            if out:  # a pair may meet in many regions
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["p", "node"])
+            if out or more:  # a pair may meet in many regions
+                both = [*out, *((None, e) for e in more)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*both, strict=True)], names=["p", "node"])
 
     return run
 
@@ -298,6 +344,7 @@ class Join:
         self.hot = most_frequent(counts, HOT).toPandas()  # at most HOT rows
         reps = self.facts.where("n > 0 AND doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "fine")).alias("first"))
         self.points = written(reps.select("s1", "s2", "n", F.col("first.doc_id").alias("node"), F.col("first.fine").alias("fine")), "points")
+        self.small = written(self.points.select("node", "n", "fine").mapInArrow(_folded, "node long, n long, sketch binary"), "small")
 
     def regions(self) -> DataFrame:
         """(e, node, n, p, k): the k members of each region that has more than one, and its least one, p."""
@@ -318,16 +365,22 @@ class Join:
         return self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def sketched(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.points.select("node", "fine"), "node")
+        return rows.join(self.small.select("node", "sketch"), "node")
 
-    def close(self, pairs: DataFrame) -> DataFrame:
-        """The distinct (p, node) pairs whose sizes and fine sketches allow a link."""
-        pairs = written(pairs.where("p <> node").distinct(), "pairs")
-        points = self.points.select("node", "n", "fine")
+    def _near(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
+        """Of (p, node) pairs those whose sizes and sketches, of points (node, n, fine), allow a link."""
         both = pairs.join(points, "node").join(points.select(F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("fine").alias("p_fine")), "p")
         fits = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * self.percent
         return both.where(fits).select("p", "node", "fine", "p_fine").mapInArrow(_close(self.edge), "p long, node long")
 
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The distinct (p, node) pairs whose sizes and sketches allow a link: small sketches first, then fine ones."""
+        pairs = written(pairs.where("p <> node").distinct(), "pairs")
+        near = written(self._near(pairs, self.small.withColumnRenamed("sketch", "fine")), "near")
+        ids = written(near.select("node").unionByName(near.select(F.col("p").alias("node"))).distinct(), "ids")
+        points = self.points.select("node", "n", "fine").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+        return self._near(near, points)
+
     def linked(self, close: DataFrame) -> DataFrame:
         """Of (p, node) pairs those that link, measured on their sets; rows of one doc_id may have several, any counts."""
         close = written(close.distinct(), "close")
@@ -365,13 +418,19 @@ class Join:
         dealt = self.sketched(dealt.select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "g"))
         return dealt.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j").mapInArrow(_leaf(self.percent, self.edge, forest), "p long, node long")
 
-    def cells(self, rows: DataFrame, turn: int) -> DataFrame:
-        """(e, node, n, g, size, p, d): the Voronoi cells of PIVOTS members of each region, with the boundary's documents."""
+    def cells(self, rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """(e, node, n, g, size, p, d): the Voronoi cells of PIVOTS members of each region, with the boundary's documents; and (e, parted)."""
+        rows = written(self.sketched(rows), "large")
         bucket = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
-        pivots = rows.groupBy("e", bucket.alias("bucket")).agg(F.min("node").alias("node"))
-        pivots = self.sketched(pivots).groupBy("e").agg(F.collect_list(F.struct(F.col("node").alias("p"), "fine")).alias("pivots"))  # PIVOTS each
-        pivots = written(pivots, "pivots")
-        return self.sketched(rows).join(pivots, "e").mapInArrow(_celled(self.edge), "e long, node long, n long, g long, size long, p long, d double")
+        pivots = rows.groupBy("e", bucket.alias("bucket")).agg(F.min(F.struct(F.col("node").alias("p"), "sketch")).alias("pivot"))
+        pivots = written(pivots.groupBy("e").agg(F.collect_list("pivot").alias("pivots")), "pivots")  # PIVOTS each
+        counted = rows.join(pivots, "e").mapInArrow(_counted(self.edge), "e long, p long, k long, size long").groupBy("e", "p").agg(F.sum("k").cast("double").alias("k"), F.max("size").alias("size"))
+        parted = counted.groupBy("e").agg((F.sum(F.col("k") * F.col("k")) <= PARTED * F.max(F.col("size") * F.col("size"))).alias("parted"))
+        parted = written(parted, "parted")
+        found = rows.join(pivots.join(parted, "e"), "e").mapInArrow(_celled(self.edge), "e long, node long, n long, g long, size long, p long, d double")
+        found = written(found, "cells")
+        forget(rows, pivots)
+        return found, parted
 
     def merged(self, groups: DataFrame, pairs: DataFrame) -> DataFrame:
         """The groups with the links among these pairs."""
@@ -391,19 +450,19 @@ class Join:
             rest = now.where(F.col("size") <= LEAF)
             large = now.where(F.col("size") > LEAF)
             if large.take(1):
-                cells = written(self.cells(large, turn), "cells")
+                cells, parted = self.cells(large, turn)
                 groups = self.merged(groups, cells.where(F.col("d") <= self.edge).select("p", "node"))
-                counted = cells.groupBy("e", "p").agg(F.count(F.lit(1)).cast("double").alias("k"), F.max("size").alias("size"))
-                parted = counted.groupBy("e").agg((F.sum(F.col("k") * F.col("k")) <= PARTED * F.max(F.col("size") * F.col("size"))).alias("parted"))
-                parted = written(parted, "parted")
                 rest = rest.unionByName(large.join(parted.where("NOT parted"), "e", "left_semi").select(*rest.columns))
                 rest = self.mixed(rest.select("e", "node", "n"), groups)
-            # the closest pairs of each region, then, where groups are left apart, all others
+            # all pairs of most regions, the closest of others, then, where groups are left apart, all of these
             for forest in (True, False):
                 if not rest.take(1):
                     break
-                groups = self.merged(groups, self.leaf(rest, forest))
-                rest = self.mixed(rest.select("e", "node", "n"), groups)
+                found = written(self.leaf(rest, forest), "met")
+                groups = self.merged(groups, found.where("p is not null"))
+                if forest:
+                    more = found.where("p is null").select(F.col("node").alias("e")).distinct()
+                    rest = self.mixed(rest.join(more, "e", "left_semi").select("e", "node", "n"), groups)
             if cells is None:
                 return groups
             inner = cells.where("node <> p").join(parted.where("parted"), "e", "left_semi").select(F.xxhash64("e", "p").alias("e"), "node", "n")

@@ -755,3 +755,38 @@ def test_vectors_do_not_travel_to_their_caps(spark):
     before = total(stages())
     assert cap_filters.near_groups(df).where("n_links > 0").count() == 0
     assert 1_500 * 4_000 < total(stages()) - before < 1_500 * 30_000
+
+
+def test_copies_that_no_cut_parts_make_no_cells(spark, monkeypatch):
+    """Versions of one text in a row: members of its regions are written once for their nearest pivot, not for each pivot."""
+    r = random.Random(21)
+    base, found = [f"v{r.random():.9f}" for _ in range(60)], []
+    for i in range(150):
+        w = list(base)
+        w[r.randrange(60)] = f"x{i}"
+        w[r.randrange(60)] = f"y{i}"
+        found.append((i, " ".join(w)))
+    made = {}
+
+    def counting(df, name, put=jaccard.written):
+        out = put(df, name)
+        if name in ("large", "cells"):
+            made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counting)
+    got = rows(jaccard.jaccard_groups(spark.createDataFrame(found, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == brute.jaccard(found) and len({g[2] for g in got}) > 1
+    assert made["cells"] <= made["large"]
+
+
+def test_small_sketches_are_bounds():
+    r = np.random.default_rng(14)
+    for n in (5, 300, 3_000):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.8], r.integers(0, 1 << 63, n // 5).astype(np.uint64) * np.uint64(2)]))
+        x, y = jaccard.sketch(a), jaccard.sketch(b)
+        true = 1 - len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        small = jaccard.fine_distance(jaccard.folded(x), jaccard.folded(y))
+        assert small <= jaccard.fine_distance(x, y) + 1e-12 <= true + 2e-12
+        assert len(jaccard.folded(x)) == max(64, len(x) // 8) and (jaccard.coarse(jaccard.folded(x)) == jaccard.coarse(x)).all()

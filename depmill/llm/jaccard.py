@@ -20,13 +20,13 @@ folded to the parts of the shorter. Small sketches are fine ones folded to an ei
    are held against it, after which the pivot is done. Cells are regions again, and the join goes on in them. Where the
    cells hold as much as the region did, the inequality parts nothing; cells are counted before any is made, and the
    members of such a region are held against their nearest pivot alone and then met in pairs of blocks.
-4. Regions and pairs of blocks of at most ``LEAF`` members are joined in one task, members of one group left out and the
-   rest held to the bounds on sizes and small sketches. Of a block with more pairs than members that pass, first those of a
+4. Regions of at most ``LEAF`` members and pairs of blocks of ``BLOCK`` are joined in one task, of regions with the same
+   members one, members of one group left out and the rest held to the bounds on sizes and small sketches. Of a block with more pairs than members that pass, first those of a
    spanning forest of the groups are measured, by fine sketches and then on the sets themselves, the closest first; such
    regions that are of several groups still yield the rest.
 
-All steps are exact. Sets never travel but for pairs that pass the sketches, and no region is gathered in one task, but
-for at most 2 * ``LEAF`` members.
+All steps are exact. Sets never travel but for pairs that pass the sketches. A region's ids are counted in one task, packed
+to a few bytes each; beyond that no region is gathered in one task, but for about 2 * ``BLOCK`` members.
 
 Defined results: words are in lower case (A-Z); a text of 1 to 3 words is one shingle; null, empty and blank texts have
 no shingles and link with nothing; rows of one doc_id count as one document, each with its own n_shingles; rows
@@ -56,14 +56,21 @@ PERCENT = 85
 HOT = 1 << 18
 #: Documents of a chunk that share a shingle before the chunk reports it.
 HOT_IN_CHUNK = 4
-#: Members of a region that one task joins outright; pivots of a larger one.
+#: Members of a region that is cut no further; pivots of a larger one.
 LEAF, PIVOTS = 64, 8
+#: Members of a block of a region that no pivot parts: a member travels once for each block of its region.
+BLOCK = 1024
+#: Pairs whose coarse sketches are compared at a time.
+STRIPE = 1 << 14
+#: Window shingles that travel packed to one task at a time, on average; bits of their hashes.
+BUCKET_ROWS, BITS = 250_000, 40
 #: Part of a region's pairs that its cells may hold for the cut to count as one.
 PARTED = 0.8
 #: Ids or shingles that are broadcast as a filter, at most (8 bytes each).
 BROADCAST_IDS = 500_000
 FACTS = "doc_id long, n long, s1 long, s2 long, fine binary"
-ROWS = "e long, node long, n long"
+PACKED = "bucket long, k long, packed binary"
+LIVE = "e long, node long, n long, p long, k long"
 
 
 class Sets:
@@ -159,8 +166,20 @@ def _facts(k: int):
     return run
 
 
-def _rows(k: int, percent: int, hot):
-    """The boundary windows: (shingle, node, size) for the first shingles of each representative's set."""
+def pack(e: np.ndarray, node: np.ndarray, n: np.ndarray) -> bytes:
+    """Three columns of long as planes of bytes: equal high bytes take no room, and nodes are near each other."""
+    planes = [np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in (e, np.diff(node, prepend=0), n)]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpack(k: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(packed, 24 * k, codec="zstd"), np.uint8).reshape(3, 8, k)
+    e, node, n = (np.ascontiguousarray(x.T).view(np.int64).ravel() for x in planes)
+    return e, np.cumsum(node), n
+
+
+def _rows(k: int, percent: int, hot, buckets: int):
+    """The boundary windows, (shingle, node, size) for the first shingles of each representative's set, packed by ranges of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rank = hot.value
@@ -181,8 +200,76 @@ def _rows(k: int, percent: int, hot):
                     nodes.append(doc)
                     sizes.append(len(s))
                     lengths.append(want)
-                if found:
-                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], names=["e", "node", "n"])
+                if not found:
+                    continue
+                e = (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
+                node, n = np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
+                bucket = (e * buckets) >> BITS
+                order = np.argsort(bucket, kind="stable")
+                at, first, count = np.unique(bucket[order], return_index=True, return_counts=True)
+                blobs = [pack(e[x], node[x], n[x]) for x in (order[i : i + c] for i, c in zip(first.tolist(), count.tolist(), strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "k", "packed"])
+
+    return run
+
+
+def _heads(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of (shingles, nodes, least sizes, largest sizes, counts) each shingle once: its least node with that node's sizes, the sum of the counts."""
+    e, node, low, high, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((node, e))
+    e, node = e[order], node[order]
+    new = np.concatenate([[True], e[1:] != e[:-1]])
+    runs = np.flatnonzero(new | np.concatenate([[True], node[1:] != node[:-1]]))
+    first, own = np.flatnonzero(new), new[runs]
+    low, high = np.minimum.reduceat(low[order], runs)[own], np.maximum.reduceat(high[order], runs)[own]
+    return e[first], node[first], low, high, np.add.reduceat(count[order], first)
+
+
+def _live(percent: int):
+    """Packed windows, sorted by bucket, to the rows (e, node, n, p, k) of shingles that several have; they stay packed but for one at a time.
+
+    p is null where its size allows no link with the node.
+    """
+
+    def rows(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        heads: list[tuple[np.ndarray, ...]] = []
+        for k, packed in blobs:
+            e, node, n = unpack(k, packed)
+            heads.append(_heads([(e, node, n, n, np.ones(k, np.int64))]))
+            if len(heads) > 1 and sum(len(x[0]) for x in heads[1:]) > max(len(heads[0][0]), BUCKET_ROWS):
+                heads = [_heads(heads)]
+        *heads, count = _heads(heads)
+        keys, least, low, high, count = (x[count > 1] for x in (*heads, count))
+        held, size = [], 0
+        for k, packed in blobs if len(keys) else []:
+            e, node, n = unpack(k, packed)
+            at = np.minimum(np.searchsorted(keys, e), len(keys) - 1)
+            ok = keys[at] == e
+            e, node, n, at = e[ok], node[ok], n[ok], at[ok]
+            fits = (n * 100 >= low[at] * percent) & (high[at] * 100 >= n * percent)
+            held.append([e, node, n, least[at], fits, count[at]])
+            size += len(e)
+            if size > 1 << 16:
+                yield batch(held)
+                held, size = [], 0
+        if size:
+            yield batch(held)
+
+    def batch(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        e, node, n, p, fits, k = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(e), pa.array(node), pa.array(n), pa.array(p, mask=~fits), pa.array(k)], names=["e", "node", "n", "p", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for part in batches:
+            for bucket, k, packed in zip(*(part.column(c).to_pylist() for c in ("bucket", "k", "packed")), strict=True):
+                if bucket != now and blobs:
+                    yield from rows(blobs)
+                    blobs = []
+                now = bucket
+                blobs.append((k, packed))
+        if blobs:
+            yield from rows(blobs)
 
     return run
 
@@ -272,22 +359,41 @@ def _leaf(percent: int, edge: float, forest: bool):
     connect, the closest first, and a row (null, e).
     """
 
-    def pairs(node, n, g, sk, fine, one_block, side) -> list[tuple[float, int, int]]:
-        if one_block:
-            i, j = np.triu_indices(len(node), 1)
-        else:
-            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side), np.flatnonzero(~side), indexing="ij"))
-        ok = (g[i] != g[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
-        i, j, found = i[ok], j[ok], []
-        for at in range(0, len(i), 4096):
-            x, y = i[at : at + 4096], j[at : at + 4096]
-            for q in np.flatnonzero(sketch_distance(sk[x], sk[y]) <= edge).tolist():
-                d = fine_distance(fine[x[q]], fine[y[q]])
-                if d <= edge:
-                    found.append((d, int(x[q]), int(y[q])))
-        return found
-
-    def connecting(found: list[tuple[float, int, int]], g) -> Iterator[tuple[float, int, int]]:
+    def distances(x, y, sk, total) -> np.ndarray:
+        apart = np.abs(sk[x] - sk[y]).sum(1)
+        return 2 * apart / np.maximum(total[x] + total[y] + apart, 1)
+
+    def pairs(n, g, sk, fine, one_block, side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left, right = (np.arange(len(n)),) * 2 if one_block else (np.flatnonzero(side), np.flatnonzero(~side))
+        sk, total, found = sk.astype(np.int32), sk.sum(1), [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, STRIPE // max(1, len(right)))
+        for at in range(0, len(left), step):
+            x = left[at : at + step]
+            beyond = right[at:] if one_block else right
+            ok = (g[x, None] != g[beyond]) & (np.minimum(n[x, None], n[beyond]) * 100 >= np.maximum(n[x, None], n[beyond]) * percent)
+            if one_block:
+                ok &= x[:, None] < beyond
+            i, j = np.nonzero(ok)
+            i, j = x[i], beyond[j]
+            d = distances(i, j, sk, total)
+            ok = d <= edge
+            found.append((d[ok], i[ok], j[ok]))
+        d, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        parts = np.array([len(x) for x in fine])
+        parts = np.minimum(parts[i], parts[j])
+        for p in np.unique(parts[parts > sk.shape[1]]).tolist():
+            mine = np.flatnonzero(parts == p)
+            used, place = np.unique(np.concatenate([i[mine], j[mine]]), return_inverse=True)
+            finer = np.stack([np.frombuffer(fine[q], np.uint8).reshape(p, -1).sum(1, dtype=np.int32) for q in used.tolist()])
+            sums, step = finer.sum(1), max(1, STRIPE * 64 // p)
+            for at in range(0, len(mine), step):
+                end = min(at + step, len(mine))
+                d[mine[at:end]] = distances(place[at:end], place[len(mine) + at : len(mine) + end], finer, sums)
+        ok = d <= edge
+        return d[ok], i[ok], j[ok]
+
+    def connecting(d, i, j, g) -> list[int]:
+        """Places of the pairs of a forest of the groups, the closest pairs first."""
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -296,11 +402,13 @@ def _leaf(percent: int, edge: float, forest: bool):
                 x = root[x]
             return x
 
-        for d, x, y in sorted(found):
-            a, b = top(int(g[x])), top(int(g[y]))
+        order, kept = np.lexsort((j, i, d)), []
+        for at, x, y in zip(order.tolist(), g[i[order]].tolist(), g[j[order]].tolist(), strict=True):
+            a, b = top(x), top(y)
             if a != b:
                 root[a] = b
-                yield d, x, y
+                kept.append(at)
+        return kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -314,24 +422,44 @@ def _leaf(percent: int, edge: float, forest: bool):
             ends = [*cuts.tolist(), *([rest.num_rows] if batch is None else [])]
             node, n, g, own = (rest.column(x).to_numpy() for x in ("node", "n", "g", "own"))
             fine, sk = rest.column("sketch").to_pylist(), sketches(rest.column("sketch"))
-            a, out, more = 0, set(), set()
+            a, out, more = 0, [np.zeros((0, 2), np.int64)], set()
             for b in ends:
                 if b - a > 1:
-                    found = pairs(node[a:b], n[a:b], g[a:b], sk[a:b], fine[a:b], keys[1, a] == keys[2, a], own[a:b] == keys[1, a])
-                    less = forest and len(found) > b - a
-                    if less:
+                    d, x, y = pairs(n[a:b], g[a:b], sk[a:b], fine[a:b], keys[1, a] == keys[2, a], own[a:b] == keys[1, a])
+                    if forest and len(d) > b - a:
                         more.add(int(keys[0, a]))
-                    for _, x, y in connecting(found, g[a:b]) if less else found:
-                        out.add((int(min(node[a + x], node[a + y])), int(max(node[a + x], node[a + y]))))
+                        kept = connecting(d, x, y, g[a:b])
+                        x, y = x[kept], y[kept]
+                    out.append(np.sort(np.stack([node[a + x], node[a + y]], 1), 1))
                 a = b
             rest = rest.slice(a)
-            if out or more:  # a pair may meet in many regions
-                both = [*out, *((None, e) for e in more)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*both, strict=True)], names=["p", "node"])
+            met = np.unique(np.concatenate(out), axis=0)  # a pair may meet in many regions
+            if len(met) or more:
+                first, second = (pa.array(np.ascontiguousarray(x)) for x in met.T)
+                both = [pa.concat_arrays([first, pa.nulls(len(more), pa.int64())]), pa.concat_arrays([second, pa.array(list(more), pa.int64())])]
+                yield pa.RecordBatch.from_arrays(both, names=["p", "node"])
 
     return run
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """As components, written; of at most BROADCAST_IDS edges the driver finds them, without rounds of jobs."""
+    spark = edges.sparkSession
+    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if edges.count() > BROADCAST_IDS:
+        return written(components(edges), "groups")
+    table = edges.toArrow()
+    nodes, place = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]).astype(np.int64), return_inverse=True)
+    a, b = place[: table.num_rows], place[table.num_rows :]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return written(spark.createDataFrame(pa.table({"node": nodes, "component": nodes[label]})), "groups")
+
+
 class Join:
     """One join: its tables and the rounds over them."""
 
@@ -347,17 +475,17 @@ class Join:
         self.small = written(self.points.select("node", "n", "fine").mapInArrow(_folded, "node long, n long, sketch binary"), "small")
 
     def regions(self) -> DataFrame:
-        """(e, node, n, p, k): the k members of each region that has more than one, and its least one, p."""
+        """(e, node, n, p, k): the k members of each region that has more than one, and its least one, p, or null where sizes forbid a link with it.
+
+        Windows travel once, packed; the members of a region are held packed in one task, a few bytes each.
+        """
         keys = self.hot["s1"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
         held = self.docs.sparkSession.sparkContext.broadcast((keys[order], self.hot["n"].to_numpy().astype(np.int64)[order]))
         first = self._only(self.points.select(F.col("node").alias("doc_id")))
-        rows = written(first.mapInArrow(_rows(self.k, self.percent, held), ROWS), "rows")
-        # written before the join, so that the rows of one hot region can be split among tasks
-        shared = written(rows.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("p")).where("k > 1"), "shared")
-        live = written(rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "e").select("e", "node", "n", "p", "k"), "live")
-        forget(rows, shared)
-        return live
+        total = self.points.agg(F.sum(F.expr(f"n - ({self.percent} * n + 99) div 100 + 1"))).first()[0] or 0
+        rows = first.mapInArrow(_rows(self.k, self.percent, held, 1 + total // BUCKET_ROWS), PACKED)
+        return written(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_live(self.percent), LIVE), "live")
 
     def _only(self, ids: DataFrame) -> DataFrame:
         """Documents with these ids; the ids are broadcast if they are few enough."""
@@ -404,16 +532,18 @@ class Join:
         return found
 
     def mixed(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
-        """(e, node, n, g, size): rows of regions whose members are of several groups."""
+        """(e, node, n, g, size): rows of regions whose members are of several groups; of regions with the same members, by sums of hashes, one."""
         rows = written(rows.join(groups, "node", "left").select("e", "node", "n", F.coalesce("component", "node").alias("g")), "grouped")
-        several = written(rows.groupBy("e").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("e", "size"), "several")
+        halves = [f(F.xxhash64("node", "n", F.lit(seed))) for seed in (1, 2) for f in (lambda h: F.shiftright(h, 32), lambda h: h.bitwiseAND(0xFFFFFFFF))]
+        several = rows.groupBy("e").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("g0"), F.max("g").alias("g1"), *(F.sum(h).alias(f"h{i}") for i, h in enumerate(halves)))
+        several = written(several.where("g0 <> g1").groupBy("size", "h0", "h1", "h2", "h3").agg(F.min("e").alias("e")).select("e", "size"), "several")
         found = written(rows.join(several, "e"), "mixed")
         forget(rows, several)
         return found
 
     def leaf(self, rows: DataFrame, forest: bool) -> DataFrame:
-        """Pairs of members, of different groups, that sizes and sketches allow, by blocks of at most LEAF on average."""
-        rows = rows.withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+        """Pairs of members, of different groups, that sizes and sketches allow, by blocks of at most BLOCK on average."""
+        rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
         dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = self.sketched(dealt.select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "g"))
         return dealt.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j").mapInArrow(_leaf(self.percent, self.edge, forest), "p long, node long")
@@ -435,13 +565,13 @@ class Join:
     def merged(self, groups: DataFrame, pairs: DataFrame) -> DataFrame:
         """The groups with the links among these pairs."""
         known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        return written(components(known.unionByName(self.linked(self.close(pairs)))), "groups")
+        return connected(known.unionByName(self.linked(self.close(pairs))))
 
     def groups(self) -> DataFrame:
         """(node, component) of all that links connect; points without links are left out."""
         live, turn = self.regions(), 0
-        groups = written(components(self.linked(self.close(live.select("p", "node")))), "groups")
-        classed = self.classed(live.where("node <> p AND k > 2").select("e", "node", "n"))
+        groups = connected(self.linked(self.close(live.select("p", "node"))))
+        classed = self.classed(live.where("NOT (node <=> p) AND k > 2").select("e", "node", "n"))
         now = self.mixed(classed, groups)
         forget(live, classed)
         while now.take(1):

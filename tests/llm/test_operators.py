@@ -790,3 +790,58 @@ def test_small_sketches_are_bounds():
         small = jaccard.fine_distance(jaccard.folded(x), jaccard.folded(y))
         assert small <= jaccard.fine_distance(x, y) + 1e-12 <= true + 2e-12
         assert len(jaccard.folded(x)) == max(64, len(x) // 8) and (jaccard.coarse(jaccard.folded(x)) == jaccard.coarse(x)).all()
+
+
+def test_members_of_regions_that_no_pivot_parts_travel_once(spark, monkeypatch):
+    """150 versions of one text fill regions beyond LEAF: each member is dealt once to a block, not once for each 64 others."""
+    r = random.Random(21)
+    base, found = [f"v{r.random():.9f}" for _ in range(60)], []
+    for i in range(150):
+        w = list(base)
+        w[r.randrange(60)], w[r.randrange(60)] = f"x{i}", f"y{i}"
+        found.append((i, " ".join(w)))
+    dealt, members = [], []
+
+    def leaf(self, rows, forest, put=jaccard.Join.leaf):
+        members.append(rows.count())
+        return put(self, rows, forest)
+
+    def sketched(self, rows, put=jaccard.Join.sketched):
+        if "own" in rows.columns:
+            dealt.append(rows.count())
+        return put(self, rows)
+
+    monkeypatch.setattr(jaccard.Join, "leaf", leaf)
+    monkeypatch.setattr(jaccard.Join, "sketched", sketched)
+    got = rows(jaccard.jaccard_groups(spark.createDataFrame(found, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == brute.jaccard(found) and dealt == members and members[0] > 0
+
+
+@pytest.mark.parametrize("ids", [0, 500_000])
+def test_jaccard_blocks_and_buckets(spark, monkeypatch, ids):
+    """Small blocks, buckets and stripes; components by rounds of jobs and by the driver."""
+    monkeypatch.setattr(jaccard, "LEAF", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "PARTED", 0.0)
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
+    found = near_versions(3, 24, 6)
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    assert rows(jaccard.jaccard_groups(df), "doc_id", "n_shingles", "component_id") == brute.jaccard(found)
+
+
+def test_packed_windows():
+    r = np.random.default_rng(5)
+    e, node, n = r.integers(0, 1 << 40, 3_000), np.sort(r.integers(-(1 << 62), 1 << 62, 3_000)), r.integers(1, 400, 3_000)
+    assert all((x == y).all() for x, y in zip(jaccard.unpack(3_000, jaccard.pack(e, node, n)), (e, node, n), strict=True))
+    blobs = [(0, [(7, 5, 9), (8, 2, 9)]), (0, [(7, 3, 10), (7, 3, 30), (7, 4, 100)]), (1, [(9, 3, 10)])]
+    part = pa.RecordBatch.from_pylist([{"bucket": b, "k": len(x), "packed": jaccard.pack(*np.array(x).T)} for b, x in blobs])
+    got = [tuple(x.values()) for y in jaccard._live(85)(iter([part])) for x in y.to_pylist()]
+    assert got == [(7, 5, 9, 3, 4), (7, 3, 10, 3, 4), (7, 3, 30, 3, 4), (7, 4, 100, None, 4)]
+
+
+def test_jaccard_repeated_ids_of_different_sizes(spark):
+    words = [f"w{i}" for i in range(100)]
+    found = [(1, " ".join(words[:12])), (1, " ".join(words)), (2, " ".join([*words, "x"])), (3, " ".join(words[:13]))]
+    got = jaccard.jaccard_groups(spark.createDataFrame(found, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 9, 1), (1, 97, 1), (2, 98, 1), (3, 10, 1)]

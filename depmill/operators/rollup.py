@@ -19,9 +19,8 @@ def _zero(*names: str) -> list[Column]:
 
 def file_summary(g: CodeGraph) -> DataFrame:
     """Symbols and distinct neighbour files of each file."""
-    into = g.fp.groupBy(F.col("target_file").alias("file_path")).agg(one("incoming"))
-    out = g.fp.groupBy(F.col("source_file").alias("file_path")).agg(one("outgoing"))
-    return g.files.join(into, "file_path", "left").join(out, "file_path", "left").select("file_path", "symbols", *_zero("incoming", "outgoing"))
+    near = g.neighbours.select("file_path", F.col("files_in").alias("incoming"), F.col("files_out").alias("outgoing"))
+    return g.files.join(near, "file_path", "left").select("file_path", "symbols", *_zero("incoming", "outgoing"))
 
 
 def list_files(g: CodeGraph, prefix: str = "") -> DataFrame:
@@ -30,7 +29,8 @@ def list_files(g: CodeGraph, prefix: str = "") -> DataFrame:
 
 def architecture_counts(g: CodeGraph) -> DataFrame:
     s = file_summary(g).agg(one("files"), F.coalesce(F.sum("symbols"), F.lit(0)).cast("long").alias("symbols"), F.count_if((F.col("incoming") == 0) & (F.col("outgoing") == 0)).alias("orphans"))
-    e = g.ef.agg(one("edges"), F.count_if(F.col("source_file") != F.col("target_file")).alias("cross_file_edges"))
+    total = lambda n, name: F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(name)
+    e = g.pairs.agg(total(F.col("edges"), "edges"), total(F.when(F.col("source_file") != F.col("target_file"), F.col("edges")), "cross_file_edges"))
     return s.crossJoin(e)  # one row each
 
 
@@ -73,7 +73,7 @@ def hub_files_by_degree(g: CodeGraph, k: int = 10) -> DataFrame:
 def directory_stats(g: CodeGraph) -> DataFrame:
     n = g.nodes.withColumn("dir", X.dirname(F.col("file_path")))
     base = n.where("dir <> '.'").groupBy("dir").agg(one("symbols"), F.countDistinct("file_path").alias("files"), F.count_if(F.col("kind").isin("interface", "type_alias")).alias("types"), F.count_if(F.col("kind").isin("function", "method")).alias("functions"))
-    pairs = g.xf.groupBy(X.dirname(F.col("source_file")).alias("s"), X.dirname(F.col("target_file")).alias("t")).agg(one("n")).where("s <> t")
+    pairs = g.fp.groupBy(X.dirname(F.col("source_file")).alias("s"), X.dirname(F.col("target_file")).alias("t")).agg(F.sum("edges").alias("n")).where("s <> t")
     out, into = pairs.groupBy(F.col("s").alias("dir")).agg(F.sum("n").alias("outgoing")), pairs.groupBy(F.col("t").alias("dir")).agg(F.sum("n").alias("incoming"))
     joined = base.join(out, "dir", "left").join(into, "dir", "left").select("dir", "symbols", "files", "types", "functions", *_zero("outgoing", "incoming"))
     total = F.greatest(F.col("outgoing") + F.col("incoming"), F.lit(1))
@@ -104,8 +104,7 @@ def language_histogram(g: CodeGraph) -> DataFrame:
 
 def module_matrix(g: CodeGraph, k: int = 15) -> DataFrame:
     """References between module directories, of the k with most outgoing."""
-    pairs = g.xf.groupBy("source_file", "target_file").agg(one("n"))
-    m = pairs.select(X.module_dir(F.col("source_file")).alias("source_dir"), X.module_dir(F.col("target_file")).alias("target_dir"), "n").where("source_dir is not null and target_dir is not null and source_dir <> target_dir")
+    m = g.fp.withColumnRenamed("edges", "n").select(X.module_dir(F.col("source_file")).alias("source_dir"), X.module_dir(F.col("target_file")).alias("target_dir"), "n").where("source_dir is not null and target_dir is not null and source_dir <> target_dir")
     m = m.groupBy("source_dir", "target_dir").agg(F.sum("n").alias("edges"))
     top = m.groupBy("source_dir").agg(F.sum("edges").alias("total")).orderBy(F.desc("total"), "source_dir").limit(k)
     return m.join(top.select("source_dir"), "source_dir", "left_semi")
@@ -191,8 +190,9 @@ def kind_distribution(g: CodeGraph) -> DataFrame:
 
 
 def import_style(g: CodeGraph) -> DataFrame:
-    i = g.ef.where("kind = 'imports'")
-    return i.agg(one("imports"), F.count_if(X.basename(F.col("target_file")).rlike(r"^index\.")).alias("barrel"), F.count_if(F.col("source_file") == F.col("target_file")).alias("local"))
+    n = lambda of, name: F.coalesce(F.sum(F.when(of, F.col("edges"))), F.lit(0)).cast("long").alias(name)
+    i = g.pairs.where("kind = 'imports'")
+    return i.agg(n(F.lit(True), "imports"), n(X.basename(F.col("target_file")).rlike(r"^index\."), "barrel"), n(F.col("source_file") == F.col("target_file"), "local"))
 
 
 def export_patterns(g: CodeGraph) -> DataFrame:
@@ -323,7 +323,7 @@ def connection_matrix(g: CodeGraph) -> DataFrame:
 
 
 def viz_arcs(g: CodeGraph) -> DataFrame:
-    return g.xf.groupBy("source_file", "target_file").agg(one("edges"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+    return g.pairs.where("source_file <> target_file").groupBy("source_file", "target_file").agg(F.sum("edges").alias("edges"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
 
 
 def viz_files(g: CodeGraph) -> DataFrame:

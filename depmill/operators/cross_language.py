@@ -110,20 +110,35 @@ def routes(lines: DataFrame) -> DataFrame:
     return hits.select("file_path", "line_no", "language", "rule", F.explode(F.when(F.size(verbs) > 0, verbs).otherwise(F.array(F.lit("ANY")))).alias("method"), plain_path(path).alias("path"))
 
 
+#: Parts into which the calls of one path are dealt.
+SHARES = 32
+
+
 def rest_edges(lines: DataFrame) -> DataFrame:
     """Calls matched to routes: the call's segments begin the route's, where a parameter stands for any.
 
-    An equi-join on the first segment, parameters being routes of any first segment, then a test of the rest.
+    Distinct (method, path) pairs are matched, by an equi-join on the first segment, parameters being routes of any first
+    segment, and a test of the rest; what fits is joined to the places. Every place of a call meets every one of a route
+    that it fits, so the rows are as many as these pairs: calls are dealt over SHARES of a pair, each to all its routes, and
+    the rows are made where they are used, without being sorted or shuffled.
     """
     seg = lambda c: F.split(F.regexp_replace(parameters(F.col(c)), "^/", ""), "/")
-    c = http_calls(lines).select(F.col("file_path").alias("source_file"), F.col("line_no").alias("line"), F.col("language").alias("source_language"), F.col("method").alias("call_method"), F.col("path").alias("call_path"), seg("path").alias("cs"))
-    r = routes(lines).select(F.col("file_path").alias("target_file"), F.col("line_no").alias("target_line"), F.col("language").alias("target_language"), F.col("method").alias("route_method"), F.col("path").alias("route_path"), seg("path").alias("rs"))
-    keyed = c.withColumn("key", F.explode(F.array_distinct(F.array(F.col("cs")[0], F.lit("*"))))).join(r.withColumn("key", F.col("rs")[0]), "key").where("source_file <> target_file")
+    c = http_calls(lines).select(F.col("file_path").alias("source_file"), F.col("line_no").alias("line"), F.col("language").alias("source_language"), F.col("method").alias("call_method"), F.col("path").alias("call_path"))
+    r = routes(lines).select(F.col("file_path").alias("target_file"), F.col("line_no").alias("target_line"), F.col("language").alias("target_language"), F.col("method").alias("route_method"), F.col("path").alias("route_path")).distinct()
+    cs = c.select("call_method", "call_path").distinct().withColumn("cs", seg("call_path")).withColumn("key", F.explode(F.array_distinct(F.array(F.col("cs")[0], F.lit("*")))))
+    rs = r.select("route_method", "route_path").distinct().withColumn("rs", seg("route_path")).withColumn("key", F.col("rs")[0])
     fits = F.forall(F.zip_with("cs", "rs", lambda a, b: a.isNull() | F.coalesce((b == "*") | (a == b) | (a == "*"), F.lit(False))), lambda x: x)
     exact = parameters(F.col("call_path")) == parameters(F.col("route_path"))
     method = (F.col("call_method") == F.col("route_method")) | (F.col("route_method") == "ANY")
     sure = F.when(exact & method, "high").when(exact | method, "medium").otherwise("low")
-    return keyed.where(fits).select("source_file", "line", "source_language", "call_method", "call_path", "target_file", "target_line", "target_language", "route_method", "route_path", sure.alias("confidence")).distinct()
+    fitting = cs.join(rs, "key").where(fits).select("call_method", "call_path", "route_method", "route_path", sure.alias("confidence"))
+    share = F.pmod(F.xxhash64("source_file", "line"), F.lit(SHARES)).cast("int")
+    # by a number of tasks that is told, as the rows made are many and what they are made from is little
+    keys, tasks = ["route_method", "route_path", "share"], 4 * lines.sparkSession.sparkContext.defaultParallelism
+    calls = c.join(fitting, ["call_method", "call_path"]).withColumn("share", share).repartition(tasks, *keys)
+    dealt = r.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(tasks, *keys)
+    met = calls.join(dealt, keys).where("source_file <> target_file")
+    return met.select("source_file", "line", "source_language", "call_method", "call_path", "target_file", "target_line", "target_language", "route_method", "route_path", "confidence")
 
 
 def script_edges(lines: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from depmill.operators import cross_language, security
+from depmill.operators import cross_language, security, simulate, traverse
 from depmill.sources import binding
 
 TABLES = {
@@ -85,3 +85,22 @@ def test_rest_edges_are_made_without_a_shuffle_of_the_products(spark):
     assert found.count() == 20 * 30 and found.distinct().count() == 20 * 30
     assert found.where("source_file = target_file").count() == 0
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_a_deleted_file_is_compared_by_its_own_edges(bound):
+    file = "lib/supp/n0.go"
+    out = simulate.simulate(bound, simulate.Action("delete", file))
+    at = bound.ef.where((F.col("source_file") == file) | (F.col("target_file") == file))
+    assert rows(out.removed_edges, "source", "target", "kind") == rows(at, "source", "target", "kind") == rows(bound.edges.join(out.after.edges, ["source", "target", "kind"], "left_anti"), "source", "target", "kind")
+    assert rows(out.affected_nodes(), "id") == rows(at.select(F.explode(F.array("source", "target")).alias("id")).distinct(), "id")
+    # nothing is compared with all other edges
+    assert "LeftAnti" not in out.removed_edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_tangles_share_a_call_of_the_cycle_search(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "CALL_EDGES", 10_000)
+    n = 300
+    ring = spark.sql(f"SELECT concat('f', id) AS source_file, concat('f', id DIV 3 * 3 + (id + 1) % 3) AS target_file, id AS seq FROM range({3 * n})")
+    found = traverse.cycles(ring)
+    assert sorted(sorted(r[0]) for r in found.collect()) == sorted(sorted(f"f{3 * i + k}" for k in range(3)) for i in range(n))
+    assert "call" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input."""
 
+import random
 import re
 
 import pytest
@@ -104,3 +105,34 @@ def test_small_tangles_share_a_call_of_the_cycle_search(spark, monkeypatch):
     found = traverse.cycles(ring)
     assert sorted(sorted(r[0]) for r in found.collect()) == sorted(sorted(f"f{3 * i + k}" for k in range(3)) for i in range(n))
     assert "call" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_longest_path_searches_only_within_tangles(spark):
+    # eight layers of eight make 8^8 paths to a ring of five; behind it a clique of four, and a tail. Loops don't count
+    edges = [(f"d{i}{a}", f"d{i + 1}{b}") for i in range(7) for a in range(8) for b in range(8)]
+    edges += [("d70", "r0"), *((f"r{i}", f"r{(i + 1) % 5}") for i in range(5)), ("r3", "q0"), ("r4", "q0"), *((f"q{i}", f"q{j}") for i in range(4) for j in range(4)), ("q2", "t")]
+    fp = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(edges)], "source_file string, target_file string, seq long")
+    assert traverse.longest_path(fp) == 7 + 1 + 4 + 1 + 3 + 1
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_longest_arrivals_are_those_of_all_paths(seed):
+    r = random.Random(seed)
+    k = r.randint(2, 6)
+    n, ring, after = [r.randint(0, 9) for _ in range(k)], r.sample(range(k), k), [[] for _ in range(k)]
+    for i in range(k):
+        after[ring[i]].append(ring[(i + 1) % k])
+    for _ in range(r.choice([0, 3, 6])):
+        a, b = r.sample(range(k), 2)
+        after[a] += [] if b in after[a] else [b]
+    best = list(n)
+
+    def walk(x, met, length):
+        best[x] = max(best[x], length)
+        for y in after[x]:
+            if y not in met:
+                walk(y, met | {y}, length + 1)
+
+    for x in range(k):
+        walk(x, {x}, n[x])
+    assert traverse.longest_arrivals(n, after) == best

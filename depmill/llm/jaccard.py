@@ -21,11 +21,12 @@ folded to the parts of the shorter. Small sketches are fine ones folded to an ei
    cells hold as much as the region did, the inequality parts nothing; cells are counted before any is made, and the
    members of such a region are held against their nearest pivot alone and then met in pairs of blocks.
 4. Regions of at most ``LEAF`` members and pairs of blocks of ``BLOCK`` are joined in one task, of regions with the same
-   members one, members of one group left out and the rest held to the bounds on sizes and small sketches. Of a block with more pairs than members that pass, first those of a
-   spanning forest of the groups are measured, by fine sketches and then on the sets themselves, the closest first; such
-   regions that are of several groups still yield the rest.
+   members one and similar regions made one, members of one group left out and the rest held to the bounds on sizes and small sketches. Of a block with more pairs than members that pass, only those of a
+   spanning forest of the groups are measured, by fine sketches and then on the sets themselves, the closest first; where
+   groups are left apart, the members of the others meet again, by fine sketches, and then on their sets, so that a task
+   returns no more pairs than members, however many are close.
 
-All steps are exact. Sets never travel but for pairs that pass the sketches. A region's ids are counted in one task, packed
+All steps are exact. Sets never travel but for pairs that pass the sketches, and members of blocks in which more pairs do than there are members. A region's ids are counted in one task, packed
 to a few bytes each; beyond that no region is gathered in one task, but for about 2 * ``BLOCK`` members.
 
 Defined results: words are in lower case (A-Z); a text of 1 to 3 words is one shingle; null, empty and blank texts have
@@ -352,11 +353,12 @@ def _celled(edge: float):
     return run
 
 
-def _leaf(percent: int, edge: float, forest: bool):
-    """Rows by (e, i, j) to the pairs that sizes and sketches allow, of different groups, one of block i and one of j.
+def _leaf(percent: int, edge: float):
+    """Rows by (e, i, j) to the pairs (p, node, null) that sizes and sketches allow, of different groups, one of block i and one of j.
 
-    With ``forest``, of a block with more pairs than members only as many as connect the groups that all of these pairs
-    connect, the closest first, and a row (null, e).
+    Of a block with more pairs than members only as many as connect the groups that all of these pairs connect, the
+    closest first, and the members of all of them, as (null, node, e). Where the sketches are the sets themselves, only
+    links, as many as connect the groups that all links connect.
     """
 
     def distances(x, y, sk, total) -> np.ndarray:
@@ -392,8 +394,8 @@ def _leaf(percent: int, edge: float, forest: bool):
         ok = d <= edge
         return d[ok], i[ok], j[ok]
 
-    def connecting(d, i, j, g) -> list[int]:
-        """Places of the pairs of a forest of the groups, the closest pairs first."""
+    def connecting(d, i, j, g, holds) -> list[int]:
+        """Places of the pairs of a forest of the groups, the closest pairs that hold first."""
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -405,11 +407,15 @@ def _leaf(percent: int, edge: float, forest: bool):
         order, kept = np.lexsort((j, i, d)), []
         for at, x, y in zip(order.tolist(), g[i[order]].tolist(), g[j[order]].tolist(), strict=True):
             a, b = top(x), top(y)
-            if a != b:
+            if a != b and holds(i[at], j[at]):
                 root[a] = b
                 kept.append(at)
         return kept
 
+    def links(x: np.ndarray, y: np.ndarray) -> bool:
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _with_end(batches):
@@ -421,23 +427,32 @@ def _leaf(percent: int, edge: float, forest: bool):
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             ends = [*cuts.tolist(), *([rest.num_rows] if batch is None else [])]
             node, n, g, own = (rest.column(x).to_numpy() for x in ("node", "n", "g", "own"))
-            fine, sk = rest.column("sketch").to_pylist(), sketches(rest.column("sketch"))
-            a, out, more = 0, [np.zeros((0, 2), np.int64)], set()
+            column = rest.column("sketch")
+            exact = pa.types.is_list(column.type)
+            if exact:
+                edges, hashes = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+                sets = [hashes[p:q] for p, q in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+                column = pa.array([sketch(x) for x in sets], pa.binary())
+            fine, sk = column.to_pylist(), sketches(column)
+            a, out, more = 0, [np.zeros((0, 2), np.int64)], [np.zeros((2, 0), np.int64)]
             for b in ends:
                 if b - a > 1:
                     d, x, y = pairs(n[a:b], g[a:b], sk[a:b], fine[a:b], keys[1, a] == keys[2, a], own[a:b] == keys[1, a])
-                    if forest and len(d) > b - a:
-                        more.add(int(keys[0, a]))
-                        kept = connecting(d, x, y, g[a:b])
+                    if exact or len(d) > b - a:
+                        kept = connecting(d, x, y, g[a:b], (lambda i, j, at=a: links(sets[at + i], sets[at + j])) if exact else lambda i, j: True)
+                        if not exact:
+                            again = np.unique(node[a + np.concatenate([x, y])])
+                            more.append(np.stack([again, np.full(len(again), keys[0, a])]))
                         x, y = x[kept], y[kept]
                     out.append(np.sort(np.stack([node[a + x], node[a + y]], 1), 1))
                 a = b
             rest = rest.slice(a)
             met = np.unique(np.concatenate(out), axis=0)  # a pair may meet in many regions
-            if len(met) or more:
-                first, second = (pa.array(np.ascontiguousarray(x)) for x in met.T)
-                both = [pa.concat_arrays([first, pa.nulls(len(more), pa.int64())]), pa.concat_arrays([second, pa.array(list(more), pa.int64())])]
-                yield pa.RecordBatch.from_arrays(both, names=["p", "node"])
+            again, region = np.unique(np.concatenate(more, 1), axis=1)
+            if len(met) or len(again):
+                first, second = (np.ascontiguousarray(x) for x in met.T)
+                found = [pa.concat_arrays([pa.array(first), pa.nulls(len(again), pa.int64())]), pa.array(np.concatenate([second, again])), pa.concat_arrays([pa.nulls(len(met), pa.int64()), pa.array(region)])]
+                yield pa.RecordBatch.from_arrays(found, names=["p", "node", "e"])
 
     return run
 
@@ -465,7 +480,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, k: int, percent: int) -> None:
         self.docs, self.k, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent
-        self.edge = 1 - percent / 100 + 1e-9
+        self.edge, self.salt = 1 - percent / 100 + 1e-9, 0
         facts = written(self.docs.mapInArrow(_facts(k), FACTS), "facts")
         self.facts = facts.where("fine is not null")
         counts = facts.where("fine is null").groupBy("s1").agg(F.sum("n").alias("n"))
@@ -493,7 +508,7 @@ class Join:
         return self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def sketched(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.small.select("node", "sketch"), "node")
+        return rows.join(self.sketches, "node")
 
     def _near(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
         """Of (p, node) pairs those whose sizes and sketches, of points (node, n, fine), allow a link."""
@@ -541,12 +556,38 @@ class Join:
         forget(rows, several)
         return found
 
-    def leaf(self, rows: DataFrame, forest: bool) -> DataFrame:
-        """Pairs of members, of different groups, that sizes and sketches allow, by blocks of at most BLOCK on average."""
+    def gathered(self, rows: DataFrame) -> DataFrame:
+        """(e, node, n, g, size): regions with the same least hash of a member made one, where that has no more pairs than they have; twice.
+
+        Near copies share most of their regions, and these most of their members.
+        """
+        for _ in range(2):
+            self.salt += 1
+            least = rows.groupBy("e").agg(F.min(F.xxhash64("node", F.lit(self.salt))).alias("key"))
+            keyed = written(rows.join(least, "e"), "keyed")
+            ones = written(keyed.groupBy("key", "node", "n").agg(F.min("g").alias("g"), F.sum("size").alias("pairs")), "ones")
+            fewer = written(ones.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("pairs").alias("pairs")).where("size * size <= pairs").select("key", "size"), "fewer")
+            made = ones.join(fewer, "key").select(F.col("key").alias("e"), "node", "n", "g", "size")
+            rows = made.unionByName(keyed.join(fewer, "key", "left_anti").select("e", "node", "n", "g", "size"))
+        return written(rows, "gathered")
+
+    def leaf(self, rows: DataFrame, meeting: int) -> DataFrame:
+        """Pairs of members, of different groups, that sizes and sketches allow, by blocks of at most BLOCK on average; and members that are to meet again."""
+        self.sketches = self.told(rows, meeting)
         rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
         dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = self.sketched(dealt.select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "g"))
-        return dealt.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j").mapInArrow(_leaf(self.percent, self.edge, forest), "p long, node long")
+        return dealt.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j").mapInArrow(_leaf(self.percent, self.edge), "p long, node long, e long")
+
+    def told(self, rows: DataFrame, meeting: int) -> DataFrame:
+        """(node, sketch): by what members meet; small sketches, then fine ones, then their sets."""
+        if meeting == 0:
+            return self.small.select("node", "sketch")
+        ids = written(rows.select("node").distinct(), "ids")
+        if meeting == 1:
+            return self.points.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi").select("node", F.col("fine").alias("sketch"))
+        sets = self._only(ids.select(F.col("node").alias("doc_id"))).mapInArrow(_sets(self.k), "node long, shingles array<long>")
+        return written(sets.where("size(shingles) > 0").select("node", F.col("shingles").alias("sketch")), "sets")
 
     def cells(self, rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
         """(e, node, n, g, size, p, d): the Voronoi cells of PIVOTS members of each region, with the boundary's documents; and (e, parted)."""
@@ -576,7 +617,7 @@ class Join:
         forget(live, classed)
         while now.take(1):
             turn += 1
-            cells, parted = None, None
+            cells, parted, self.sketches = None, None, self.small.select("node", "sketch")
             rest = now.where(F.col("size") <= LEAF)
             large = now.where(F.col("size") > LEAF)
             if large.take(1):
@@ -584,15 +625,16 @@ class Join:
                 groups = self.merged(groups, cells.where(F.col("d") <= self.edge).select("p", "node"))
                 rest = rest.unionByName(large.join(parted.where("NOT parted"), "e", "left_semi").select(*rest.columns))
                 rest = self.mixed(rest.select("e", "node", "n"), groups)
-            # all pairs of most regions, the closest of others, then, where groups are left apart, all of these
-            for forest in (True, False):
+            # all pairs of most regions, the closest of others, then, where groups are left apart, by what tells more
+            for meeting in range(3):
                 if not rest.take(1):
                     break
-                found = written(self.leaf(rest, forest), "met")
-                groups = self.merged(groups, found.where("p is not null"))
-                if forest:
-                    more = found.where("p is null").select(F.col("node").alias("e")).distinct()
-                    rest = self.mixed(rest.join(more, "e", "left_semi").select("e", "node", "n"), groups)
+                if meeting == 0:
+                    rest = self.gathered(rest)
+                found = written(self.leaf(rest, meeting), "met")
+                groups = self.merged(groups, found.where("p is not null").select("p", "node"))
+                again = found.where("e is not null").select("e", "node").distinct()
+                rest = self.mixed(rest.join(again, ["e", "node"], "left_semi").select("e", "node", "n"), groups)
             if cells is None:
                 return groups
             inner = cells.where("node <> p").join(parted.where("parted"), "e", "left_semi").select(F.xxhash64("e", "p").alias("e"), "node", "n")

@@ -845,3 +845,41 @@ def test_jaccard_repeated_ids_of_different_sizes(spark):
     found = [(1, " ".join(words[:12])), (1, " ".join(words)), (2, " ".join([*words, "x"])), (3, " ".join(words[:13]))]
     got = jaccard.jaccard_groups(spark.createDataFrame(found, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 9, 1), (1, 97, 1), (2, 98, 1), (3, 10, 1)]
+
+
+def test_tasks_return_no_more_pairs_than_members(spark, monkeypatch):
+    """One region of 24 versions, all 276 pairs of which are just too far apart to link, and a copy of one that links: closeness alone tells none apart."""
+    monkeypatch.setattr(jaccard, "LEAF", 1)
+    one = lambda self: jaccard.written(self.points.select(F.lit(0).cast("long").alias("e"), "node", "n", F.lit(0).cast("long").alias("p"), F.lit(25).cast("long").alias("k")), "live")
+    monkeypatch.setattr(jaccard.Join, "regions", one)
+    base = [f"b{i}" for i in range(200)]
+    version = lambda k: [f"v{k}" if i in (8 * k + 3, 8 * k + 7) else w for i, w in enumerate(base)]
+    found = [(k, " ".join(version(k))) for k in range(24)] + [(30, " ".join([*version(17), "x"]))]
+    read, made = [], []
+
+    def leaf(self, rows, meeting, put=jaccard.Join.leaf):
+        out = jaccard.written(put(self, rows, meeting), "out")
+        read.append(rows.count())
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.Join, "leaf", leaf)
+    got = rows(jaccard.jaccard_groups(spark.createDataFrame(found, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == brute.jaccard(found) and [g[2] for g in got] == [*range(24), 17]
+    assert len(read) > 1 and all(m <= 2 * r for m, r in zip(made, read, strict=True)), (read, made)
+
+
+def test_similar_regions_become_one(spark):
+    """Pairs that met still meet, in fewer rows and no more pairs; regions of which too few are shared stay apart."""
+    r = random.Random(31)
+    regions = {e: set(r.sample(range(40), 36)) for e in range(30)} | {100 + e: {50, *range(1_000 + 50 * e, 1_050 + 50 * e)} for e in range(4)}
+    table = [(e, x, 9, x, len(m)) for e, m in regions.items() for x in m]
+    join = jaccard.Join(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string"), 4, 85)
+    got = {}
+    for e, x, n, g, size in join.gathered(spark.createDataFrame(table, "e long, node long, n long, g long, size long")).collect():
+        assert (n, g) == (9, x)
+        got.setdefault((e, size), []).append(x)
+    assert all(len(set(m)) == len(m) == size for (_, size), m in got.items()) and len({e for e, _ in got}) == len(got)
+    pairs = lambda ms: [(x, y) for m in ms for x in m for y in m if x < y]
+    assert set(pairs(regions.values())) <= set(pairs(got.values())) and len(pairs(got.values())) <= len(pairs(regions.values()))
+    assert sum(map(len, got.values())) < 600

@@ -20,6 +20,7 @@ import bisect
 import itertools
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ CAPACITY = 4096
 GROUP = 16_384
 #: Fillings looked at for one sequence before the incumbent is taken.
 NODES = 400
-#: Words whose ids a worker remembers, from task to task.
+#: Words (of those that differ in more than case and marks at the end) whose ids a worker remembers, from task to task.
 MEMORY = 300_000
 #: Bytes of text whose distinct words are encoded together.
 ENCODE_BYTES = 32_000_000
@@ -49,6 +50,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters that no normal form changes but in case, with marks after them that end a word.
+_ENDED = re.compile("([!-\xff]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([!-/:-@[-`{-~]*)")
+
+
+def parts(word: str) -> list[str]:
+    """The word in lower case, and marks at its end apart: the tokenizer ignores case and parts marks from letters too."""
+    found = _ENDED.fullmatch(word)
+    if not found or "<|" in word:  # there may be a name of a special token
+        return [word]
+    stem, marks = found.groups()
+    return [stem.lower(), marks] if marks else [stem.lower()]
+
+
 class Encoder:
     """Ids of many words. The tokenizer drops white space and never looks across it, so words are encoded apart."""
 
@@ -60,20 +74,24 @@ class Encoder:
 
     def __call__(self, vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the words, one after another, and the number of each."""
-        known = self.known
-        new = [w for w in vocab if w not in known]
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = vocab
+        known, flat, first = self.known, [], []
+        for w in vocab:
+            first.append(len(flat))
+            flat += parts(w)
+        new = [w for w in dict.fromkeys(flat) if w not in known]
         fresh: dict[str, list[int]] = {}
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            fresh.update(zip(part, (e.ids for e in self.model.encode_batch(part, add_special_tokens=False)), strict=True))
-        out = [known[w] if w in known else fresh[w] for w in vocab]
-        for w in itertools.islice(new, MEMORY - len(known)):
-            known[w] = fresh[w]
+            fresh.update(zip(part, (e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        out = [known[w] if w in known else fresh[w] for w in flat]
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            known.update(itertools.islice(zip(flat, out, strict=True), MEMORY))
+        else:
+            known.update(fresh)
         counts = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter(itertools.chain.from_iterable(out), np.uint32, counts.sum()), counts
+        ids = np.fromiter(itertools.chain.from_iterable(out), np.uint32, counts.sum())
+        return ids, np.add.reduceat(counts, first) if first else counts
 
 
 _encoders: dict[str, Encoder] = {}

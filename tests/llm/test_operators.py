@@ -883,3 +883,26 @@ def test_similar_regions_become_one(spark):
     pairs = lambda ms: [(x, y) for m in ms for x in m for y in m if x < y]
     assert set(pairs(regions.values())) <= set(pairs(got.values())) and len(pairs(got.values())) <= len(pairs(regions.values()))
     assert sum(map(len, got.values())) < 600
+
+
+def test_words_are_encoded_once_whatever_their_case_and_marks(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 20)
+    encode, plain, asked = packing.Encoder(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path()).model, []
+    model = encode.model
+
+    class Counting:
+        def encode_batch_fast(self, words, **more):
+            asked.extend(words)
+            return model.encode_batch_fast(words, **more)
+
+        encode_batch = encode_batch_fast
+
+    encode.model = Counting()
+    odd = ["\u0130,", "x\u0130.", "J\u030c,", "e\u0301.", "E\u0301", "don't", "DON'T.", "dogs'", "a1.", "1,", ")a).", "...", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>.", "STRASSE\xdf!", "\xb5.", "\xaa,", "x\xa0Y,", "\u03a3\u03a3.", "A\u0338<", "it's", "'S.", "x's,", "\x1c.", "a\x7f,", "\xd7."]
+    word = [v for w in ("whes", "tiond", "\xe9rer") for v in (w, w.title(), w.upper(), f"{w},", f"{w.title()}.", f"{w}?!")]
+    for vocab in (word, odd, word + odd, []):
+        ids, counts = encode(vocab)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if vocab else []
+        assert got == [plain.encode(w, add_special_tokens=False).ids for w in vocab]
+        if vocab is word:
+            assert sorted(asked) == sorted(["whes", "tiond", "\xe9rer", ",", ".", "?!"])
